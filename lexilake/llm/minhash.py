@@ -8,8 +8,9 @@ make two sets of similarity 0.75 miss each other with a probability of 5e-6.
 Groups. Equal sets are one class from the start (a group-by on a 128-bit digest), so a group of exact copies of
 any size costs one row per copy. In a bucket each member is first held against one pivot only, the one it
 shares most bands with; members that this connects need nothing more, because only components are asked for.
-Then come pairs of a bucket whose ends are still apart: further pivots while such pairs are many, then all that
-remain. No pair within a bucket is left unexamined unless its ends are connected already, so nothing is capped.
+Then come all pairs of a bucket whose ends are still apart. Where these would be many (documents that share a
+common passage, but not three quarters of their text), the members' rarest shingles replace the buckets as join
+keys: a prefix filter, which loses no link. So nothing is capped.
 
 Scale. Texts move only for documents with a bucket neighbour (a bloom filter of fixed size picks them before the
 shuffle). Bucket, class and pivot joins are plain equi-joins, which AQE splits when a key is hot.
@@ -34,6 +35,7 @@ _B = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)[:, None]
 _ROW = (_rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1))[None, :]
 _BAND = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 BLOOM_BITS = 1 << 23
+COUNTERS = 1 << 20
 
 
 def shingle_sets(texts: list[bytes | None], k: int = SHINGLE):
@@ -119,7 +121,71 @@ class _Verifier:
         return self.work.save(rows.mapInArrow(_linked, "u long, v long, linked boolean"))
 
 
-def near_duplicates(docs: DataFrame, pivot_rounds: int = 6) -> DataFrame:
+def _apart(rows: DataFrame, comp: DataFrame, work: Workspace) -> DataFrame:
+    """The rows(key, rep, n_shingles, place) of those keys whose members are not all of one component yet, with it as c;
+    n and q: the key's members and the sum of squares of its components' sizes."""
+    now = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", "place", F.coalesce("component", "rep").alias("c"))
+    parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+    keys = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return work.save(now.join(keys.select("key", "n", "q"), "key"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of one key, but of two components, whose sizes and the key's places in both orders allow a link:
+    if the key is the first shingle that they share, then they share at most those from there on."""
+    one, other = (rows.select("key", F.col("rep").alias(x), F.col("c").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), (F.col("n_shingles") - F.col("place")).alias(f"left{x}")) for x in "uv")
+    near = (F.col("cu") != F.col("cv")) & (175 * F.least("leftu", "leftv") >= 75 * (F.col("nu") + F.col("nv"))) & (F.col("u") < F.col("v"))
+    return one.join(other, "key").where(near).select("u", "v").distinct()
+
+
+def _rare_shingles(spark: SparkSession, texts: DataFrame, members: DataFrame, work: Workspace) -> DataFrame:
+    """(key, rep, n_shingles, place) with the rarest quarter, and one more, of each member's shingles as keys.
+
+    Two linked sets share at least three quarters of either, so under any one order of all shingles the first
+    quarter and one more of both have one in common. Rare ones first keeps passages that many documents share
+    out of the keys. The order is by counts in a table of fixed size, then by hash.
+    """
+    own = texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+
+    def counts(batches):
+        table = np.zeros(COUNTERS, dtype=np.int64)
+        for b in batches:
+            for s in shingle_sets(W.utf8(b.column(1))):
+                table += np.bincount((s % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) if len(s) > COUNTERS // 64 else 0
+                if len(s) <= COUNTERS // 64:
+                    np.add.at(table, (s % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["slot", "n"])
+
+    found = own.mapInArrow(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(COUNTERS, dtype=np.int64)
+    table[found.slot.to_numpy()] = found.n.to_numpy()
+    order = spark.sparkContext.broadcast(table)  # 8 * COUNTERS bytes, whatever the input
+
+    def keys(batches):
+        for b in batches:
+            n, out = [], []
+            for s in shingle_sets(W.utf8(b.column(1))):
+                seen = order.value[(s % np.uint64(COUNTERS)).astype(np.int64)]
+                first = len(s) - (3 * len(s) + 3) // 4 + 1 if len(s) else 0
+                out.append(s[np.lexsort((s, seen))[:first]])
+                n.append(len(s))
+            each = np.array([len(x) for x in out], dtype=np.int64)
+            rows = np.repeat(np.arange(len(out)), each)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([*out, np.empty(0, np.uint64)]).view(np.int64)),
+                    b.column(0).take(pa.array(rows)),
+                    pa.array(np.asarray(n, np.int64)[rows]),
+                    pa.array(np.concatenate([*map(np.arange, each), np.empty(0, np.int64)]).astype(np.int64)),
+                ],
+                ["key", "rep", "n_shingles", "place"],
+            )
+
+    return work.save(own.mapInArrow(keys, "key long, rep long, n_shingles long, place long"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
     A-Z is lower-cased, words are runs without white space. Null and empty texts have an empty set, are linked
@@ -147,29 +213,15 @@ def near_duplicates(docs: DataFrame, pivot_rounds: int = 6) -> DataFrame:
     check = _Verifier(spark, narrow, buckets.select("rep").distinct(), work)
     done = check(first.select(F.col("pivot").alias("u"), F.col("rep").alias("v")))
 
-    for k in range(pivot_rounds + 1):
-        comp = work.save(connected_components(done.where("linked").select("u", "v"), work))
-        now = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("c"))
-        parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-        open_keys = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        apart = work.save(now.join(open_keys.select("key", "n", "q"), "key"))
-        left = apart.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("q")) / (2 * F.col("n"))).alias("pairs")).first()
-        if not left.rows:
-            break
-        few = (left.pairs or 0) <= 4 * left.rows or k == pivot_rounds
-        other = apart.select("key", F.col("rep").alias("v"), F.col("c").alias("cv"), F.col("n_shingles").alias("nv"))
-        if few:  # all that remain
-            one = apart.select("key", F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("n_shingles").alias("nu"))
-        else:  # one more pivot for each bucket
-            one = apart.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("u"), F.col("c").alias("cu"), F.col("n_shingles").alias("nu")), F.xxhash64("rep", F.lit(k))).alias("p")).select("key", "p.*")
-        near = (F.col("cu") != F.col("cv")) & (100 * F.least("nu", "nv") >= 75 * F.greatest("nu", "nv"))
-        pairs = one.join(other, "key").where(near & (F.col("u") < F.col("v") if few else F.lit(True)))
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    comp = work.save(connected_components(done.where("linked").select("u", "v"), work))
+    rest = _apart(buckets.select("key", "rep", "n_shingles", F.lit(0).cast("long").alias("place")), comp, work)
+    size = rest.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("q")) / (2 * F.col("n"))).alias("pairs")).first()
+    if size.rows:
+        if size.pairs > 4 * size.rows:  # buckets of many documents that share much, but less than is asked for
+            rest = _apart(_rare_shingles(spark, check.texts, rest.select("rep").distinct(), work), comp, work)
         known = done.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        done = work.save(done.unionByName(check(pairs.join(known, ["u", "v"], "left_anti"))))
-        if few:
-            comp = work.save(connected_components(done.where("linked").select("u", "v"), work))
-            break
+        more = check(_pairs(rest).join(known, ["u", "v"], "left_anti"))
+        comp = connected_components(done.unionByName(more).where("linked").select("u", "v"), work)
 
     found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

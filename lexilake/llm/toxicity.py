@@ -1,7 +1,8 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax, trained in numpy.
 
-A text is the bag of its words' features: the word and its character 4- and 5-grams (with < and > at the ends),
-hashed into 2^BITS embeddings. Their average goes into a softmax over the two classes; embeddings and softmax
+A text is the bag of its distinct words' features: the word and its character 4- and 5-grams (with < and > at the
+ends), hashed into 2^BITS embeddings, and PADDING features whose embedding is zero, so that a few words or one word
+repeated weigh little. Their average goes into a softmax over the two classes; embeddings and softmax
 are trained jointly by Adagrad on cross entropy. A misspelling or an unseen ending shares most n-grams with the
 words seen. Since average and softmax's logit difference are linear, each feature's share of a score is one
 number, embedding times weight difference, so scoring broadcasts one float a feature (2^BITS * 4 bytes).
@@ -21,7 +22,8 @@ from lexilake.llm.common import bounded_batches, crc32_mod
 from lexilake.llm.wordhash import U64, mix
 
 BITS, WIDTH, GRAMS = 18, 8, (4, 5)
-SAMPLE, EPOCHS, BATCH, RATE = 1500, 12, 64, 0.3
+SAMPLE, EPOCHS, BATCH, RATE, DAMPING = 3000, 12, 64, 1.0, 0.1
+PADDING = 300
 THRESHOLD = 0.3
 _rng = np.random.Generator(np.random.PCG64(11))
 _SLOT = _rng.integers(1, 2**63, 64, dtype=np.uint64) | U64(1)
@@ -105,39 +107,33 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = 3) -> tuple[np
         ids, n, back, per_text = _unique_words(texts[a:z])
         at, end = np.cumsum(n) - n, np.cumsum(per_text)
         for i in range(z - a):
-            words, times = np.unique(back[end[i] - per_text[i] : end[i]], return_counts=True)
+            words = np.unique(back[end[i] - per_text[i] : end[i]])
             own = n[words]
-            take = np.repeat(at[words], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-            total = max(1, int((times * own).sum()))
-            rows.append((ids[take].astype(np.int32), (np.repeat(times, own) / total).astype(np.float32)))
+            rows.append(ids[np.repeat(at[words], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)].astype(np.int32))
+    share = 1 / (PADDING + np.array([len(r) for r in rows], dtype=np.float64))
     rng = np.random.Generator(np.random.PCG64(seed))
-    emb = rng.normal(0, 0.1, (1 << BITS, WIDTH)).astype(np.float32)
+    emb = rng.normal(0, 0.01, (1 << BITS, WIDTH)).astype(np.float32)
     soft = rng.normal(0, 0.5, (2, WIDTH)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    g_emb, g_soft, g_bias = np.full(1 << BITS, 1e-8, np.float32), np.full(soft.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
+    bias = np.zeros(2)
+    g_emb, g_soft, g_bias = np.full(1 << BITS, DAMPING, np.float32), np.full(WIDTH, 1e-8), 1e-8
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         order = rng.permutation(len(rows))
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
-            ids, share = np.concatenate([rows[i][0] for i in some]), np.concatenate([rows[i][1] for i in some])
-            who = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
-            used, back = np.unique(ids, return_inverse=True)
-            mean = np.stack([np.bincount(who, emb[used, k][back] * share, len(some)) for k in range(WIDTH)], 1)
-            logit = mean @ soft.T + bias
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(some)), toxic[some]] -= 1  # the cross entropy's slope
-            slope = p.astype(np.float32)
-            to_soft, to_bias = slope.T @ mean.astype(np.float32), slope.sum(0)
-            pull = np.bincount(back, (slope[:, 1])[who] * share, len(used)).astype(np.float32)
-            to_emb = pull[:, None] * (soft[1] - soft[0])[None, :]
-            g_emb[used] += (to_emb**2).mean(1)
-            emb[used] -= rate * to_emb / np.sqrt(g_emb[used])[:, None]
+            ids, who = np.concatenate([rows[i] for i in some]), np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
+            u = soft[1] - soft[0]
+            logit = np.bincount(who, (emb @ u)[ids], len(some)) * share[some] + bias[1] - bias[0]
+            # the cross entropy's slope by the logit of class 1; that of class 0 is its negative
+            slope = 1 / (1 + np.exp(-np.clip(logit, -60, 60))) - toxic[some]
+            pull = np.bincount(ids, (slope * share[some])[who], 1 << BITS).astype(np.float32)
+            to_soft, to_bias = pull @ emb, slope.sum()
+            g_emb += pull * pull * np.float32((u @ u) / WIDTH)
+            emb -= (np.float32(rate) * pull / np.sqrt(g_emb))[:, None] * u[None, :]
             g_soft += to_soft**2
-            soft -= rate * to_soft / np.sqrt(g_soft)
             g_bias += to_bias**2
-            bias -= rate * to_bias / np.sqrt(g_bias)
+            soft += np.outer([1, -1], rate * to_soft / np.sqrt(g_soft)).astype(np.float32)
+            bias += np.array([1, -1]) * rate * to_bias / np.sqrt(g_bias)
     return (emb @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
@@ -149,9 +145,9 @@ def score_texts(texts: list[str | None], share: np.ndarray, bias: float) -> np.n
         if not len(n):
             continue
         sums = np.add.reduceat(share[ids].astype(np.float64), np.cumsum(n) - n)
-        who = np.repeat(np.arange(z - a), per_text)
-        count = np.bincount(who, n[back], z - a)
-        out[a:z] += np.bincount(who, sums[back], z - a) / np.maximum(count, 1)
+        pairs = np.unique(np.repeat(np.arange(z - a), per_text) * len(n) + back)  # the distinct words of each text
+        who, word = pairs // len(n), pairs % len(n)
+        out[a:z] += np.bincount(who, sums[word], z - a) / (PADDING + np.bincount(who, n[word], z - a))
     return out
 
 

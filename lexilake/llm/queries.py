@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexilake.llm import minhash
+from lexilake.llm import ann, chat, decontaminate, lengths, minhash, mixing, ngram, pages, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": ann.op1_ann,
+        "op2_chat": chat.op2_chat,
+        "op3_token_output": tokens.op3_token_output,
+        "op4_mix": mixing.op4_mix,
+        "op5_lengths": lengths.op5_lengths,
         "op6_minhash": minhash.op6_minhash,
+        "op7_lm_scores": ngram.op7_lm_scores,
+        "op8_page_text": pages.op8_page_text,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ann": ann.ANN_SQL}

@@ -26,9 +26,10 @@ from lexilake.llm.common import Workspace, bounded_batches, crc32_mod, partition
 from lexilake.llm.wordhash import U64
 
 ORDER = 3
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_000_000
+GRAM_BITS = 56  # of an n-gram's hash from two words on; single words keep all 64
 BUCKETS = 24
-STEP = 4  # of an octave, in the histogram for expectation-maximisation
+STEP = 2  # to an octave, in the histogram for expectation-maximisation
 ROUNDS = 30
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
 _START, _END = U64(0x5354415254), U64(0x454E44)
@@ -100,6 +101,7 @@ class _Tokens:
             h = h + W.mix(self.back(k) + U64(k)) * _TIMES[k]
         h = W.mix(h + U64(n))
         if n > 1:
+            h = h >> U64(64 - GRAM_BITS)
             h[self.place < n - 2] = 0
         return h
 
@@ -110,6 +112,12 @@ class _Tokens:
         return h
 
 
+def _cuts(keys: np.ndarray, n: int, parts: int) -> np.ndarray:
+    """Where each part begins among sorted n-gram hashes: parts are ranges of equal width."""
+    bits = 64 if n == 1 else GRAM_BITS
+    return np.searchsorted((keys >> U64(bits - 32)) * U64(parts) >> U64(32), np.arange(parts + 1).astype(np.uint64))
+
+
 def _requests(order: int, parts: int):
     """Distinct n-grams of each batch with their counts in learning and tuning documents, split by hash."""
 
@@ -125,11 +133,9 @@ def _requests(order: int, parts: int):
                     keys, back = np.unique(h[ok], return_inverse=True)
                     total = np.bincount(back, learn[ok], len(keys)).astype(np.uint32)
                     tuned = np.bincount(back, tune[ok], len(keys)).astype(np.uint32)
-                    part = (keys % U64(parts)).astype(np.int64)
-                    by = np.argsort(part, kind="stable")
-                    cut = np.searchsorted(part[by], np.arange(parts + 1))
+                    cut = _cuts(keys, n, parts)
                     for p in np.flatnonzero(np.diff(cut)):
-                        own = by[cut[p] : cut[p + 1]]
+                        own = slice(cut[p], cut[p + 1])
                         step = np.diff(keys[own], prepend=U64(0))
                         rows.append((n, int(p), batch, _pack(step), _pack(total[own]), _pack(tuned[own])))
                     starts = int((learn & (t.place == 0)).sum()), int((tune & (t.place == 0)).sum())
@@ -181,15 +187,13 @@ class _Counts:
         for n in range(1, order + 1):
             h = t.gram(n)
             keys = np.unique(h[h != 0])
-            part = (keys % U64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
             count = np.zeros(len(keys), np.int64)
             got = {a["part"]: a for a in answers if a["n"] == n}
-            cut = np.searchsorted(part[by], np.arange(parts + 1))
+            cut = _cuts(keys, n, parts)
             for p in np.flatnonzero(np.diff(cut)):
                 a = got[int(p)]
                 c = _unpack(a["total"], np.uint32).astype(np.int64)
-                count[by[cut[p] : cut[p + 1]]] = c - _unpack(a["tuned"], np.uint32) if tuning else c
+                count[cut[p] : cut[p + 1]] = c - _unpack(a["tuned"], np.uint32) if tuning else c
             found[n] = keys, count
             self.gram.append(self._look(found[n], h))
         for n in range(1, order):
@@ -230,7 +234,10 @@ def _histogram(order: int, parts: int, starts: int, n_tokens: int, n_types: int)
                 grid = np.where(p > 0, np.round(np.log2(p) * STEP), -1000).astype(np.int64)
             out.append(np.column_stack([bucket, grid]))
         cells, n = np.unique(np.concatenate([*out, np.empty((0, order + 1), np.int64)]), axis=0, return_counts=True)
-        return pa.table({"bucket": cells[:, 0], "cell": pa.array(cells[:, 1:].tolist(), pa.list_(pa.int64())), "n": n})
+        code = np.zeros(len(cells), np.int64)
+        for k in range(order):
+            code = code * 4096 + cells[:, k + 1] + 2048
+        return pa.table({"bucket": cells[:, 0], "cell": code, "n": n})
 
     return run
 
@@ -313,12 +320,13 @@ def language_model_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     tuning = both.where("tuning")
     own = replies.join(tuning.select("batch"), "batch", "left_semi")
     cells = tuning.groupBy("batch").cogroup(own.groupBy("batch")).applyInArrow(
-        _histogram(order, parts, tuning_starts, sums[1].tuning_tokens, sums[1].tuning_types), "bucket long, cell array<long>, n long"
+        _histogram(order, parts, tuning_starts, sums[1].tuning_tokens, sums[1].tuning_types), "bucket long, cell long, n long"
     )
-    seen = cells.groupBy("bucket", "cell").agg(F.sum("n").alias("n")).toPandas()
+    seen = cells.groupBy("bucket", "cell").agg(F.sum("n").alias("n")).toArrow()
     size = 1 + (order - 1) * BUCKETS
-    grid = np.array(seen["cell"].tolist(), dtype=np.float64).reshape(-1, order)
-    weights = learn_weights(seen["bucket"].to_numpy(np.int64), np.where(grid > -1000, 2.0 ** (grid / STEP), 0.0), seen["n"].to_numpy(np.float64), size)
+    code = seen["cell"].to_numpy()
+    grid = np.stack([(code >> (12 * (order - 1 - k)) & 4095) - 2048 for k in range(order)], 1)
+    weights = learn_weights(seen["bucket"].to_numpy(), np.where(grid > -1000, 2.0 ** (grid / STEP), 0.0), seen["n"].to_numpy().astype(np.float64), size)
 
     return both.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
         _scores(order, parts, starts, sums[1].tokens, sums[1].types, weights),

@@ -34,8 +34,8 @@ _A = (_rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1))[:,
 _B = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)[:, None]
 _ROW = (_rng.integers(1, 2**63, ROWS, dtype=np.uint64) | np.uint64(1))[None, :]
 _BAND = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
-BLOOM_BITS = 1 << 23
-COUNTERS = 1 << 20
+BLOOM_BITS = 1 << 22
+COUNTERS = 1 << 18
 
 
 def shingle_sets(texts: list[bytes | None], k: int = SHINGLE):
@@ -99,9 +99,9 @@ class _Verifier:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, candidates: DataFrame, work: Workspace):
         bits = candidates.select(F.pmod(F.xxhash64("rep"), F.lit(BLOOM_BITS)).alias("b"))
-        words = bits.groupBy(F.expr("cast(b div 32 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("m")).toPandas()
+        words = bits.groupBy(F.expr("cast(b div 32 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("m")).toArrow()
         table = np.zeros(BLOOM_BITS // 32, dtype=np.int64)
-        table[words.w.to_numpy()] = words.m.to_numpy()
+        table[words["w"].to_numpy()] = words["m"].to_numpy()
         seen = spark.sparkContext.broadcast(table)  # BLOOM_BITS / 4 bytes, whatever the input
 
         def some(batches):
@@ -157,9 +157,9 @@ def _rare_shingles(spark: SparkSession, texts: DataFrame, members: DataFrame, wo
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["slot", "n"])
 
-    found = own.mapInArrow(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = own.mapInArrow(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(COUNTERS, dtype=np.int64)
-    table[found.slot.to_numpy()] = found.n.to_numpy()
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
     order = spark.sparkContext.broadcast(table)  # 8 * COUNTERS bytes, whatever the input
 
     def keys(batches):

@@ -4,12 +4,324 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from lexilake.functions import text as T
+from lexilake.operators import retrieval as R
+from lexilake.operators import sessions as A
+from lexilake.operators import upkeep as U
+from lexilake.session import table
+from lexilake.streaming import events as E
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return R.chunks(table(spark, d, "documents"), table(spark, d, "embeddings"))
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark texts as queries, each with the vector of the same number."""
+    b, v = table(spark, d, "benchmark"), table(spark, d, "embeddings")
+    return b.join(v, b["item_id"] == v["vec_id"]).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("vector"))
+
+
+_COS = "list_sum(list_transform(list_zip({a}, {b}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
+_COSINE = f"round({_COS.format(a='i.embedding', b='q.vector')} / (sqrt({_COS.format(a='i.embedding', b='i.embedding')}) * sqrt({_COS.format(a='q.vector', b='q.vector')})), 6)"
+_BASE = """
+WITH i AS (SELECT d.doc_id AS id, d.source, d.text, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
+q AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding AS vector FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"""
+_DENSE = f""", dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank
+  FROM (SELECT q.query_id, i.id, {_COSINE} AS similarity FROM i, q)) WHERE rank <= 15)"""
+_LEXICAL = """, post AS (SELECT id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM i),
+terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS term FROM q) WHERE length(term) > 1),
+lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+  FROM (SELECT query_id, id, round(count(*) / (count(*) + 1), 6) AS score FROM post JOIN terms USING (term) GROUP BY ALL)) WHERE rank <= 10)"""
+_FUSED = """, fused AS (SELECT query_id, id, round(sum(1.0 / CAST(60 + rank AS DOUBLE)), 9) AS rrf_score, max(d) AS in_dense, max(l) AS in_lexical FROM (
+  SELECT query_id, id, rank, 1 AS d, 0 AS l FROM dense UNION ALL SELECT query_id, id, rank, 0, 1 FROM lexical) GROUP BY ALL)"""
+
+
+@query(_BASE + _DENSE + "SELECT query_id, id, similarity, rank FROM dense")
+def dense_topk(spark, d):
+    return R.dense_batch(_index(spark, d), _asked(spark, d))
+
+
+@query(_BASE + _LEXICAL + "SELECT query_id, id, score, rank FROM lexical")
+def lexical_topk(spark, d):
+    return R.lexical_batch(_index(spark, d), _asked(spark, d))
+
+
+@query(_BASE + _DENSE + _LEXICAL + _FUSED + "SELECT * FROM fused")
+def rrf_fusion(spark, d):
+    i, q = _index(spark, d), _asked(spark, d)
+    return R.reciprocal_rank_fusion(R.dense_batch(i, q), R.lexical_batch(i, q))
+
+
+@query(
+    _BASE + _DENSE + _LEXICAL + _FUSED + """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM (
+  SELECT *, round(rrf_score * CASE WHEN in_dense = 1 AND in_lexical = 0 THEN 1.05 ELSE 1.0 END, 9) AS final_score FROM fused)) WHERE rank <= 10"""
+)
+def hybrid_boosted(spark, d):
+    return R.boosted(rrf_fusion(spark, d), 10)
+
+
+@query("SELECT doc_id AS id, strpos(lower(text), 'tion') AS place FROM documents WHERE strpos(lower(text), 'tion') > 0 ORDER BY place, id LIMIT 10")
+def direct_text_lookup(spark, d):
+    return R.direct_lookup(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), "tion")
+
+
+_TOKENS = "CAST(floor(len(list_filter(regexp_split_to_array(trim({t}, ' '), '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) * CAST(1.3 AS DOUBLE)) AS BIGINT)"
+
+
+@query(
+    f"""WITH x AS (SELECT source, doc_id, {_TOKENS.format(t='text')} AS n FROM documents),
+g AS (SELECT source, list(n ORDER BY doc_id) AS a FROM x GROUP BY 1)
+SELECT source, CAST(r.used AS BIGINT) AS used, CAST(r.taken AS INTEGER) AS taken FROM (SELECT source, list_reduce(list_transform(a, lambda n: {{'used': n, 'taken': 1}}),
+  lambda s, x: CASE WHEN s.used + x.used <= 2400 THEN {{'used': s.used + x.used, 'taken': s.taken + 1}} ELSE s END, {{'used': CAST(0 AS BIGINT), 'taken': 0}}) AS r FROM g)"""
+)
+def context_budget(spark, d):
+    rows = table(spark, d, "documents").select("source", "doc_id", T.estimated_tokens(F.col("text")).alias("n"))
+    return R.greedy_budget(rows, "source", "doc_id", "n", 2400)
+
+
+@query("WITH x AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal FROM documents), c AS (SELECT * FROM x WHERE doc_id % 100 = 0) SELECT DISTINCT x.source, x.ordinal, x.doc_id FROM x JOIN c ON x.source = c.source AND x.ordinal BETWEEN c.ordinal - 2 AND c.ordinal + 2")
+def surrounding_chunks(spark, d):
+    x = table(spark, d, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("ordinal"))
+    return R.surrounding(x, x.where("doc_id % 100 = 0")).select("source", "ordinal", "doc_id")
+
+
+@query("SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus FROM (SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1)")
+def dup_groups(spark, d):
+    return U.duplicate_groups(table(spark, d, "documents"), F.md5("text"))
+
+
+_NORM = "trim(regexp_replace(regexp_replace(translate(text, chr(160) || '–—−', ' ---'), '\\r\\n?', chr(10), 'g'), '[ \\t\\n\\f\\v]+', ' ', 'g'), ' ')"
+
+
+@query(f"SELECT source, min(doc_id) AS doc_id FROM (SELECT source, doc_id, md5({_NORM}) AS h, {_NORM} AS t FROM documents) WHERE t <> '' GROUP BY source, h")
+def dedup_exact(spark, d):
+    rows = table(spark, d, "documents").withColumn("t", T.normalised(F.col("text"))).where("t <> ''")
+    return U.first_of_each(rows, ["source", F.md5("t")], "doc_id").select("source", "doc_id")
+
+
+@query("SELECT doc_id, rn FROM (SELECT doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn > 1")
+def dedup_delete(spark, d):
+    rn = F.row_number().over(Window.partitionBy(F.md5("text")).orderBy("doc_id"))
+    return table(spark, d, "documents").select("doc_id", rn.alias("rn")).where("rn > 1")
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)")
+def orphan_dense(spark, d):
+    return U.missing_from(table(spark, d, "embeddings"), table(spark, d, "documents"), "vec_id", "doc_id").select("vec_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)")
+def orphan_sparse(spark, d):
+    return U.missing_from(table(spark, d, "documents"), table(spark, d, "embeddings"), "doc_id", "vec_id").select("doc_id")
+
+
+@query("SELECT coalesce(source, 'UNKNOWN') AS source, count(*) AS n FROM documents GROUP BY 1")
+def source_breakdown(spark, d):
+    return table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("UNKNOWN")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT round(avg(length(text)), 1) AS avg_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars, round(quantile_cont(length(text), 0.5), 3) AS p50, round(quantile_cont(length(text), 0.9), 3) AS p90, round(quantile_cont(length(text), 0.99), 3) AS p99 FROM documents")
+def char_length_stats(spark, d):
+    n = F.char_length("text")
+    p = lambda q: F.round(F.percentile(n, F.lit(q)), 3)
+    return table(spark, d, "documents").agg(F.round(F.avg(n), 1).alias("avg_chars"), F.min(n).cast("long").alias("min_chars"), F.max(n).cast("long").alias("max_chars"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"))
+
+
+@query(f"SELECT round(avg(n), 4) AS avg_tokens, min(n) AS min_tokens, max(n) AS max_tokens, count(*) FILTER (n < 100) AS tiny, count(*) FILTER (n > 900) AS oversized FROM (SELECT {_TOKENS.format(t='text')} AS n FROM documents)")
+def token_stats(spark, d):
+    n = table(spark, d, "documents").select(T.estimated_tokens(F.col("text")).alias("n"))
+    return n.agg(F.round(F.avg("n"), 4).alias("avg_tokens"), F.min("n").alias("min_tokens"), F.max("n").alias("max_tokens"), F.count_if(F.col("n") < 100).alias("tiny"), F.count_if(F.col("n") > 900).alias("oversized"))
+
+
+@query("SELECT source, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.9) AS p90 FROM documents GROUP BY 1")
+def percentile_nearest_rank(spark, d):
+    p = lambda q: F.expr(f"cast(percentile_disc({q}) within group (order by n_chars) as bigint)")
+    return table(spark, d, "documents").groupBy("source").agg(p(0.5).alias("p50"), p(0.9).alias("p90"))
+
+
+@query(
+    f"""WITH x AS (SELECT md5(text) AS h, {_TOKENS.format(t='text')} AS n, coalesce(source, '') = '' AS m FROM documents),
+s AS (SELECT CAST(count(*) FILTER (n < 100) AS DOUBLE) / count(*) AS tiny, CAST(count(*) FILTER (n > 900) AS DOUBLE) / count(*) AS over, CAST(count(*) FILTER (m) AS DOUBLE) / count(*) AS miss, CAST(count(*) AS DOUBLE) AS c FROM x),
+g AS (SELECT CAST(count(*) AS DOUBLE) AS k FROM (SELECT h FROM x GROUP BY h HAVING count(*) > 1))
+SELECT round(greatest(0.0, 100 - (least(k / c * 100, 20) + least(tiny * 200, 30) + least(over * 500, 10) + least(miss * 100, 10))), 6) AS technical_score FROM s, g"""
+)
+def technical_score(spark, d):
+    rows = table(spark, d, "documents").select(F.md5("text").alias("h"), T.estimated_tokens(F.col("text")).alias("n"), (F.coalesce("source", F.lit("")) == "").alias("m"))
+    by = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("n") < 100).alias("tiny"), F.count_if(F.col("n") > 900).alias("over"), F.count_if("m").alias("miss"))
+    s = by.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 1).alias("k"), *(F.sum(x).alias(x) for x in ("tiny", "over", "miss")))
+    return s.select(F.round(T.technical_score(*(F.col(x) / F.col("c") for x in ("k", "tiny", "over", "miss"))), 6).alias("technical_score"))
+
+
+@query(
+    """WITH d AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT count(*) AS n FROM documents), o AS (SELECT count(*) AS n FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents))
+SELECT 'rows_present' AS gate, d.n > 0 AND s.n > 0 AS ok FROM d, s UNION ALL SELECT 'counts_match', d.n = s.n FROM d, s UNION ALL SELECT 'no_orphans', o.n = 0 FROM o"""
+)
+def promotion_gates(spark, d):
+    e, s = table(spark, d, "embeddings"), table(spark, d, "documents")
+    n = lambda df, c: df.agg(F.count(F.lit(1)).alias(c), F.lit(1).alias("one"))
+    row = n(e, "d").join(n(s, "s"), "one").join(n(orphan_dense(spark, d), "o"), "one")
+    gates = F.array(*(F.struct(F.lit(g).alias("gate"), ok.alias("ok")) for g, ok in (("rows_present", (F.col("d") > 0) & (F.col("s") > 0)), ("counts_match", F.col("d") == F.col("s")), ("no_orphans", F.col("o") == 0))))
+    return row.select(F.inline(gates))
+
+
+@query("SELECT 'target-' || doc_id AS id, 'target-' || source AS namespace FROM documents UNION ALL SELECT 'pilot-' || doc_id, 'pilot-' || source FROM documents")
+def namespace_promote(spark, d):
+    rows = table(spark, d, "documents").select(F.concat(F.lit("pilot-"), "doc_id").alias("id"), F.concat(F.lit("pilot-"), "source").alias("namespace"))
+    return U.promote(rows, "pilot", "target")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, o_totalprice * 2 FROM orders WHERE o_orderkey % 10 = 0")
+def upsert_latest(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return U.upsert(o, o.where("o_orderkey % 10 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2), "o_orderkey")
+
+
+@query("SELECT page_id, sha256(html) AS file_hash FROM pages WHERE sha256(html) NOT IN (SELECT sha256(html) FROM pages WHERE page_id % 2 = 0)")
+def idempotent_skip(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("file_hash"))
+    return p.join(p.where("page_id % 2 = 0").select("file_hash").distinct(), "file_hash", "left_anti").select("page_id", "file_hash")
+
+
+@query(
+    """SELECT event_type, count(*) AS n, count(*) FILTER (value > 100) AS slow, round(avg(value), 4) AS avg_value, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99
+FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 240 HOUR GROUP BY 1"""
+)
+def analytics_summary(spark, d):
+    e = table(spark, d, "events")
+    last = e.agg(F.max("ts").alias("as_of"))
+    p = lambda q: F.round(F.percentile("value", F.lit(q)), 4)
+    recent = e.join(F.broadcast(last), F.col("ts") > F.col("as_of") - F.expr("INTERVAL 240 HOURS"))  # one row
+    return recent.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 100).alias("slow"), F.round(F.avg("value"), 4).alias("avg_value"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM labels")
+def feedback_summary(spark, d):
+    return table(spark, d, "labels").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
+
+
+@query("SELECT lang, source, count(*) AS n, max(doc_id) AS latest FROM documents GROUP BY 1, 2")
+def ingestion_stats(spark, d):
+    return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("latest"))
+
+
+@query("SELECT conv_id, max(turn) AS last_turn, nullif(trim(left(coalesce(arg_min(text, turn) FILTER (role = 'user'), ''), 80), ' '), '') AS preview FROM conversations GROUP BY 1")
+def thread_list(spark, d):
+    return A.threads(table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant')) WHERE n <= 6")
+def chat_history(spark, d):
+    t = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
+    return t.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("n <= 6").select("conv_id", "turn", "role")
+
+
+@query("SELECT conv_id, turn, string_agg(role || ': ' || left(text, 200), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS context FROM conversations")
+def prior_context(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-5, 0)
+    line = F.concat(F.col("role"), F.lit(": "), F.left("text", F.lit(200)))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(line).over(w), "\n").alias("context"))
+
+
+@query("SELECT event_id, sha256(lower(trim(event_type, ' ')) || '|cot:' || CASE WHEN user_id % 2 = 0 THEN 'True' ELSE 'False' END) AS cache_key FROM events WHERE ts + INTERVAL 4 HOUR > (SELECT max(ts) FROM events)")
+def cache_lookup(spark, d):
+    e = table(spark, d, "events")
+    valid = e.join(F.broadcast(e.agg(F.max("ts").alias("as_of"))), F.col("ts") + F.expr("INTERVAL 4 HOURS") > F.col("as_of"))  # one row
+    return valid.select("event_id", F.sha2(F.concat(F.lower(F.trim("event_type")), F.lit("|cot:"), F.when(F.col("user_id") % 2 == 0, "True").otherwise("False")), 256).alias("cache_key"))
+
+
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS hits FROM events")
+def rate_window(spark, d):
+    return A.window_counts(table(spark, d, "events"))
+
+
+@query(
+    """WITH r AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM events),
+f AS (SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS failures FROM r)
+SELECT event_id, failures, failures >= 5 AS locked FROM f"""
+)
+def lockout_state(spark, d):
+    return A.failures_since_success(table(spark, d, "events"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_events(spark, d):
+    return E.windowed_counts(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+_SENT = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1␞', 'g'), '\\n', '␞', 'g'), '␞'), lambda s: trim(s, ' ')), lambda s: length(s) >= 10)"
+
+
+@query(f"SELECT doc_id, CAST(len({_SENT}) AS INTEGER) AS sentences FROM documents")
+def sentence_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).alias("sentences"))
+
+
+@query("SELECT source, count(*) FILTER (trim(text, ' ') = '' OR right(trim(text, ' '), 1) IN ('.', '!', '?', '\"', '''')) AS aligned, count(*) AS n FROM documents GROUP BY 1")
+def boundary_alignment(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count_if(T.sentence_aligned_end(F.col("text"))).alias("aligned"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH u AS (SELECT label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)),
+s AS (SELECT label, pos, sum(x) AS t FROM u GROUP BY 1, 2), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT label, n, round(CASE WHEN n <= 1 THEN 1.0 ELSE ((sum(t * t) - n) / (n * (n - 1.0)) + 1) / 2 END, 6) AS coherence FROM s JOIN n USING (label) GROUP BY label, n"""
+)
+def coherence_by_label(spark, d):
+    e = table(spark, d, "embeddings")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    flat = e.select("label", F.posexplode(F.transform("embedding", lambda v: v.cast("double") / norm)).alias("pos", "x"))
+    s = flat.groupBy("label", "pos").agg(F.sum("x").alias("t"), F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.sum(F.col("t") * F.col("t")).alias("q"), F.max("n").alias("n"))
+    return s.select("label", "n", F.round(F.when(F.col("n") <= 1, 1.0).otherwise(((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1.0)) + 1) / 2), 6).alias("coherence"))
+
+
+@query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents) WHERE length(term) > 1 GROUP BY ALL")
+def term_frequency(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("term")).where(F.length("term") > 1)
+    return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_fields(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query(
+    """WITH x AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'out_of_scope' WHEN 'click' THEN 'clause_lookup' ELSE 'regulation_search' END AS intent, user_id % 4 AS docs, value / 490 AS conf, user_id % 7 = 0 AS clarify FROM events)
+SELECT event_id, CASE WHEN clarify THEN 'clarify' WHEN intent = 'out_of_scope' THEN 'copilot' WHEN intent = 'clause_lookup' AND docs > 0 THEN 'grounded' WHEN docs = 0 THEN 'refusal' WHEN conf >= 0.45 THEN 'grounded' ELSE 'copilot' END AS mode FROM x"""
+)
+def mode_decision(spark, d):
+    kind = F.when(F.col("event_type") == "error", "out_of_scope").when(F.col("event_type") == "click", "clause_lookup").otherwise("regulation_search")
+    return table(spark, d, "events").select("event_id", T.answer_mode(F.col("user_id") % 7 == 0, kind, F.col("user_id") % 4, F.col("value") / 490).alias("mode"))
+
+
+@query("SELECT event_id, round(CASE WHEN value > 1 THEN value / 10 WHEN value <= 0.1 THEN least(value * 20, 1.0) ELSE value END, 9) AS critique, round(CASE WHEN value > 1 THEN least(value / 10, 1.0) WHEN value > 0 AND value <= 0.05 THEN least(greatest(value * 50, 0.1), 1.0) ELSE least(greatest(value, 0.0), 1.0) END, 9) AS answer FROM events")
+def score_normalisers(spark, d):
+    v = F.col("value")
+    return table(spark, d, "events").select("event_id", F.round(T.critique_score(v), 9).alias("critique"), F.round(T.answer_score(v), 9).alias("answer"))

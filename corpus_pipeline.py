@@ -15,28 +15,33 @@ from lexilake.llm.tokens import token_output
 from lexilake.llm.toxicity import learn, score
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """docs with all columns in one, so that no operator's column can clash with them, and those that operators read."""
+    return docs.select("doc_id", "text", "source", F.struct("*").alias("held"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, does not reject."""
     model = learn(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return score(docs, model).where("predicted = 0").drop("score", "predicted")
+    return score(_held(docs), model).where("predicted = 0").select("held.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return keep_one_of_each(docs)
+    return keep_one_of_each(_held(docs)).select("held.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return contamination(docs, bench).where("not contaminated").select(*docs.columns)
+    return contamination(_held(docs), bench).where("not contaminated").select("held.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the Pfair schedule: rows of the written files, in order of files, are mixed."""
-    mixed = mix_sources(docs)
+    mixed = mix_sources(_held(docs))
     order = ["mix_slot", "mix_place", "doc_id"]
-    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select("held.*")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from lexilake.llm.common import bounded_batches
 
 WINDOW = 10
 PART_WORDS = 1_000_000
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def _item_words(batches):
@@ -85,7 +86,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     """docs with n_words, n_hit, n_items, items_sha256, contaminated appended.
 
     docs and benchmark have a text each; benchmark has item_id. A null text has no words. Items without an id or
-    words take no part; repeated items count once. Every row of docs comes back, whatever its other columns.
+    words take no part; repeated items count once. Every row of docs comes back with all its columns, but for those
+    that bear a result's name.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -93,6 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     items = items.mapInArrow(_item_words, "item string, n long, words array<long>").where("n > 0")
     total = items.agg(F.sum("n")).first()[0] or 0
     parts = -(-total // part_words) if total else 0
+    docs = docs.drop(*RESULTS)
     out = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("t"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
     texts = docs.select(F.col("text").cast("string").alias("t"))
     for k in range(parts):
@@ -104,7 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         out = out.mapInArrow(_marker(spark.sparkContext.broadcast(_Index(pd.DataFrame({"item": [], "words": []}), {}, window))), out.schema)
     return out.mapInArrow(
         _summary, "row " + docs.schema.simpleString() + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    ).select("row.*", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    ).select("row.*", *RESULTS)
 
 
 def _document_counts(spark: SparkSession, texts: DataFrame, part: pd.DataFrame) -> dict[int, int]:

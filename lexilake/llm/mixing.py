@@ -83,14 +83,17 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
 
     weights: by source; a source that it lacks gets the least weight given, and without any the square root of its
     characters. A null source is one source of its own. A null text counts as empty. Documents that begin in a block
-    are in it; a longer document takes up the blocks that it reaches into. Every row stays, once.
+    are in it; a longer document takes up the blocks that it reaches into. Every row stays, once, with all its columns but for
+    those that bear a result's name.
     """
     spark = docs.sparkSession
-    own = docs.withColumns({
-        "_s": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")),
-        "_n": F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long"),
-        "_h": F.xxhash64(F.col("doc_id"), F.lit(seed)),
-    }).withColumn("_b", F.shiftrightunsigned("_h", 54).cast("int"))
+    docs = docs.drop("mix_block", "mix_slot", "mix_place")
+    own = docs.select(
+        F.struct("*").alias("_row"),
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("_s"),
+        F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("_n"),
+        F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"),
+    ).withColumn("_b", F.shiftrightunsigned("_h", 54).cast("int"))
     # characters before each bucket of a source, then within it
     sums = own.groupBy("_s", "_b").agg(F.sum("_n").alias("n"))
     before = sums.withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -112,14 +115,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     ranges = spark.createDataFrame([(s, sorted(v)) for s, v in per_source.items()], "_s string, _r array<struct<first: long, k: int, w: int, period: int, slot: long>>")
     table = spark.createDataFrame(slots, "_k int, _s string, _j int, _at int")
 
-    w = Window.partitionBy("_s", "_b").orderBy("_h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_s", "_b").orderBy("_h", "_row.doc_id", "_row.text").rowsBetween(Window.unboundedPreceding, -1)
     placed = own.withColumn("_in", F.coalesce(F.sum("_n").over(w), F.lit(0))).join(before.select("_s", "_b", "_before"), ["_s", "_b"])
     placed = placed.withColumn("mix_place", F.col("_before") + F.col("_in")).withColumn("mix_block", F.floor(F.col("mix_place") / block_chars))
     placed = placed.join(F.broadcast(ranges), "_s").withColumn("_p", F.expr("element_at(filter(_r, r -> r.first <= mix_block), -1)"))
     placed = placed.withColumn("_k", F.col("_p.k")).withColumn("_j", F.expr("cast((mix_block - _p.first) % _p.w as int)"))
     out = placed.join(F.broadcast(table), ["_k", "_s", "_j"])
     slot = F.expr("_p.slot + (mix_block - _p.first) div _p.w * _p.period + _at")
-    return out.withColumn("mix_slot", slot).select(*(out[c] for c in docs.columns), "mix_block", "mix_slot", "mix_place")
+    return out.withColumn("mix_slot", slot).select("_row.*", "mix_block", "mix_slot", "mix_place")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ make two sets of similarity 0.75 miss each other with a probability of 5e-6.
 Groups. Equal sets are one class from the start (a group-by on a 128-bit digest), so a group of exact copies of
 any size costs one row per copy. In a bucket each member is first held against one pivot only, the one it
 shares most bands with; members that this connects need nothing more, because only components are asked for.
-Then come all pairs of a bucket whose ends are still apart. Where these would be many (documents that share a
-common passage, but not three quarters of their text), the members' rarest shingles replace the buckets as join
-keys: a prefix filter, which loses no link. So nothing is capped.
+Members of buckets whose ends are still apart (documents that share a common passage, say, but not three
+quarters of their text) are then joined on their rarest shingles: a prefix filter with positional bounds, which
+loses no link. Shingles with the same members count as one join key. So nothing is capped.
 
 Scale. Texts move only for documents with a bucket neighbour (a bloom filter of fixed size picks them before the
 shuffle). Bucket, class and pivot joins are plain equi-joins, which AQE splits when a key is hot.
@@ -122,12 +122,10 @@ class _Verifier:
 
 
 def _apart(rows: DataFrame, comp: DataFrame, work: Workspace) -> DataFrame:
-    """The rows(key, rep, n_shingles, place) of those keys whose members are not all of one component yet, with it as c;
-    n and q: the key's members and the sum of squares of its components' sizes."""
+    """The rows(key, rep, n_shingles, place) of those keys whose members are not all of one component yet, with it as c."""
     now = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", "place", F.coalesce("component", "rep").alias("c"))
-    parts = now.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-    keys = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("q"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return work.save(now.join(keys.select("key", "n", "q"), "key"))
+    keys = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    return work.save(now.join(keys.select("key"), "key"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -185,6 +183,18 @@ def _rare_shingles(spark: SparkSession, texts: DataFrame, members: DataFrame, wo
     return work.save(own.mapInArrow(keys, "key long, rep long, n_shingles long, place long"))
 
 
+def _one_key_for_each_list(rows: DataFrame, work: Workspace) -> DataFrame:
+    """The rows with one key for all keys of the same members, at a member's first place among them.
+
+    Two texts that share dozens of rare shingles meet once, not dozens of times. No pair is lost: the first place
+    is never behind that of the first shingle that two members share.
+    """
+    lists = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
+    one = lists.groupBy("n", "x", "y").agg(F.min("key").alias("list"))
+    keys = work.save(lists.join(one, ["n", "x", "y"]).select("key", "list"))
+    return work.save(rows.join(keys, "key").groupBy(F.col("list").alias("key"), "rep", "n_shingles").agg(F.min("place").alias("place")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -215,10 +225,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     comp = work.save(connected_components(done.where("linked").select("u", "v"), work))
     rest = _apart(buckets.select("key", "rep", "n_shingles", F.lit(0).cast("long").alias("place")), comp, work)
-    size = rest.agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("q")) / (2 * F.col("n"))).alias("pairs")).first()
-    if size.rows:
-        if size.pairs > 4 * size.rows:  # buckets of many documents that share much, but less than is asked for
-            rest = _apart(_rare_shingles(spark, check.texts, rest.select("rep").distinct(), work), comp, work)
+    if not rest.isEmpty():
+        rare = _rare_shingles(spark, check.texts, rest.select("rep").distinct(), work)
+        rest = _apart(_one_key_for_each_list(rare, work), comp, work)
         known = done.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         more = check(_pairs(rest).join(known, ["u", "v"], "left_anti"))
         comp = connected_components(done.unionByName(more).where("linked").select("u", "v"), work)

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexilake.functions import answers as Q
+from lexilake.functions import intent as I
 from lexilake.functions import text as T
+from lexilake.operators import context as C
 from lexilake.operators import retrieval as R
+from lexilake.operators import sections as S
 from lexilake.operators import sessions as A
 from lexilake.operators import upkeep as U
 from lexilake.session import table
@@ -325,3 +329,177 @@ def mode_decision(spark, d):
 def score_normalisers(spark, d):
     v = F.col("value")
     return table(spark, d, "events").select("event_id", F.round(T.critique_score(v), 9).alias("critique"), F.round(T.answer_score(v), 9).alias("answer"))
+
+
+@query(
+    """WITH x AS (SELECT doc_id, concat('FAR ', doc_id % 53, '.', doc_id % 700, ', DFARS 252.', doc_id % 300, '-', doc_id % 9, ' ', text) AS t FROM documents)
+SELECT doc_id, array_to_string(list_concat(list_transform(regexp_extract_all(t, '\\bFAR\\s+(\\d+\\.\\d+(?:-\\d+)?)', 1), lambda c: 'FAR ' || c), list_transform(regexp_extract_all(t, '\\bDFARS\\s+(\\d+\\.\\d+(?:-\\d+)?)', 1), lambda c: 'DFARS ' || c)), ';') AS refs FROM x"""
+)
+def clause_references(spark, d):
+    t = F.expr("concat('FAR ', doc_id % 53, '.', doc_id % 700, ', DFARS 252.', doc_id % 300, '-', doc_id % 9, ' ', text)")
+    refs = F.array_join(F.transform(T.clause_references(t), lambda r: F.concat(r["type"], F.lit(" "), r["clause"])), ";")
+    return table(spark, d, "documents").select("doc_id", refs.alias("refs"))
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, {_TOKENS.format(t='text')} AS n, len(regexp_extract_all(text, '[A-Za-z0-9]')) AS alnum, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]')) AS shown,
+  regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') AS w FROM documents)
+SELECT doc_id FROM x WHERE n >= 8 AND alnum >= CAST(0.35 AS DOUBLE) * shown AND len(w) > 0 AND len(list_distinct(w)) >= CAST(0.08 AS DOUBLE) * len(w)"""
+)
+def quality_gate(spark, d):
+    return table(spark, d, "documents").where(T.passes_quality_gate(F.col("text"))).select("doc_id")
+
+
+@query("SELECT lang, source, count(*) AS n, max(doc_id) AS latest FROM documents GROUP BY 1, 2 ORDER BY latest DESC, lang, source LIMIT 20")
+def recent_ingestions(spark, d):
+    g = table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("latest"))
+    return g.orderBy(F.desc("latest"), "lang", "source").limit(20)
+
+
+@query(
+    f"""WITH p AS (SELECT label, i AS at, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
+q AS (SELECT label, list(x ORDER BY at) AS vector FROM p GROUP BY 1),
+s AS (SELECT i.vec_id, q.label, {_COSINE} AS s FROM embeddings i, q)
+SELECT vec_id, label AS nearest, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM s) WHERE r = 1"""
+)
+def centroid_nearest(spark, d):
+    return C.nearest_centroid(table(spark, d, "embeddings"))
+
+
+@query(
+    _BASE
+    + _DENSE
+    + """, h AS (SELECT dense.*, i.source, i.text FROM dense JOIN i USING (id)), a AS (SELECT q.query_id, q.query, i.source AS asked FROM q JOIN i ON i.id = q.query_id),
+g AS (SELECT h.query_id, avg(CASE WHEN h.source = a.asked THEN 1.0 ELSE 0.0 END) AS aligned, arg_min(similarity, rank) AS raw, arg_min(text, rank) AS content FROM h JOIN a USING (query_id) WHERE rank <= 5 GROUP BY 1),
+x AS (SELECT a.*, g.aligned, g.content, CASE WHEN coalesce(raw, 0) > 1 THEN raw / 10 WHEN coalesce(raw, 0) <= 0.1 THEN least(coalesce(raw, 0) * 20, 1.0) ELSE raw END AS score,
+  list_filter(regexp_split_to_array(trim(lower(query), ' '), '[ \\t\\n\\r\\f\\v]+'), lambda w: length(w) > 3) AS words FROM a LEFT JOIN g USING (query_id)),
+y AS (SELECT *, CASE WHEN len(words) = 0 THEN 0.0 ELSE len(list_filter(words, lambda w: contains(lower(content), w))) / len(words) END AS overlap FROM x),
+z AS (SELECT *, CASE WHEN aligned IS NULL THEN 'none' WHEN asked IS NOT NULL AND aligned < 0.2 THEN 'mismatch' WHEN score >= 0.5 OR (score > 0.3 AND overlap > 0.6) THEN 'match' ELSE 'low' END AS reason FROM y)
+SELECT query_id, reason = 'match' AS passed, round(score, 6) AS score, reason FROM z"""
+)
+def critique(spark, d):
+    index, asked = _index(spark, d), _asked(spark, d)
+    found = R.dense_batch(index, asked).join(index.select("id", F.col("source").alias("regulation"), F.col("text").alias("content")), "id")
+    q = asked.join(index.select(F.col("id").alias("query_id"), F.col("source").alias("regulation")), "query_id")
+    return C.critique(found.withColumnRenamed("similarity", "score"), q)
+
+
+@query(
+    """WITH x AS (SELECT event_id, user_id % 5 AS docs, user_id % 11 = 0 AS mismatch, value / 1000 AS raw FROM events), y AS (SELECT *, CASE WHEN raw <= 0.1 THEN least(raw * 20, 1.0) ELSE raw END AS score FROM x)
+SELECT event_id, docs = 0 OR mismatch OR docs < 3 OR (raw > 0 AND raw <= 0.05 AND score < 0.5) OR score < CAST(0.5 AS DOUBLE) - CAST(0.05 AS DOUBLE) AS heal FROM y"""
+)
+def heal_policy(spark, d):
+    raw = F.col("value") / 1000
+    score = F.when(raw <= 0.1, F.least(raw * 20, F.lit(1.0))).otherwise(raw)
+    return table(spark, d, "events").select("event_id", T.should_heal(F.col("user_id") % 5, F.col("user_id") % 11 == 0, raw, score, 0.5).alias("heal"))
+
+
+_CLAIMS = "list_filter(" + _SENT.replace(">= 10", ">= 30") + ", lambda s: NOT starts_with(s, '#') AND len(list_filter(regexp_split_to_array(s, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) >= 6)"
+
+
+@query(
+    f"""WITH c AS (SELECT doc_id, {_CLAIMS} AS claims FROM (SELECT doc_id, concat(text, '. The contractor must follow FAR 52.', doc_id % 300, ' in every such case.') AS text FROM documents))
+SELECT doc_id, CAST(len(claims) AS INTEGER) AS claims, round(CASE WHEN len(claims) = 0 THEN 0.5 ELSE len(list_filter(claims, lambda s: regexp_matches(s, '{Q.CITATION}', 'i'))) / len(claims) END, 6) AS coverage FROM c"""
+)
+def citation_coverage(spark, d):
+    t = F.expr("concat(text, '. The contractor must follow FAR 52.', doc_id % 300, ' in every such case.')")
+    x = table(spark, d, "documents").select("doc_id", t.alias("text"))
+    return x.select("doc_id", F.size(Q.claims(F.col("text"))).alias("claims"), F.round(Q.citation_coverage(F.col("text")), 6).alias("coverage"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in Q.STOP_WORDS) + "]"
+_CONTENT = "list_filter(list_distinct(regexp_extract_all(lower({t}), '" + Q.CONTENT_WORD + "')), lambda w: NOT list_contains(" + _STOP + ", w))"
+
+
+@query(
+    f"""WITH x AS (SELECT item_id, {_CONTENT.format(t='b.text')} AS a, {_CONTENT.format(t='d.text')} AS s FROM benchmark b JOIN documents d ON b.item_id = d.doc_id)
+SELECT item_id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, s)) / len(a) END, 6) AS grounded FROM x"""
+)
+def groundedness(spark, d):
+    b, t = table(spark, d, "benchmark").withColumnRenamed("text", "answer"), table(spark, d, "documents").select("doc_id", "text")
+    return b.join(t, b["item_id"] == t["doc_id"]).select("item_id", F.round(Q.groundedness(F.col("answer"), F.col("text")), 6).alias("grounded"))
+
+
+@query(
+    """WITH x AS (SELECT event_id, user_id % 4 AS docs, value / 977 AS average, least(1.0, value / 491) AS top, CAST(user_id % 10 AS DOUBLE) / 10 AS grounded, CAST(event_id % 5 AS DOUBLE) / 5 AS coverage, event_id % 2 = 0 AS relaxed, event_id % 3 = 0 AS clause, event_type <> 'error' AS scope FROM events),
+e AS (SELECT *, greatest(average, CAST(0.7 AS DOUBLE) * top + CAST(0.3 AS DOUBLE) * average) AS ev FROM x),
+q AS (SELECT *, least(greatest(CAST(0.45 AS DOUBLE) * ev + CASE WHEN relaxed THEN CAST(0.35 AS DOUBLE) * grounded + CAST(0.2 AS DOUBLE) * coverage ELSE CAST(0.3 AS DOUBLE) * grounded + CAST(0.25 AS DOUBLE) * coverage END, 0.0), 1.0) AS quality FROM e),
+c AS (SELECT *, least(greatest(CAST(0.45 AS DOUBLE) * ev + CAST(0.25 AS DOUBLE) * grounded + CAST(0.2 AS DOUBLE) * coverage + CAST(0.1 AS DOUBLE) * quality, 0.0), 1.0) AS confidence FROM q),
+l AS (SELECT *, docs < CASE WHEN clause THEN 1 ELSE 2 END OR (confidence < 0.3 AND average < 0.35) AS low FROM c)
+SELECT event_id, round(quality, 4) AS quality, round(confidence, 4) AS confidence, low AS low_confidence, docs <= 0 OR (scope AND low AND confidence < 0.25) AS show_banner FROM l"""
+)
+def answer_quality(spark, d):
+    e = table(spark, d, "events").where("value is not null")
+    top = F.least(F.lit(1.0), F.col("value") / 491)
+    of = Q.answer_quality(F.col("user_id") % 4, F.col("value") / 977, top, (F.col("user_id") % 10) / 10, (F.col("event_id") % 5) / 5, F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.col("event_type") != "error")
+    return e.select("event_id", of.alias("a")).select("event_id", "a.*")
+
+
+_REG = "CASE WHEN regexp_matches({r}, '^EM[\\s\\-]*385$') THEN 'EM385' ELSE {r} END"
+
+
+@query(
+    f"""WITH x AS (SELECT item_id, ['FAR 52.236-2 ', 'the dfars says ', 'EM 385-1-1 on ', ''][item_id % 4 + 1] || text AS q FROM benchmark),
+y AS (SELECT item_id, regexp_extract(q, '{I.CLAUSE}', 2, 'i') AS clause, upper(regexp_extract(q, '{I.CLAUSE}', 1, 'i')) AS r, upper(regexp_extract(q, '{I.SOURCE}', 1, 'i')) AS s FROM x)
+SELECT item_id, CASE WHEN clause <> '' THEN 'clause_lookup' WHEN s <> '' THEN 'regulation_search' ELSE 'out_of_scope' END AS intent, CASE WHEN clause <> '' THEN 1.0 WHEN s <> '' THEN 0.8 ELSE 0.0 END AS confidence,
+  CASE WHEN clause <> '' THEN {_REG.format(r='r')} WHEN s <> '' THEN {_REG.format(r='s')} END AS regulation, CASE WHEN clause <> '' THEN clause END AS clause FROM y"""
+)
+def intent_by_wording(spark, d):
+    start = F.element_at(F.array(*map(F.lit, ("FAR 52.236-2 ", "the dfars says ", "EM 385-1-1 on ", ""))), (F.col("item_id") % 4 + 1).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", I.intent(F.concat(start, F.col("text"))).alias("i")).select("item_id", "i.*")
+
+
+@query(
+    _BASE
+    + _DENSE
+    + """, w AS (SELECT DISTINCT query_id, source FROM dense JOIN i USING (id) WHERE rank <= 8)
+SELECT * FROM (SELECT query_id, i.id, row_number() OVER (PARTITION BY query_id ORDER BY i.id) AS rank FROM w JOIN i USING (source) WHERE i.id % 10 = 0) WHERE rank <= 25"""
+)
+def anchor_lookup(spark, d):
+    index = _index(spark, d).select("*", F.col("source").alias("section"), (F.col("id") % 10 == 0).alias("is_anchor"))
+    return C.anchors(R.dense_batch(index, _asked(spark, d)).join(index.select("id", "section"), "id"), index)
+
+
+@query(
+    _BASE
+    + _DENSE
+    + """, r AS (SELECT q.query_id, i.source, w.clause FROM q JOIN i ON i.id = q.query_id, (VALUES ('tion'), ('en')) w(clause)),
+f AS (SELECT r.query_id, r.source, r.clause, i.id FROM r JOIN i USING (source) WHERE contains(lower(i.text), r.clause) AND NOT EXISTS (SELECT 1 FROM dense h WHERE h.query_id = r.query_id AND h.id = i.id)),
+e AS (SELECT DISTINCT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, clause ORDER BY id) AS n FROM f) WHERE n <= 5)
+SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM e) WHERE rank <= 20"""
+)
+def reference_expansion(spark, d):
+    index, asked = _index(spark, d).withColumn("section", F.lit("")), _asked(spark, d)
+    refs = asked.join(index.select(F.col("id").alias("query_id"), "source"), "query_id").select("query_id", "source", F.explode(F.array(F.lit("tion"), F.lit("en"))).alias("clause"))
+    return C.expand_references(refs, index, R.dense_batch(index, asked))
+
+
+_HEADS = ("PART 5 ", "Subpart 5.2 ", "52.236-2 ", "", "", "APPENDIX A ", "A-1 ", "")
+_LINES = f"""WITH l AS (SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+h AS (SELECT doc_id, pos, trim({list(_HEADS)!r}[(doc_id + pos) % 8 + 1] || t, ' ') AS line FROM l),
+k AS (SELECT *, CASE WHEN line = '' THEN 'EMPTY' WHEN regexp_matches(line, '{S.FOOTER}') THEN 'FOOTER' {' '.join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in S.REGULATION_LINES)} ELSE 'BODY' END AS kind FROM h)"""
+
+
+def _headed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as FAR texts, with headings before some of their lines."""
+    head = lambda i: F.element_at(F.array(*map(F.lit, _HEADS)), ((F.col("doc_id") + i) % 8 + 1).cast("int"))
+    text = F.array_join(F.transform(F.split("text", "\n"), lambda t, i: F.concat(head(i), t)), "\n")
+    return table(spark, d, "documents").select("doc_id", F.lit("FAR").alias("source"), text.alias("text"))
+
+
+@query(_LINES + " SELECT kind, count(*) AS n FROM k GROUP BY 1")
+def line_classes(spark, d):
+    return S.lines(_headed(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    _LINES
+    + """, c AS (SELECT doc_id, pos, line, kind, sum(CASE WHEN kind IN ('SECTION', 'APPENDIX_SECTION') THEN 1 ELSE 0 END) OVER w AS section, last_value(CASE WHEN kind = 'PART' THEN line END IGNORE NULLS) OVER w AS pt, coalesce(max(CASE WHEN kind = 'PART' THEN pos END) OVER w, -1) AS pp,
+  last_value(CASE WHEN kind = 'SUBPART' THEN line END IGNORE NULLS) OVER w AS st, coalesce(max(CASE WHEN kind = 'SUBPART' THEN pos END) OVER w, -1) AS sp, coalesce(max(CASE WHEN kind = 'APPENDIX' THEN pos END) OVER w, -1) AS ap
+  FROM k WHERE kind NOT IN ('EMPTY', 'FOOTER') WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, CAST(section AS BIGINT) AS section, md5(arg_min(line, pos)) AS heading, md5(first(CASE WHEN pp > ap THEN pt END ORDER BY pos)) AS part, md5(first(CASE WHEN sp > greatest(pp, ap) THEN st END ORDER BY pos)) AS subpart, count(*) AS n_lines
+FROM c WHERE section > 0 AND kind IN ('SECTION', 'APPENDIX_SECTION', 'BODY') GROUP BY doc_id, section"""
+)
+def structured_sections(spark, d):
+    s = S.sections(S.lines(_headed(spark, d)))
+    return s.select("doc_id", "section", *(F.md5(c).alias(c) for c in ("heading", "part", "subpart")), "n_lines")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lexilake.functions import text as T
 from lexilake.operators.retrieval import ranked
-from lexilake.operators.upkeep import first_of_each
 
 
 def anchors(hits: DataFrame, index: DataFrame, top: int = 8, k: int = 25) -> DataFrame:

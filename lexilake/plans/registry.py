@@ -357,8 +357,8 @@ def recent_ingestions(spark, d):
 
 
 @query(
-    f"""WITH p AS (SELECT label, i AS at, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
-q AS (SELECT label, list(x ORDER BY at) AS vector FROM p GROUP BY 1),
+    f"""WITH p AS (SELECT label, i AS j, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
+q AS (SELECT label, list(x ORDER BY j) AS vector FROM p GROUP BY 1),
 s AS (SELECT i.vec_id, q.label, {_COSINE} AS s FROM embeddings i, q)
 SELECT vec_id, label AS nearest, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS r FROM s) WHERE r = 1"""
 )
@@ -412,7 +412,7 @@ _CONTENT = "list_filter(list_distinct(regexp_extract_all(lower({t}), '" + Q.CONT
 
 
 @query(
-    f"""WITH x AS (SELECT item_id, {_CONTENT.format(t='b.text')} AS a, {_CONTENT.format(t='d.text')} AS s FROM benchmark b JOIN documents d ON b.item_id = d.doc_id)
+    f"""WITH x AS (SELECT item_id, {_CONTENT.replace('{t}', 'b.text')} AS a, {_CONTENT.replace('{t}', 'd.text')} AS s FROM benchmark b JOIN documents d ON b.item_id = d.doc_id)
 SELECT item_id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, s)) / len(a) END, 6) AS grounded FROM x"""
 )
 def groundedness(spark, d):

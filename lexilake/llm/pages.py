@@ -5,10 +5,11 @@ article, furniture (navigation, header, footer, sidebar, notice, advert, form, c
 the open body. Pages of one host are sorted by URL path; a page is paired with whichever sorted neighbour has the
 longer path prefix in common. Their lines are aligned by longest common subsequence and shared lines are deleted.
 
-Two things differencing alone gets wrong are put right by the zones: lines of a marked article stay though another
-page has them (copies of an article sit next to each other), and furniture goes though no other page has it (adverts
-differ from page to page). A neighbour that shares more than half of a page's open text is a copy of it, not
-evidence of furniture, and deletes nothing.
+The body is the marked article where there is one, else the open lines; shared lines are deleted from either. Two
+things differencing alone gets wrong are put right: furniture goes though no other page has it (adverts differ from
+page to page), as do open lines beside a marked article; and copies of a page sit next to each other. Where the
+nearest page shares more than half of the body, only lines that the page on the other side has too are deleted. If
+that leaves less than COPY_REST of the body, all of these are copies, not evidence of furniture, and delete nothing.
 
 Plan. One pass over the html; what is shuffled is the lines, compressed, and one hash a line for the neighbours. A host
 of many pages is split by hash into groups of about GROUP pages, within which nearest is meant.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from lexilake.llm.common import bounded_batches
 
 GROUP = 5000
 ARTICLE, OPEN, FURNITURE = 2, 1, 0
+COPY_REST = 0.1  # a page of whose body less than this is its own has copies for neighbours
 
 # fixed values: HTML names
 RAW = "script style noscript template svg math iframe object canvas select textarea title"
@@ -146,20 +149,24 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     return out
 
 
-def main_text(lines: list[tuple[int, str]], shared: set[int]) -> tuple[str, int]:
-    """(text, number of lines that differencing deleted)."""
+def main_text(lines: list[tuple[int, str]], shared: set[int], beside: Callable[[], set[int] | None] = lambda: None) -> tuple[str, int]:
+    """(text, number of lines that differencing deleted).
+
+    shared: places of the lines shared with the nearest page. beside() gives those shared with the page on the other
+    side, None where there is none; it is asked only where the nearest page may be a copy.
+    """
     marked = any(z == ARTICLE for z, _ in lines)
-    keep, gone = [], 0
-    open_size = sum(len(t) for z, t in lines if z == OPEN)
-    copy = not marked and 2 * sum(len(lines[i][1]) for i in shared if lines[i][0] == OPEN) > open_size
-    for i, (zone, t) in enumerate(lines):
-        if zone == ARTICLE:
-            keep.append(t)
-        elif i in shared and not copy:
-            gone += 1
-        elif zone == OPEN and not marked:
-            keep.append(t)
-    return " ".join(keep), gone
+    body = {i: len(t) for i, (z, t) in enumerate(lines) if z == (ARTICLE if marked else OPEN)}
+    size, left = sum(body.values()), sum(n for i, n in body.items() if i not in shared)
+    if 2 * left < size:
+        other = beside()
+        if other is not None:
+            shared = shared & other
+            left = sum(n for i, n in body.items() if i not in shared)
+        if left < COPY_REST * size:
+            shared = set()
+    keep = [lines[i][1] for i in body if i not in shared]
+    return " ".join(keep), len(shared)
 
 
 def _read(batches):
@@ -177,8 +184,9 @@ def _differ(batches):
     open_ = zstandard.ZstdDecompressor()
     for b in batches:
         text, gone = [], []
-        for data, own, other in zip(*(b.column(c).to_pylist() for c in ("lines", "own", "other")), strict=True):
-            t, n = main_text(json.loads(open_.decompress(data).decode("utf-8", "surrogatepass")), shared_lines(own, other or []))
+        for data, own, other, far in zip(*(b.column(c).to_pylist() for c in ("lines", "own", "other", "far")), strict=True):
+            beside = lambda own=own, far=far: None if far is None else shared_lines(own, far)
+            t, n = main_text(json.loads(open_.decompress(data).decode("utf-8", "surrogatepass")), shared_lines(own, other or []), beside)
             text.append(t)
             gone.append(n)
         yield pa.RecordBatch.from_arrays(
@@ -217,6 +225,7 @@ def extract_pages(pages: DataFrame, group: int = GROUP) -> DataFrame:
     chosen = near.select(
         "page_id", "url", "lines", "own",
         F.when(known, F.when(first, F.col("before_own")).otherwise(F.col("after_own"))).alias("other"),
+        F.when(known, F.when(first, F.col("after_own")).otherwise(F.col("before_own"))).alias("far"),
         F.when(known, F.when(first, F.col("before_page_id")).otherwise(F.col("after_page_id"))).alias("neighbour"),
     )
     return chosen.mapInArrow(_differ, "page_id long, url string, text string, n_chars long, n_shared long, neighbour long")

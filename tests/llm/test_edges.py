@@ -105,6 +105,24 @@ def test_pages(spark):
     assert pages.extract_pages(spark.createDataFrame([], shape)).count() == 0
 
 
+def read_pages(spark, rows, **options):
+    return {r.page_id: r for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+
+
+def test_shared_lines_go_from_the_article_and_copies_stay(spark):
+    own = lambda k: " ".join(f"own{k}x{i}" for i in range(120))
+    rest = "".join(f"<div>menu {j} " + "of the site " * 60 + "</div>" for j in range(4))
+    bar = "<p>pass this on to your friends</p>"
+    rows = [(k, f"http://open/{k}", f"<body>{rest}<div>{own(k)}</div>") for k in (1, 2)]
+    rows += [(k, f"http://marked/{k}", f"<body><article><p>{own(k)}</p>{bar}</article>") for k in (3, 4)]
+    # two copies and a page with the same bar; a copy alone with its copy
+    rows += [(k, f"http://copies/a/{k}", f"<body><article><p>{own(0)}</p><p>{own(9)}</p>{bar}</article>") for k in (5, 6)]
+    rows += [(7, "http://copies/b", f"<body><article><p>{own(7)}</p>{bar}</article>"), (8, "http://two/a", f"<body><p>{own(8)}"), (9, "http://two/b", f"<body><p>{own(8)}")]
+    got = {k: r.text for k, r in read_pages(spark, rows).items()}
+    assert [got[k] for k in (1, 2, 3, 4, 7, 8, 9)] == [own(k) for k in (1, 2, 3, 4, 7, 8, 8)]
+    assert got[6] == own(0) + " " + own(9)
+
+
 def test_neighbours(spark):
     shape = "vec_id long, embedding array<double>, block int, dim int"
     nan, inf = float("nan"), float("inf")

@@ -37,6 +37,8 @@ COPY_REST = 0.1  # a page of whose body less than this is its own has copies for
 
 # fixed values: HTML names
 RAW = "script style noscript template svg math iframe object canvas select textarea title"
+RAW_TEXT = "script style textarea title"
+SELF_CLOSING = "svg math"
 BLOCKS = "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul"
 NESTED = "article aside blockquote body button details dialog div dl fieldset figure footer form header label main menu nav ol section table ul"
 FURNITURE_TAGS = "nav footer aside form button dialog menu label fieldset head"
@@ -45,6 +47,8 @@ FURNITURE_WORDS = "ad ads advert adverts advertisement advertising banner breadc
 
 _RAW, _BLOCK, _NEST = (frozenset(x.split()) for x in (RAW, BLOCKS, NESTED))
 _TAGS, _ROLES, _WORDS = (frozenset(x.split()) for x in (FURNITURE_TAGS, FURNITURE_ROLES, FURNITURE_WORDS))
+_TEXT, _EMPTY = (frozenset(x.split()) for x in (RAW_TEXT, SELF_CLOSING))
+_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in _RAW}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -72,7 +76,7 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     text, link, stack = [], 0, [("", OPEN)]
     html = html or ""
-    in_link = False
+    in_link, unclosed = False, set()
 
     def flush():
         nonlocal text, link
@@ -99,8 +103,15 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
         if not name:
             continue
         if name in _RAW and not m[1]:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if name in _EMPTY and m[3].endswith("/"):
+                continue
+            end = None if name in unclosed else _END[name].search(html, at)
+            if end:
+                at = end.end()
+            elif name in _TEXT:
+                at = len(html)
+            else:
+                unclosed.add(name)  # only the tag goes; no later one is closed either
             continue
         if name == "a":
             in_link = not m[1]

@@ -123,6 +123,14 @@ def test_shared_lines_go_from_the_article_and_copies_stay(spark):
     assert got[6] == own(0) + " " + own(9)
 
 
+def test_raw_tags_lose_no_article():
+    text = lambda html: pages.main_text(pages.page_lines(html), set())[0]
+    for raw in ("<svg class='i' />", "<math/>", "<svg/><p><svg>x</svg></p>", "<noscript>", "<object data=x>", "<canvas>", "<svg>", "<script>x</script>", "<svg><path/></svg>"):
+        assert text(f"<body>{raw}<article><p>the text</p></article><p>after") == "the text", raw
+    assert text("<body><svg/><p>kept</p><svg>x</svg>") == "kept"
+    assert text("<body><p>kept</p><script>x<p>y</p>") == "kept"
+
+
 def test_neighbours(spark):
     shape = "vec_id long, embedding array<double>, block int, dim int"
     nan, inf = float("nan"), float("inf")

@@ -11,27 +11,30 @@ page to page), as do open lines beside a marked article; and copies of a page si
 nearest page shares more than half of the body, only lines that the page on the other side has too are deleted. If
 that leaves less than COPY_REST of the body, all of these are copies, not evidence of furniture, and delete nothing.
 
-Plan. One pass over the html; what is shuffled is the lines, compressed, and one hash a line for the neighbours. A host
-of many pages is split by hash into groups of about GROUP pages, within which nearest is meant.
+Plan. What is shuffled is the lines, compressed, and one hash a line for the neighbours. Pages are dealt by ranges of
+(host, path, page_id), cut at bounds from a sample, so a large host spreads over tasks. A range's first and last page
+meet the next range's through a table of both, two pages a range, held by every task.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
+import itertools
 import json
+import os
 import re
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import bounded_batches
+from lexilake.llm.common import bounded_batches, partitions
 
-GROUP = 5000
+PART_ROWS = 20_000
 ARTICLE, OPEN, FURNITURE = 2, 1, 0
 COPY_REST = 0.1  # a page of whose body less than this is its own has copies for neighbours
 
@@ -180,33 +183,109 @@ def main_text(lines: list[tuple[int, str]], shared: set[int], beside: Callable[[
     return " ".join(keep), len(shared)
 
 
-def _read(batches):
-    pack = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        pages = [page_lines(x.as_py()) for x in b.column(3)]
-        hashes = [[xxhash.xxh64_intdigest(t) - 2**63 for _, t in p] for p in pages]
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(j) for j in range(3)), pa.array([pack.compress(json.dumps(p, ensure_ascii=False).encode("utf-8", "surrogatepass")) for p in pages], pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
-            ["page_id", "url", "row", "lines", "own"],
-        )
-
-
-def _differ(batches):
-    open_ = zstandard.ZstdDecompressor()
-    for b in batches:
-        text, gone = [], []
-        for data, own, other, far in zip(*(b.column(c).to_pylist() for c in ("lines", "own", "other", "far")), strict=True):
-            beside = lambda own=own, far=far: None if far is None else shared_lines(own, far)
-            t, n = main_text(json.loads(open_.decompress(data).decode("utf-8", "surrogatepass")), shared_lines(own, other or []), beside)
-            text.append(t)
-            gone.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(gone, pa.int64()), b.column(b.schema.get_field_index("neighbour"))],
-            ["page_id", "url", "text", "n_chars", "n_shared", "neighbour"],
-        )
-
-
-def extract_pages(pages: DataFrame, group: int = GROUP) -> DataFrame:
+def _hashes(lines: list[tuple[int, str]]) -> list[int]:
+    return [xxhash.xxh64_intdigest(t) - 2**63 for _, t in lines]
+
+
+def _key(host: str, path: str, page_id: int | None) -> tuple:
+    """Spark's order of (host, path, page_id): bytes, nulls first."""
+    return host.encode(), path.encode(), page_id is not None, page_id or 0
+
+
+def _reader(bounds: list[tuple]):
+    """Reads pages; part: the place of the page's key among the bounds. Pages without a host need no order."""
+
+    def read(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            pages = [page_lines(x.as_py()) for x in b.column(5)]
+            keys = zip(*(b.column(j).to_pylist() for j in (2, 3, 0, 4)), strict=True)
+            part = [bisect.bisect_right(bounds, _key(h, p, i)) if h else row % (len(bounds) + 1) for h, p, i, row in keys]
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(j) for j in range(5)), pa.array(part, pa.int32()), pa.array([pack.compress(json.dumps(p, ensure_ascii=False).encode("utf-8", "surrogatepass")) for p in pages], pa.binary()), pa.array([_hashes(p) for p in pages], pa.list_(pa.int64()))],
+                ["page_id", "url", "host", "path", "row", "part", "lines", "own"],
+            )
+
+    return read
+
+
+def _common(a: str, b: str) -> int:
+    return len(os.path.commonprefix([a, b]))
+
+
+def _differ(edges: dict[int, tuple[tuple, tuple]]):
+    """Compares pages in order of (part, key). edges: (page_id, host, path, own) of each part's first and last page."""
+    parts = sorted(edges)
+
+    def pages(batches):
+        for b in batches:
+            yield from zip(*(b.column(c).to_pylist() for c in ("part", "page_id", "host", "path", "own", "lines", "url")), strict=True)
+
+    def compared(batches):
+        open_, out = zstandard.ZstdDecompressor(), []
+        before = now = None
+        for after in itertools.chain(pages(batches), [None]):
+            if now:
+                part, page_id, host, path, own, lines, url = now
+                k = bisect.bisect_left(parts, part)
+                left = before[1:5] if before and before[0] == part and before[2] else edges[parts[k - 1]][1] if k else None
+                k = bisect.bisect_right(parts, part)
+                right = after[1:5] if after and after[0] == part else edges[parts[k]][0] if k < len(parts) else None
+                left, right = (x if x and host and x[1] == host else None for x in (left, right))
+                near, far = left, right
+                if right and (not left or _common(path, right[2]) > _common(path, left[2])):
+                    near, far = right, left
+                beside = lambda own=own, far=far: shared_lines(own, far[3]) if far else None
+                text, gone = main_text(json.loads(open_.decompress(lines).decode("utf-8", "surrogatepass")), shared_lines(own, near[3]) if near else set(), beside)
+                out.append((page_id, url, text, len(text), gone, near and near[0]))
+                if len(out) == 512:
+                    yield _results(out)
+                    out = []
+            before, now = now, after
+        yield _results(out)
+
+    return compared
+
+
+def _results(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["page_id", "url", "text", "n_chars", "n_shared", "neighbour"])
+
+
+def _bounds(keys: DataFrame, parts: int) -> list[tuple]:
+    """Keys that cut the pages with a host into about so many parts, from a sample of about 100 keys a part."""
+    share = min(1.0, 100.0 * parts / max(1, keys.count()))
+    sample = sorted(_key(*r) for r in keys.select("host", "path", "page_id").sample(share, 42).collect())
+    return sorted({sample[len(sample) * j // parts] for j in range(1, parts)} if sample else ())
+
+
+def _edges(rows: DataFrame, keys: DataFrame, bounds: list[tuple]) -> dict[int, tuple[tuple, tuple]]:
+    """(page_id, host, path, own) of the first and last page of each part, at most one part more than bounds."""
+
+    def dealt(batches):
+        for b in batches:
+            part = [bisect.bisect_right(bounds, _key(*k)) for k in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part, pa.int32())], ["host", "path", "page_id", "url", "part"])
+
+    def read(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(4)), pa.array([_hashes(page_lines(x.as_py())) for x in b.column(4)], pa.list_(pa.int64()))], ["part", "last", "page_id", "url", "own"])
+
+    key = F.struct("host", "path", "page_id", "url")
+    ends = keys.select("host", "path", "page_id", "url").mapInArrow(dealt, "host string, path string, page_id long, url string, part int").groupBy("part").agg(F.min(key).alias("a"), F.max(key).alias("z")).collect()
+    if not ends:
+        return {}
+    wanted = keys.sparkSession.createDataFrame([(r["part"], last, k["page_id"], k["url"]) for r in ends for last, k in ((False, r["a"]), (True, r["z"]))], "part int, last boolean, p long, u string")
+    # of rows that share page_id and url, the first and last in the order of the pages
+    met = rows.join(F.broadcast(wanted), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("url") == F.col("u")))
+    html = F.struct("row", "html")
+    met = met.groupBy("part", "last", "page_id", "url").agg(F.min(html).alias("a"), F.max(html).alias("z"))
+    met = met.select("part", "last", "page_id", "url", F.when(F.col("last"), F.col("z.html")).otherwise(F.col("a.html")).alias("html"))
+    own = {(r["part"], r["last"]): r["own"] for r in met.mapInArrow(read, "part int, last boolean, page_id long, url string, own array<long>").collect()}
+    return {r["part"]: tuple((k["page_id"], k["host"], k["path"], own[r["part"], last]) for last, k in ((False, r["a"]), (True, r["z"]))) for r in ends}
+
+
+def extract_pages(pages: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per row of pages(page_id, url, html): page_id, url, text, n_chars, n_shared, neighbour.
 
     Null html is empty and gives an empty text. Pages without a url, or alone on their host, have no neighbour;
@@ -214,37 +293,21 @@ def extract_pages(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """
     spark = pages.sparkSession
     bounded_batches(spark, 512)
-    shape = "page_id long, url string, row long, lines binary, own array<long>"
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.lit(0).cast("long").alias("row"), F.col("html").cast("string").alias("html"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)", 1)
-    sizes = pages.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n"))
-    wide = sizes.where(F.col("n") > group).select(F.col("host").alias("h"), F.ceil(F.col("n") / group).alias("salts"))
-    read = rows.mapInArrow(_read, shape).withColumn("host", host).withColumn("path", path)
-    read = read.join(F.broadcast(wide) if _few(wide) else wide, F.col("host") == F.col("h"), "left")
-    read = read.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))))
-    w = Window.partitionBy("host", "salt").orderBy("path", "page_id", "url")
-    known = F.col("host") != ""
-    near = read.select(
-        "*",
-        *(f(c, 1).over(w).alias(f"{side}_{c}") for side, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "own", "page_id")),
-    )
-    common = lambda side: F.expr(
-        f"case when {side}_path is null then -1 else aggregate(sequence(1, least(64, length(path), length({side}_path)) + 1), 0, (n, i) -> if(n = i - 1 and i <= least(64, length(path), length({side}_path)) and substr(path, i, 1) = substr({side}_path, i, 1), i, n)) end"
+    shape = "page_id long, url string, host string, path string, row long, part int, lines binary, own array<long>"
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)).alias("host"),
+        F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
+        F.xxhash64(F.col("html").cast("string")).alias("row"),
+        F.col("html").cast("string").alias("html"),
     )
-    first = common("before") >= common("after")
-    chosen = near.select(
-        "page_id", "url", "lines", "own",
-        F.when(known, F.when(first, F.col("before_own")).otherwise(F.col("after_own"))).alias("other"),
-        F.when(known, F.when(first, F.col("after_own")).otherwise(F.col("before_own"))).alias("far"),
-        F.when(known, F.when(first, F.col("before_page_id")).otherwise(F.col("after_page_id"))).alias("neighbour"),
-    )
-    return chosen.mapInArrow(_differ, "page_id long, url string, text string, n_chars long, n_shared long, neighbour long")
-
-
-def _few(hosts: DataFrame, limit: int = 10_000) -> bool:
-    """Whether a table of hosts is small enough to broadcast; it is counted, not guessed."""
-    return hosts.limit(limit + 1).count() <= limit
+    keys = rows.where("host <> ''").select("host", "path", "page_id", "url")
+    tasks = partitions(spark)
+    bounds = _bounds(keys, max(4 * tasks, -(-pages.count() // part_rows)))
+    dealt = rows.mapInArrow(_reader(bounds), shape).repartition(tasks, "part").sortWithinPartitions("part", "host", "path", "page_id", "url", "row")
+    return dealt.mapInArrow(_differ(_edges(rows, keys, bounds)), "page_id long, url string, text string, n_chars long, n_shared long, neighbour long")
 
 
 def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

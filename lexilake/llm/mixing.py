@@ -5,14 +5,18 @@ weight w is released at slot floor((j - 1) / w) and due at slot ceil(j / w); eac
 the one of earliest deadline (Baruah et al., "Proportionate Progress"). With weights that sum to one every deadline
 is met, so after any number of slots each source is within one block of its share.
 
-Weights are integers that sum to RESOLUTION, so the schedule repeats every RESOLUTION slots: one period is computed
-on the driver (its size is the resolution's, not the data's), and a block's slot follows from its number alone. When a
-source is used up the rest go on with their weights scaled up: at most one such phase a source. Nothing is dropped.
+Weights are exact: integers in the proportions of the decimals given. The schedule repeats every sum of them slots; it
+is computed on the driver for one period, or up to the phase's end where that comes first, so it has at most a slot a
+block of BLOCK_CHARS characters. When a source is used up the rest go on with their weights scaled up: at most one
+such phase a source. Nothing is dropped: a source of weight zero counts as one in RESOLUTION.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,19 +29,38 @@ BUCKETS = 1024
 def whole_weights(weights: dict[str, float], total: int) -> dict[str, int]:
     """Integers of at least 1 that sum to total, near the given proportions (largest remainders)."""
     total = max(total, len(weights))
-    sum_ = sum(weights.values())
-    if not weights or any(w < 0 for w in weights.values()) or sum_ <= 0:
+    if not weights or any(w < 0 for w in weights.values()) or sum(weights.values()) <= 0:
         raise ValueError("weights must be positive in sum and none negative")
-    exact = {s: w / sum_ * (total - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
+    exact = {s: Fraction(str(w)) * total for s, w in weights.items()}
+    sum_ = sum(Fraction(str(w)) for w in weights.values())
+    out = {s: int(x / sum_) for s, x in exact.items()}
     rest = total - sum(out.values())
-    for s in sorted(exact, key=lambda s: (-(exact[s] % 1), s))[:rest]:
+    for s in sorted(exact, key=lambda s: (-(exact[s] / sum_ % 1), s))[:rest]:
         out[s] += 1
+    for s in [s for s in out if not out[s]]:
+        out[max(out, key=lambda s: (out[s], s))] -= 1
+        out[s] = 1
     return out
 
 
-def pfair_period(weights: dict[str, int]) -> dict[tuple[str, int], int]:
-    """slot of (source, block) for the blocks 0 .. weight - 1 of each source within one period of sum(weights) slots."""
+def exact_weights(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
+    """Least integers in exactly the given proportions; a zero counts as one in resolution."""
+    given = {s: Fraction(str(w)) for s, w in weights.items()}
+    sum_ = sum(given.values())
+    if not given or min(given.values()) < 0 or not sum_:
+        raise ValueError("weights must be positive in sum and none negative")
+    given = {s: w or sum_ / resolution for s, w in given.items()}
+    scale = math.lcm(*(w.denominator for w in given.values()))
+    whole = {s: int(w * scale) for s, w in given.items()}
+    common = math.gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
+
+
+def pfair_period(weights: dict[str, int], left: dict[str, int] | None = None) -> dict[tuple[str, int], int]:
+    """slot of (source, block) for the blocks 0 .. weight - 1 of each source within one period of sum(weights) slots.
+
+    left: blocks that each source has; the schedule stops at the first last one.
+    """
     period = sum(weights.values())
     release = lambda s, j: j * period // weights[s]  # noqa: E731  floor(j / w)
     due = lambda s, j: -(-(j + 1) * period // weights[s])  # noqa: E731  ceil((j + 1) / w)
@@ -45,12 +68,16 @@ def pfair_period(weights: dict[str, int]) -> dict[tuple[str, int], int]:
     heapq.heapify(waiting)
     ready: list[tuple] = []
     out = {}
-    for slot in range(period):
+    for slot in itertools.count():
+        if slot == period:
+            break
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due(s, j), -weights[s], s, j))
         _, _, s, j = heapq.heappop(ready)
         out[s, j] = slot
+        if left and j + 1 == left[s]:
+            break
         if j + 1 < weights[s]:
             heapq.heappush(waiting, (max(slot + 1, release(s, j + 1)), s, j + 1))
     return out
@@ -59,13 +86,17 @@ def pfair_period(weights: dict[str, int]) -> dict[tuple[str, int], int]:
 def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int) -> list[dict]:
     """Until every source is used up: its active sources' weights, each one's first block, and its first slot."""
     out, done, slot = [], dict.fromkeys(blocks, 0), 0
-    while active := {s: weights[s] for s in blocks if done[s] < blocks[s]}:
-        whole = whole_weights(active, resolution)
-        period, table = sum(whole.values()), pfair_period(whole)
+    exact = exact_weights({s: weights[s] for s in blocks}, resolution) if blocks else {}
+    while active := {s: exact[s] for s in blocks if done[s] < blocks[s]}:
+        common = math.gcd(*active.values())
+        whole = {s: w // common for s, w in active.items()}
         left = {s: blocks[s] - done[s] for s in active}
-        # slot after the last block of the source that ends first
-        ends = {s: (left[s] - 1) // whole[s] * period + table[s, (left[s] - 1) % whole[s]] + 1 for s in active}
-        length = min(ends.values())
+        period, table = sum(whole.values()), pfair_period(whole, left)
+        if len(table) == period:
+            # slot after the last block of the source that ends first
+            length = min((left[s] - 1) // whole[s] * period + table[s, (left[s] - 1) % whole[s]] + 1 for s in active)
+        else:
+            length = len(table)
         rounds, rest = divmod(length, period)
         out.append({"weights": whole, "period": period, "table": table, "first": {s: done[s] for s in active}, "slot": slot, "length": length})
         taken = {s: rounds * whole[s] for s in active}
@@ -106,20 +137,21 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     plan = phases(blocks, target, resolution)
     starts, slots = [], []
     for k, p in enumerate(plan):
-        starts += [(s, k, first, p["weights"][s], p["period"], p["slot"]) for s, first in p["first"].items()]
+        # beyond a long the weight is never reached
+        starts += [(s, k, first, min(p["weights"][s], 2**62), min(p["period"], 2**62), p["slot"]) for s, first in p["first"].items()]
         slots += [(k, s, j, at) for (s, j), at in p["table"].items()]
-    # both have at most sources * resolution rows a phase, whatever the data
+    # starts has a row a source and phase, slots at most one a block
     per_source = {}
     for s, k, first, w, period, slot in starts:
         per_source.setdefault(s, []).append((first, k, w, period, slot))
-    ranges = spark.createDataFrame([(s, sorted(v)) for s, v in per_source.items()], "_s string, _r array<struct<first: long, k: int, w: int, period: int, slot: long>>")
-    table = spark.createDataFrame(slots, "_k int, _s string, _j int, _at int")
+    ranges = spark.createDataFrame([(s, sorted(v)) for s, v in per_source.items()], "_s string, _r array<struct<first: long, k: int, w: long, period: long, slot: long>>")
+    table = spark.createDataFrame(slots, "_k int, _s string, _j long, _at long")
 
     w = Window.partitionBy("_s", "_b").orderBy("_h", "_row.doc_id", "_row.text").rowsBetween(Window.unboundedPreceding, -1)
     placed = own.withColumn("_in", F.coalesce(F.sum("_n").over(w), F.lit(0))).join(before.select("_s", "_b", "_before"), ["_s", "_b"])
     placed = placed.withColumn("mix_place", F.col("_before") + F.col("_in")).withColumn("mix_block", F.floor(F.col("mix_place") / block_chars))
     placed = placed.join(F.broadcast(ranges), "_s").withColumn("_p", F.expr("element_at(filter(_r, r -> r.first <= mix_block), -1)"))
-    placed = placed.withColumn("_k", F.col("_p.k")).withColumn("_j", F.expr("cast((mix_block - _p.first) % _p.w as int)"))
+    placed = placed.withColumn("_k", F.col("_p.k")).withColumn("_j", F.expr("cast((mix_block - _p.first) % _p.w as long)"))
     out = placed.join(F.broadcast(table), ["_k", "_s", "_j"])
     slot = F.expr("_p.slot + (mix_block - _p.first) div _p.w * _p.period + _at")
     return out.withColumn("mix_slot", slot).select("_row.*", "mix_block", "mix_slot", "mix_place")

@@ -166,6 +166,19 @@ def test_pfair_deviation():
         assert all(abs(done[x] - w[x] * (slot + 1) / 200) < 1 for x in w)
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, {"hot": 9.5} | {f"s{i}": 1.0 for i in range(19)}, {"a": 2**0.5, "b": 3**0.5, "c": 1e-3}, {"a": 5, "b": 0}])
+def test_phases_keep_to_the_given_weights(weights):
+    blocks = dict.fromkeys(weights, 9000)
+    first = mixing.phases(blocks, weights, 1000)[0]
+    slots = [(at + n * first["period"], s) for (s, _), at in first["table"].items() for n in range(-(-first["length"] // first["period"]))]
+    done, given = Counter(), {s: w or sum(weights.values()) / 1000 for s, w in weights.items()}
+    assert len([x for x in slots if x[0] < first["length"]]) == first["length"]
+    for slot, s in sorted(x for x in slots if x[0] < first["length"]):
+        done[s] += 1
+        assert all(abs(done[x] - w / sum(given.values()) * (slot + 1)) < 1 + 1e-6 for x, w in given.items())
+    assert mixing.whole_weights({"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, 1000) == {"a": 400, "b": 300, "c": 200, "d": 100}
+
+
 def test_phases_use_every_block_once():
     blocks, slots = {"a": 7, "b": 31, "c": 1}, set()
     for p in mixing.phases(blocks, {"a": 1, "b": 1, "c": 2}, 10):

@@ -5,8 +5,10 @@ Queries are rows: every function takes a table of queries and ranks within each,
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lexilake.functions import text as T
 
@@ -81,13 +83,35 @@ def direct_lookup(index: DataFrame, needle: str, k: int = 10) -> DataFrame:
 
 
 def greedy_budget(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
-    """Of each group, in order, rows that still fit the budget; one that doesn't is skipped, not the end."""
-    folded = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("all"))
-    taken = F.expr(
-        f"aggregate(all, named_struct('used', 0L, 'ids', cast(array() as array<bigint>)), (a, x) -> if(a.used + x.{size} <= {budget}, "
-        f"named_struct('used', a.used + x.{size}, 'ids', concat(a.ids, array(cast(x.{order} as bigint)))), a))"
-    )
-    return folded.select(group, taken.alias("t")).select(group, F.col("t.used").alias("used"), F.size("t.ids").alias("taken"))
+    """Of each group, in order, rows that still fit the budget; one that doesn't is skipped, not the end.
+
+    A group's rows are read in order by one task, which holds a batch of them at a time.
+    """
+    kind = rows.schema[group].dataType
+
+    def fold(batches):
+        key, used, taken, out = None, 0, 0, []
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if key is None or key[0] != k:
+                    if key:
+                        out.append((key[0], used, taken))
+                    key, used, taken = (k,), 0, 0
+                if n is not None and used + n <= budget:
+                    used, taken = used + n, taken + 1
+            if len(out) > 1000:
+                yield _totals(out, b.schema.field(0))
+                out = []
+        if key:
+            yield _totals([*out, (key[0], used, taken)], b.schema.field(0))
+
+    dealt = rows.select(group, F.col(size).cast("long").alias(size), order).repartition(group).sortWithinPartitions(group, order, size).select(group, size)
+    return dealt.mapInArrow(fold, StructType([StructField(group, kind), StructField("used", LongType()), StructField("taken", IntegerType())]))
+
+
+def _totals(rows: list[tuple], group: pa.Field) -> pa.RecordBatch:
+    kinds = (group.type, pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], [group.name, "used", "taken"])
 
 
 def surrounding(index: DataFrame, centres: DataFrame, reach: int = 2) -> DataFrame:

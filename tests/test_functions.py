@@ -35,6 +35,18 @@ def test_budget_skips_but_goes_on(spark):
     assert R.greedy_budget(rows, "g", "i", "n", 10).first()[1:] == (9, 2)
 
 
+def test_budget_builds_no_list_of_a_group(spark):
+    rows = spark.range(40_000).selectExpr("if(id % 3 = 0, null, 'hot') g", "40000 - id i", "if(id % 7 = 0, null, id % 5 + 1) n")
+    frame = R.greedy_budget(rows, "g", "i", "n", 50_000)
+    assert "collect_list" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    expected = {}
+    for g, _, n in sorted(rows.collect(), key=lambda r: r.i):
+        used, taken = expected.get(g, (0, 0))
+        expected[g] = (used + n, taken + 1) if n is not None and used + n <= 50_000 else (used, taken)
+    assert {r.g: (r.used, r.taken) for r in frame.collect()} == expected
+    assert R.greedy_budget(rows.limit(0), "g", "i", "n", 10).count() == 0
+
+
 def test_namespaces_are_segments(spark):
     t = spark.createDataFrame([("pub-a-1", "pub-a"), ("pub-old-1", "pub-old"), ("public-1", "public")], "id string, namespace string")
     assert {r.namespace for r in t.where(U.in_namespace(F.col("namespace"), "pub")).collect()} == {"pub-a", "pub-old"}

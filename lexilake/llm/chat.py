@@ -5,21 +5,26 @@ given turn is kept, relabelled, or merged into the turn before it (relabelled if
 inserted before it. The cheapest repair is a shortest path over the automaton's states; ties go to keeping, then
 merging, then relabelling, then inserting.
 
-Plan. Turns are dealt by (conversation, span of SPAN turn numbers). Each span's turns make one min-plus matrix over
-the states, a conversation's matrices are chained to find the state at each span's ends, and each span is then
-traced by itself. So a long conversation spreads over tasks, and no task holds more of it than its matrices.
+Plan. Turns are dealt by ranges of their order, cut at bounds from a sample, so a long conversation spreads over tasks,
+and a task reads its turns in spans of at most SPAN rows. A conversation within one span is repaired by itself. Each
+span of the others makes one min-plus matrix over the states; the driver chains these (128 bytes a span, at most a
+span in SPAN rows and two a range) to find the state at each span's ends, and each span is then traced by itself.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import Workspace
+from lexilake.llm.common import bounded_batches, partitions
 
 SPAN = 1024
+TASK_ROWS = 200_000
 STATES = ("start", "system", "user", "assistant")
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 FINAL = (0, 2, 3)
@@ -64,8 +69,11 @@ def _costs(role: str | None) -> tuple[np.ndarray, list]:
     return TABLE.get((role or "").strip().lower(), TABLE[""])
 
 
-def trace(roles: list[str | None], first: int, last: int) -> list[tuple[str, int, tuple[int, ...], float]]:
-    """(how, state after, inserted states, cost) of each turn on the cheapest path from one state to another."""
+def trace(roles: list[str | None], first: int, last: int | None) -> list[tuple[str, int, tuple[int, ...], float]]:
+    """(how, state after, inserted states, cost) of each turn on the cheapest path from one state to another.
+
+    Without a last state, the path ends in the cheapest final one.
+    """
     here = np.full(4, _BIG)
     here[first] = 0
     back = np.zeros((len(roles), 4), np.int8)
@@ -73,7 +81,7 @@ def trace(roles: list[str | None], first: int, last: int) -> list[tuple[str, int
         total = here[:, None] + _costs(r)[0]
         back[i] = total.argmin(0)
         here = total.min(0)
-    out, at = [], last
+    out, at = [], _final(here) if last is None else last
     for i in range(len(roles) - 1, -1, -1):
         s = int(back[i, at])
         key, how, ins = _costs(roles[i])[1][s][at]
@@ -82,53 +90,92 @@ def trace(roles: list[str | None], first: int, last: int) -> list[tuple[str, int
     return out[::-1]
 
 
-def _groups(batches, keys: int):
-    """Rows of sorted batches, group by group: (key, rows); rows of one group may lie in more than one batch."""
-    now, rows = None, []
-    for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:keys] != now:
-                if rows:
-                    yield now, rows
-                now, rows = row[:keys], []
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
-def _matrices(batches):
-    found = []
-    for (conv, span), rows in _groups(batches, 2):
-        m = np.where(np.eye(4, dtype=bool), 0.0, _BIG)
-        for row in rows:
-            m = (m[:, :, None] + _costs(row[2])[0][None, :, :]).min(1)
-        found.append((conv, span, np.minimum(m, _BIG).ravel().tolist()))
-        if len(found) == 1000:
-            yield _rows(found, "conv_id span matrix", (pa.int64(), pa.int64(), pa.list_(pa.float64())))
-            found = []
-    yield _rows(found, "conv_id span matrix", (pa.int64(), pa.int64(), pa.list_(pa.float64())))
+def _final(here: np.ndarray) -> int:
+    return min(FINAL, key=lambda s: (here[s], s))
 
 
-def _rows(rows: list, names: str, types) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names.split())
+def _key(conv: int | None, turn: int | None, role: str | None, start: str | None) -> tuple:
+    """Spark's order of turns: bytes, nulls first but for turn; start is how the text begins."""
+    return conv is not None, conv or 0, turn is None, turn or 0, role is not None, (role or "").encode(), start is not None, (start or "").encode()
+
+
+def _dealer(bounds: list[tuple]):
+    """part: the place of a turn's key (its first four columns) among the bounds."""
+
+    def dealt(batches):
+        for b in batches:
+            part = [bisect.bisect_right(bounds, _key(*k)) for k in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in (0, 1, 2, *range(4, b.num_columns))), pa.array(part, pa.int32())], ["conv_id", "turn", "role", *b.schema.names[4:], "part"])
+
+    return dealt
+
+
+def _spans(batches, size: int):
+    """((part, conversation), number of the span in these, whether it can be all of the conversation, rows) of sorted
+    rows that begin with part and conv_id; a span may lie in more than one batch."""
+
+    def cut():
+        now, n, rows = None, 0, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:2] != now or len(rows) == size:
+                    if rows:
+                        yield now, n, rows
+                    now, n, rows = row[:2], n + 1 if row[:2] == now else 0, []
+                rows.append(row)
+        if rows:
+            yield now, n, rows
 
+    before, now = None, None
+    for after in itertools.chain(cut(), [None]):
+        if now:
+            # a part's first and last conversation may go on in another part
+            whole = before and after and before[0] == after[0][0] == now[0][0] and before != now[0] != after[0]
+            yield now[0], now[1], bool(whole), now[2]
+            before = now[0]
+        now = after
 
-def _chain(batches):
-    """State at both ends of each span of a conversation, on its cheapest path."""
-    for b in batches:
+
+def _matrices(size: int):
+    def found(batches):
         out = []
-        for conv, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            here, back = np.array([0, _BIG, _BIG, _BIG]), []
-            for x in spans:
-                total = here[:, None] + np.array(x["matrix"]).reshape(4, 4)
-                back.append(total.argmin(0))
-                here = total.min(0)
-            at = min(FINAL, key=lambda s: (here[s], s))
-            for k in range(len(spans) - 1, -1, -1):
-                s = int(back[k][at])
-                out.append((conv, spans[k]["span"], s, at, k == len(spans) - 1))
-                at = s
-        yield _rows(out, "conv_id span first last final", (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))
+        types, names = (pa.int32(), pa.int64(), pa.int64(), pa.binary()), "part conv_id span matrix"
+        for (part, conv), span, whole, rows in _spans(batches, size):
+            if whole:
+                continue
+            m = np.where(np.eye(4, dtype=bool), 0.0, _BIG)
+            for row in rows:
+                m = (m[:, :, None] + _costs(row[2])[0][None, :, :]).min(1)
+            out.append((part, conv, span, np.minimum(m, _BIG).tobytes()))
+            if len(out) == 1000:
+                yield _rows(out, names, types)
+                out = []
+        yield _rows(out, names, types)
+
+    return found
+
+
+def _chain(spans: list) -> dict[tuple, tuple[int, int, bool]]:
+    """(state before, state after, whether it is its conversation's last) of each (part, conversation, span)."""
+    out = {}
+    order = sorted(spans, key=lambda x: (x["conv_id"] is not None, x["conv_id"] or 0, x["part"], x["span"]))
+    for conv, group in itertools.groupby(order, key=lambda x: x["conv_id"]):
+        here, back = np.array([0, _BIG, _BIG, _BIG]), []
+        for x in group:
+            total = here[:, None] + np.frombuffer(x["matrix"]).reshape(4, 4)
+            back.append((x["part"], x["span"], total.argmin(0).astype(np.int8)))
+            here = total.min(0)
+        at = _final(here)
+        for k in range(len(back) - 1, -1, -1):
+            part, span, came = back[k]
+            s = int(came[at])
+            out[part, conv, span] = s, at, k == len(back) - 1
+            at = s
+    return out
+
+
+def _rows(rows: list, names: str, types) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names.split())
 
 
 def repair(turns: DataFrame) -> DataFrame:
@@ -139,26 +186,27 @@ def repair(turns: DataFrame) -> DataFrame:
     between. The pieces of a conversation, in order, are its rendering: each turn as a line with its role, its text
     and an end mark; a merged text follows a line break. A null text is empty.
     """
-    work = Workspace(turns.sparkSession, "chat")
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.coalesce(F.expr(f"cast(turn as long) div {SPAN}"), F.lit(2**62)).alias("span"),
-        F.col("role").cast("string").alias("role"),
-        F.col("turn").cast("long").alias("turn"),
-        F.col("text").cast("string").alias("text"),
-    )
-    order = ["conv_id", "span", F.col("turn").asc_nulls_last(), "role", "text"]
-    dealt = rows.repartition("conv_id", "span")
-    matrices = work.save(dealt.drop("text").sortWithinPartitions("conv_id", "span", F.col("turn").asc_nulls_last(), "role").mapInArrow(_matrices, "conv_id long, span long, matrix array<double>"))
-    spans = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("span", "matrix"))).alias("spans"))
-    ends = spans.mapInArrow(_chain, "conv_id long, span long, first int, last int, final boolean")
+    spark = turns.sparkSession
+    size = SPAN
+    bounded_batches(spark)
+    text = F.col("text").cast("string")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.substring(text, 1, 64).alias("start"), text.alias("text"))
+    n = rows.count()
+    tasks = max(partitions(spark), -(-n // TASK_ROWS))
+    keys = rows.drop("text")
+    sample = sorted(_key(*r) for r in keys.sample(min(1.0, 400.0 * tasks / max(1, n)), 42).collect())
+    dealt = _dealer(sorted({sample[len(sample) * j // (4 * tasks)] for j in range(1, 4 * tasks)} if sample else ()))
+    order = ["part", "conv_id", F.col("turn").asc_nulls_last(), "role"]
+
+    found = keys.mapInArrow(dealt, "conv_id long, turn long, role string, part int").repartition(tasks, "part").sortWithinPartitions(*order)
+    ends = _chain(found.select("part", "conv_id", "role").mapInArrow(_matrices(size), "part int, conv_id long, span long, matrix binary").collect())
 
     def traced(batches):
         out = []
         types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string())
         names = "conv_id turn role action new_role inserted cost piece"
-        for (conv, _), group in _groups(batches, 2):
-            first, last, final = group[0][5:8]
+        for (part, conv), span, whole, group in _spans(batches, size):
+            first, last, final = (0, None, True) if whole else ends[part, conv, span]
             at = first
             for i, (row, (how, state, ins, cost)) in enumerate(zip(group, trace([r[2] for r in group], first, last), strict=True)):
                 text = row[4] or ""
@@ -176,11 +224,11 @@ def repair(turns: DataFrame) -> DataFrame:
                 out = []
         yield _rows(out, names, types)
 
-    joined = rows.join(ends, rows.conv_id.eqNullSafe(ends.conv_id) & (rows.span == ends.span)).select(rows["*"], "first", "last", "final")
     return (
-        joined.repartition("conv_id", "span")
-        .sortWithinPartitions(*order)
-        .select("conv_id", "span", "role", "turn", "text", "first", "last", "final")
+        rows.mapInArrow(dealt, "conv_id long, turn long, role string, text string, part int")
+        .repartition(tasks, "part")
+        .sortWithinPartitions(*order, "text")
+        .select("part", "conv_id", "role", "turn", "text")
         .mapInArrow(traced, "conv_id long, turn long, role string, action string, new_role string, inserted string, cost double, piece string")
     )
 

@@ -9,7 +9,9 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexilake.llm import ann, chat, decontaminate, minhash, mixing, ngram, pages, queries, tokens, toxicity
 from lexilake.llm import wordhash as W
@@ -219,6 +221,24 @@ def test_repair_is_cheapest_and_spans_join(spark, monkeypatch):
         assert state in chat.FINAL and text.endswith("<|end|>\n")
 
 
+def test_spans_are_cut_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SPAN", 4)
+    rng = random.Random(8)
+    kinds = ["user", "assistant", "system", "tool", None]
+    pooled = [(None, t, rng.choice(kinds), f"t{k}") for k in range(20) for t in (*range(4), None)]
+    sparse = [(7, 10**9 + 5000 * t, rng.choice(kinds), "x") for t in range(40)]
+    same = [(8, 1, "user", "x")] * 30
+    df = spark.createDataFrame(pooled + sparse + same, "conv_id long, turn long, role string, text string")
+    got = chat.repair(df.coalesce(1)).select("conv_id", "cost", F.spark_partition_id().alias("task")).collect()
+    order = lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "")
+    for conv, rows in ((None, pooled), (7, sparse), (8, same)):
+        assert sum(r.cost for r in got if r.conv_id == conv) == brute_repair([r[2] for r in sorted(rows, key=order)])
+    assert len({r.task for r in got if r.conv_id is None}) > 1
+    # in this process: no span is longer than SPAN, and sparse turns share spans
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 40, pa.int32()), pa.array([7] * 40, pa.int64())], ["part", "conv_id"])
+    assert [len(rows) for *_, rows in chat._spans([batch], 4)] == [4] * 10
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(60):

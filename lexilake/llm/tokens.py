@@ -53,6 +53,7 @@ class Encoder:
         a, b, ab, a_b = self._one(["one", "two", "one two", " one \n\t two\n"])
         self.cuts = a + b == ab == a_b  # white space only parts pieces; else texts are encoded whole
         self.lower = '"Lowercase"' in self.tok.to_str()[:4000]
+        self.added = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]  # these match raw text
         self.stop = {c: self._one([c])[0] for c in ".,"}
         self.safe = all(self._safe(c) for c in ".,")
 
@@ -77,7 +78,9 @@ class Encoder:
         if self.safe and len(run) > 1 and run[-1] in ".," and run[-2].isascii() and run[-2].isalpha() and run.isascii():
             run, tail = run[:-1], run[-1]
         if self.lower and run.isascii():
-            run = run.lower()
+            low = run.lower()
+            if not any(x in low for x in self.added):
+                run = low
         return run, tail
 
     def _learn(self, runs: list[str]) -> None:

@@ -101,6 +101,10 @@ def test_encoder_agrees_with_library(text):
         assert list(tokens.Encoder(path).ids(text)) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_the_case_of_added_tokens():
+    test_encoder_agrees_with_library("<|ENDOFTEXT|> X<|EndOfText|>. <|endoftext|>Y <|STARTOFTEXT|>, ABC.")
+
+
 def test_codes_are_addressable():
     rng = np.random.default_rng(2)
     parts = [rng.integers(0, 2**k, 300).astype("<u4") for k in (4, 8, 9, 16, 17, 31)] + [np.empty(0, "<u4")]

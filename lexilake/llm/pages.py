@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lexilake.llm.common import bounded_batches, partitions
 
-PART_ROWS = 20_000
+TASK_ROWS = 20_000
 ARTICLE, OPEN, FURNITURE = 2, 1, 0
 COPY_REST = 0.1  # a page of whose body less than this is its own has copies for neighbours
 
@@ -285,7 +285,7 @@ def _edges(rows: DataFrame, keys: DataFrame, bounds: list[tuple]) -> dict[int, t
     return {r["part"]: tuple((k["page_id"], k["host"], k["path"], own[r["part"], last]) for last, k in ((False, r["a"]), (True, r["z"]))) for r in ends}
 
 
-def extract_pages(pages: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def extract_pages(pages: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """One row per row of pages(page_id, url, html): page_id, url, text, n_chars, n_shared, neighbour.
 
     Null html is empty and gives an empty text. Pages without a url, or alone on their host, have no neighbour;
@@ -304,8 +304,8 @@ def extract_pages(pages: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
         F.col("html").cast("string").alias("html"),
     )
     keys = rows.where("host <> ''").select("host", "path", "page_id", "url")
-    tasks = partitions(spark)
-    bounds = _bounds(keys, max(4 * tasks, -(-pages.count() // part_rows)))
+    tasks = max(partitions(spark), -(-pages.count() // task_rows))
+    bounds = _bounds(keys, 4 * tasks)
     dealt = rows.mapInArrow(_reader(bounds), shape).repartition(tasks, "part").sortWithinPartitions("part", "host", "path", "page_id", "url", "row")
     return dealt.mapInArrow(_differ(_edges(rows, keys, bounds)), "page_id long, url string, text string, n_chars long, n_shared long, neighbour long")
 

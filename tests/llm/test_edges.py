@@ -131,7 +131,7 @@ def test_the_neighbour_is_nearest_on_a_host_of_any_size(spark, monkeypatch):
     paths = sorted([f"{long}{a}/{b}/{c}" for a in "xyz" for b in range(4) for c in range(3)] + [f"{long}y/q", "a", "zz"])
     rows = [(i, f"http://big/{p}", f"<body><p>text {i}") for i, p in enumerate(paths)]
     rows += [(900 + i, f"http://h{i}/", "<p>x") for i in range(9)] + [(950 + i, None, "<p>x") for i in range(9)]
-    got = read_pages(spark, rows, **({"part_rows": 3} if hasattr(pages, "PART_ROWS") else {"group": 4}))
+    got = read_pages(spark, rows, **({"task_rows": 3} if hasattr(pages, "TASK_ROWS") else {"group": 4}))
     common = lambda i, j: len(os.path.commonprefix([paths[i], paths[j]])) if 0 <= j < len(paths) else -1
     for i in range(len(paths)):
         assert got[i].neighbour == (i - 1 if common(i, i - 1) >= common(i, i + 1) else i + 1), paths[i]

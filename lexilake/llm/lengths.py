@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import bounded_batches, tokenizer_file
-from lexilake.llm.tokens import Encoder
+from lexilake.llm.common import Workspace, bounded_batches, tokenizer_file
+from lexilake.llm.tokens import Encoder, text_groups
 
 SPAN = 1024
 
@@ -24,10 +24,9 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
 
     def lengths(batches):
         enc, seen = Encoder.of(path), {}
-        for b in batches:
-            for t in b.column(0):
-                n = len(enc.ids(t.as_py()))
-                seen[n] = seen.get(n, 0) + 1
+        for b in text_groups(batches, 0):
+            for n, d in zip(*(x.tolist() for x in np.unique(enc.lengths(b.column(0)), return_counts=True)), strict=True):
+                seen[n] = seen.get(n, 0) + d
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lengths, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
@@ -67,4 +66,5 @@ def answers(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def op5_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")))
+    histogram = length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))
+    return suffix_sums(Workspace(spark, "lengths").save(histogram))  # written, since the sums read it more than once

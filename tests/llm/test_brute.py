@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from itertools import product
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexilake.llm import ann, chat, decontaminate, minhash, mixing, ngram, pages, queries, tokens, toxicity
+from lexilake.llm import ann, chat, decontaminate, lengths, minhash, mixing, ngram, pages, queries, tokens, toxicity
 from lexilake.llm import wordhash as W
 from lexilake.llm.common import tokenizer_file
 
@@ -269,3 +270,57 @@ def test_op1_recall(spark):
     for q in (i for i in v if i % 100 == 0):
         want = [i for _, i in sorted((float(np.sqrt(((v[q] - x) ** 2).sum())), i) for i, x in v.items() if i != q)[:10]]
         assert len(set(want) & {r.vec_id for r in got if r.query_id == q}) >= 9
+
+
+def test_encoder_on_every_character():
+    """Whatever splits, folds or peels a word, its ids are the library's: every code point, within and at a word's end."""
+    enc = tokens.Encoder(tokenizer_file("word_bpe_49k.json"))
+    assert enc.cuts
+    points = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    for a in range(0, len(points), 8192):
+        texts = [f"{c}a{c}!? A{c}, {c} {c}{c}." for c in points[a : a + 8192]]
+        ids, at = enc.flat(pa.array(texts))
+        assert enc.lengths(pa.array(texts)).tolist() == np.diff(at).tolist()
+        for k, e in enumerate(enc.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            assert ids[at[k] : at[k + 1]].tolist() == e.ids, texts[k]
+
+
+def test_encoder_stays_small_and_right_when_it_forgets(documents):
+    enc = tokens.Encoder(tokenizer_file("word_bpe_49k.json"))
+    enc.GENERATION, enc.TOGETHER = 50, 7
+    most = max(len(set((t or "").split())) for _, t in documents)
+    for _, t in documents:
+        assert enc.ids(t).tolist() == enc.tok.encode(t or "", add_special_tokens=False).ids
+        assert max(len(enc.young), len(enc.old)) <= 51 + 2 * most  # a word has two keys at most
+
+
+def test_groups_hold_every_row_once():
+    rows = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([None if i % 7 == 0 else "x" * (i * i % 97) for i in range(50)])], ["i", "t"])
+    for size in (1, 40, 200, 10**9):
+        got = list(tokens.text_groups(iter([rows.slice(0, 13), rows.slice(13, 0), rows.slice(13)]), 1, size))
+        assert pa.Table.from_batches(got).equals(pa.Table.from_batches([rows])) or sum((g.column(0).to_pylist() for g in got), []) == list(range(50))
+        assert all(sum(len(x or "") for x in g.column(1).to_pylist()[:-1]) <= size for g in got)
+
+
+def test_any_position_of_the_output_is_read(spark, documents, tmp_path):
+    path, tok = f"file://{tmp_path}/blocks", tokens.Encoder(tokenizer_file("word_bpe_49k.json"))
+    tokens.write_blocks(spark.createDataFrame(documents, "doc_id long, text string"), path, tokenizer_file("word_bpe_49k.json"), 2, block_ids=3000)
+    every = [x for _, t in documents for x in [*tok.ids(t).tolist(), 2]]
+    asked = [-1, len(every), None, *range(0, len(every), 17), 17]
+    got = tokens.tokens_at(spark, path, spark.createDataFrame([(p,) for p in asked], "position long")).collect()
+    assert sorted(map(tuple, got)) == [(p, every[p]) for p in range(0, len(every), 17)]
+
+
+def test_op5_suffix_sums_and_answers(spark, documents):
+    enc = tokens.Encoder(tokenizer_file("word_bpe_49k.json"))
+    n = sorted(len(enc.ids(t)) for _, t in documents)
+    got = {r.n_tokens: r for r in queries.queries()["op5_lengths"](spark, SF).collect()}
+    assert set(got) == set(n)
+    for x, r in got.items():
+        over = [y for y in n if y >= x]
+        assert (r.n_docs, r.docs_from, r.tokens_from, r.truncated_total) == (n.count(x), len(over), sum(over), sum(min(x, y) for y in n))
+        assert r.quantile == pytest.approx(sum(y <= x for y in n) / len(n))
+    limits = [0, 1, 7, n[len(n) // 2], n[-1] - 1, n[-1]]
+    sums = lengths.suffix_sums(spark.createDataFrame(sorted(Counter(n).items()), "n_tokens long, n_docs long"))
+    answers = {r.limit: (r.docs_over, r.truncated_total) for r in lengths.answers(sums, limits).collect()}
+    assert answers == {x: (sum(y > x for y in n), sum(min(x, y) for y in n)) for x in limits if any(y > x for y in n)}

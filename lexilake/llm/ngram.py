@@ -27,9 +27,9 @@ from lexilake.llm.wordhash import U64
 
 ORDER = 3
 BATCH_TOKENS = 1_000_000
-GRAM_BITS = 56  # of an n-gram's hash from two words on; single words keep all 64
+PART_TOKENS = 6_000_000  # learning tokens to a part of the hashes, which one task holds
 BUCKETS = 24
-STEP = 2  # to an octave, in the histogram for expectation-maximisation
+STEP = 4  # to an octave, in the histogram for expectation-maximisation
 ROUNDS = 30
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
 _START, _END = U64(0x5354415254), U64(0x454E44)
@@ -56,7 +56,8 @@ def _texts_to_batches(batches):
         ids, folds, sizes, words = zip(*held[tuning], strict=True)
         held[tuning] = []
         known, number = np.unique(np.concatenate(words), return_inverse=True)
-        return [tuning, pa.array(ids, pa.int64()), list(map(int, folds)), list(map(int, sizes)), _pack(known), _pack(number.astype(np.uint32))]
+        steps = np.diff(known, prepend=U64(0))
+        return [tuning, pa.array(ids, pa.int64()), list(map(int, folds)), list(map(int, sizes)), _pack(steps), _pack(number.astype(np.uint32))]
 
     def out(rows):
         types = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
@@ -79,43 +80,41 @@ def _texts_to_batches(batches):
 
 
 class _Tokens:
-    """The tokens of one batch, unpacked, and the hashes of their n-grams."""
+    """The tokens of one batch, unpacked, and their n-grams."""
 
     def __init__(self, folds, sizes, known: bytes, numbers: bytes):
         self.sizes = np.asarray(sizes, np.int64)
-        self.words = _unpack(known, np.uint64)[_unpack(numbers, np.uint32)]
+        self.known = np.cumsum(_unpack(known, np.uint64), dtype=np.uint64)
+        self.number = _unpack(numbers, np.uint32)
         self.fold = np.repeat(np.asarray(folds, np.int64), self.sizes)
         first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(self.words)) - np.repeat(first, self.sizes)
+        self.place = np.arange(len(self.number)) - np.repeat(first, self.sizes)
 
-    def back(self, k: int) -> np.ndarray:
-        """The word k places before each token; the start symbol before the first."""
-        w = np.roll(self.words, k)
-        w[self.place == k - 1] = _START
-        return w
-
-    def gram(self, n: int) -> np.ndarray:
-        """Hash of the n-gram that ends in each token; 0 where it would start before the start symbol."""
-        h = self.words * _TIMES[0]
+    def _hashes(self, n: int) -> np.ndarray:
+        """Hash of the n-gram that ends in each token, n > 1; 0 where it would start before the start symbol."""
+        h = (self.known * _TIMES[0])[self.number]
         for k in range(1, n):
-            h = h + W.mix(self.back(k) + U64(k)) * _TIMES[k]
+            back = np.roll((W.mix(self.known + U64(k)) * _TIMES[k])[self.number], k)  # the word k places before
+            back[self.place == k - 1] = W.mix(np.array([_START + U64(k)])) * _TIMES[k]
+            h += back
         h = W.mix(h + U64(n))
-        if n > 1:
-            h = h >> U64(64 - GRAM_BITS)
-            h[self.place < n - 2] = 0
+        h[self.place < n - 2] = 0
         return h
 
-    def context(self, n: int) -> np.ndarray:
-        """Hash of the n-gram that ends before each token; 0 where there is none or it is the start symbol alone."""
-        h = np.roll(self.gram(n), 1)
-        h[self.place == 0] = 0
-        return h
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted hashes of the batch's distinct n-grams, number of each token's among them). Hash 0 is no n-gram."""
+        if n > 1:
+            return np.unique(self._hashes(n), return_inverse=True)
+        h = W.mix(self.known * _TIMES[0] + U64(1))
+        order = np.argsort(h)
+        place = np.empty(len(h), np.int64)
+        place[order] = np.arange(len(h))
+        return h[order], place[self.number]
 
 
-def _cuts(keys: np.ndarray, n: int, parts: int) -> np.ndarray:
+def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where each part begins among sorted n-gram hashes: parts are ranges of equal width."""
-    bits = 64 if n == 1 else GRAM_BITS
-    return np.searchsorted((keys >> U64(bits - 32)) * U64(parts) >> U64(32), np.arange(parts + 1).astype(np.uint64))
+    return np.searchsorted((keys >> U64(32)) * U64(parts) >> U64(32), np.arange(parts + 1).astype(np.uint64))
 
 
 def _requests(order: int, parts: int):
@@ -128,12 +127,12 @@ def _requests(order: int, parts: int):
                 learn, tune = t.fold != HELD_OUT, t.fold == TUNING
                 rows = []
                 for n in range(1, order + 1):
-                    h = t.gram(n)
-                    ok = h != 0
-                    keys, back = np.unique(h[ok], return_inverse=True)
-                    total = np.bincount(back, learn[ok], len(keys)).astype(np.uint32)
-                    tuned = np.bincount(back, tune[ok], len(keys)).astype(np.uint32)
-                    cut = _cuts(keys, n, parts)
+                    keys, number = t.grams(n)
+                    total = np.bincount(number[learn], minlength=len(keys)).astype(np.uint32)
+                    tuned = np.bincount(number[tune], minlength=len(keys)).astype(np.uint32) if tune.any() else np.zeros(len(keys), np.uint32)
+                    if len(keys) and not keys[0]:
+                        total[0] = tuned[0] = 0
+                    cut = _cuts(keys, parts)
                     for p in np.flatnonzero(np.diff(cut)):
                         own = slice(cut[p], cut[p + 1])
                         step = np.diff(keys[own], prepend=U64(0))
@@ -183,33 +182,20 @@ class _Counts:
     def __init__(self, batch: dict, answers: list[dict], order: int, parts: int, starts: int, tuning: bool):
         self.t = t = _Tokens(batch["folds"], batch["sizes"], batch["known"], batch["numbers"])
         self.gram, self.context = [], []
-        found = {}
         for n in range(1, order + 1):
-            h = t.gram(n)
-            keys = np.unique(h[h != 0])
+            keys, number = t.grams(n)
             count = np.zeros(len(keys), np.int64)
-            got = {a["part"]: a for a in answers if a["n"] == n}
-            cut = _cuts(keys, n, parts)
-            for p in np.flatnonzero(np.diff(cut)):
-                a = got[int(p)]
-                c = _unpack(a["total"], np.uint32).astype(np.int64)
-                count[cut[p] : cut[p + 1]] = c - _unpack(a["tuned"], np.uint32) if tuning else c
-            found[n] = keys, count
-            self.gram.append(self._look(found[n], h))
-        for n in range(1, order):
-            h = t.context(n)
-            c = self._look(found[n], h)
-            if n == 1:
-                c[t.place == 0] = starts  # the start symbol's
-            self.context.append(c)
-
-    @staticmethod
-    def _look(table, h: np.ndarray) -> np.ndarray:
-        keys, count = table
-        if not len(keys):
-            return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where((keys[at] == h) & (h != 0), count[at], 0)
+            cut = _cuts(keys, parts)
+            for a in answers:
+                if a["n"] == n:
+                    c = _unpack(a["total"], np.uint32).astype(np.int64)
+                    count[cut[a["part"]] : cut[a["part"] + 1]] = c - _unpack(a["tuned"], np.uint32) if tuning else c
+            self.gram.append(count[number])
+            if n < order:
+                # a context is the n-gram that ends before the token; before the first stands the start symbol
+                c = np.roll(self.gram[-1], 1)
+                c[t.place == 0] = starts if n == 1 else 0
+                self.context.append(c)
 
     def parts(self, n_tokens: int, n_types: int) -> tuple[np.ndarray, np.ndarray]:
         """(bucket of each token, its probability under each component)."""
@@ -303,13 +289,15 @@ def language_model_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     work = Workspace(spark, "ngram")
-    parts = max(16, partitions(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), crc32_mod("doc_id", FOLDS).cast("int").alias("fold"))
     packed = rows.mapInArrow(_texts_to_batches, "tuning boolean, ids array<long>, folds array<int>, sizes array<long>, known binary, numbers binary")
     batches = work.save(packed.withColumn("batch", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())))
+    size = batches.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)).alias("tokens")).first()
+    parts = max(16, -(-size.tokens // PART_TOKENS))
+    tasks = lambda rows: max(partitions(spark), int(rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     asked = batches.select("batch", "folds", "sizes", "known", "numbers").mapInArrow(_requests(order, parts), "n int, part int, batch string, keys binary, total binary, tuned binary")
-    answers = work.save(asked.groupBy("n", "part").applyInArrow(_answers, "n int, part int, batch string, total binary, tuned binary, types long, tokens long, tuning_types long, tuning_tokens long"))
+    answers = work.save(asked.repartition(tasks(parts), "n", "part").groupBy("n", "part").applyInArrow(_answers, "n int, part int, batch string, total binary, tuned binary, types long, tokens long, tuning_types long, tuning_tokens long"))
     sums = {r.n: r for r in answers.groupBy("n").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "tuning_types", "tuning_tokens"))).collect()}
     if 1 not in sums:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -323,12 +311,13 @@ def language_model_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
         _histogram(order, parts, tuning_starts, sums[1].tuning_tokens, sums[1].tuning_types), "bucket long, cell long, n long"
     )
     seen = cells.groupBy("bucket", "cell").agg(F.sum("n").alias("n")).toArrow()
-    size = 1 + (order - 1) * BUCKETS
+    kinds = 1 + (order - 1) * BUCKETS
     code = seen["cell"].to_numpy()
     grid = np.stack([(code >> (12 * (order - 1 - k)) & 4095) - 2048 for k in range(order)], 1)
-    weights = learn_weights(seen["bucket"].to_numpy(), np.where(grid > -1000, 2.0 ** (grid / STEP), 0.0), seen["n"].to_numpy().astype(np.float64), size)
+    weights = learn_weights(seen["bucket"].to_numpy(), np.where(grid > -1000, 2.0 ** (grid / STEP), 0.0), seen["n"].to_numpy().astype(np.float64), kinds)
 
-    return both.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(
+    dealt = lambda df: df.repartition(tasks(size.n / 4), "batch").groupBy("batch")
+    return dealt(both).cogroup(dealt(replies)).applyInArrow(
         _scores(order, parts, starts, sums[1].tokens, sums[1].types, weights),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

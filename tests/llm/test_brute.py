@@ -324,3 +324,61 @@ def test_op5_suffix_sums_and_answers(spark, documents):
     sums = lengths.suffix_sums(spark.createDataFrame(sorted(Counter(n).items()), "n_tokens long, n_docs long"))
     answers = {r.limit: (r.docs_over, r.truncated_total) for r in lengths.answers(sums, limits).collect()}
     assert answers == {x: (sum(y > x for y in n), sum(min(x, y) for y in n)) for x in limits if any(y > x for y in n)}
+
+
+def brute_interpolation(data):
+    """Scores of (fold, words) rows: counts in dictionaries, weights by a plain loop of expectation-maximisation."""
+
+    def counts(rows):
+        grams = [Counter(), Counter(), Counter()]
+        for _, x in rows:
+            y = ["<s>", *x]
+            grams[0].update((w,) for w in x)
+            grams[1].update(zip(y, x, strict=False))
+            grams[2].update(zip(y, x, x[1:], strict=False))
+        return grams, len(rows), sum(grams[0].values()), len(grams[0])
+
+    def parts(x, model):
+        (one, two, three), starts, n, v = model
+        for i, w in enumerate(x):
+            before = x[i - 1] if i else "<s>"
+            p, bucket = [(one[w,] + 0.1) / (n + 0.1 * (v + 1)), 0.0, 0.0], 0
+            c = one[before,] if i else starts
+            if c:
+                p[1], bucket = two[before, w] / c, 1 + min(c.bit_length(), ngram.BUCKETS) - 1
+            c = two[x[i - 2] if i > 1 else "<s>", before] if i else 0
+            if c:
+                p[2], bucket = three[x[i - 2] if i > 1 else "<s>", before, w] / c, 1 + ngram.BUCKETS + min(c.bit_length(), ngram.BUCKETS) - 1
+            yield bucket, p
+
+    shown = counts([r for r in data if r[0] > 1])
+    seen = {}
+    for f, x in data:
+        if f == 1:
+            for b, p in parts(x, shown):
+                seen.setdefault(b, Counter())[tuple(2.0 ** (round(math.log2(y) * ngram.STEP) / ngram.STEP) if y else 0.0 for y in p)] += 1
+    weights, known = {}, set()
+    for b in range(1 + 2 * ngram.BUCKETS):
+        use = [1.0, b > 0, b > ngram.BUCKETS]
+        even = [u / sum(use) for u in use]
+        lam, cells = even, seen.get(b, {})
+        for _ in range(ngram.ROUNDS):
+            new = list(even)
+            for p, k in cells.items():
+                s = sum(a * y for a, y in zip(lam, p, strict=True))
+                new = [z + k * a * y / s for z, a, y in zip(new, lam, p, strict=True)]
+            lam = [z / (sum(cells.values()) + 1) for z in new]
+        # a bucket without tokens takes the one before it in its row
+        after = b > 0 and (b - 1) % ngram.BUCKETS and not cells and b - 1 in known
+        weights[b] = weights[b - 1] if after else lam
+        known |= {b} if cells or after else set()
+    model = counts([r for r in data if r[0] > 0])
+    return [sum(math.log10(sum(a * y for a, y in zip(weights[b], p, strict=True))) for b, p in parts(x, model)) for _, x in data]
+
+
+def test_op7_scores_by_plain_interpolation(spark, documents, monkeypatch):
+    monkeypatch.setattr(ngram, "PART_TOKENS", 5000)
+    got = {r.doc_id: r.score for r in queries.queries()["op7_lm_scores"](spark, SF).collect()}
+    want = brute_interpolation([(zlib.crc32(str(i).encode()) % 10, [*spaced(t), "</s>"]) for i, t in documents])
+    for (i, _), x in zip(documents, want, strict=True):
+        assert got[i] == pytest.approx(x, rel=1e-6)

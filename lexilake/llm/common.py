@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -16,11 +17,13 @@ _LEFT: list[tuple[object, object]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is missing (tests, a laptop) a local folder is made and set, since driver and
-    executors are then one machine.
+    Where the setting is missing a local folder is made and set if driver and executors are one machine (tests, a
+    laptop); on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexilake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -44,7 +47,8 @@ class Workspace:
         """Write df as Parquet, read it back."""
         self.n += 1
         to = f"{self.root}/{self.n}"
-        df.write.parquet(to)
+        with setting(self.spark, CLEANUP, "true"):  # once written, what was shuffled for it is of no use
+            df.write.parquet(to)
         back = self.spark.read.schema(df.schema).parquet(to)
         back._lexilake_path = to
         return back
@@ -55,6 +59,20 @@ class Workspace:
         self._fs.delete(path, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the length of a block; then it is as it was."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _clean() -> None:
     for fs, path in _LEFT:
         try:

@@ -27,7 +27,8 @@ from lexilake.llm.wordhash import U64
 
 ORDER = 3
 BATCH_TOKENS = 1_000_000
-PART_TOKENS = 6_000_000  # learning tokens to a part of the hashes, which one task holds
+PART_TOKENS = 4_000_000  # learning tokens to a part of the hashes, which one task holds
+AT_ONCE = 500_000  # n-grams of a part that are counted together
 BUCKETS = 24
 STEP = 4  # to an octave, in the histogram for expectation-maximisation
 ROUNDS = 30
@@ -48,20 +49,27 @@ def _unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
+def _by_count(count: np.ndarray) -> np.ndarray:
+    """Order of a batch's words: frequent ones first, so that most numbers are small."""
+    return np.argsort(-count.astype(np.int64), kind="stable")
+
+
 def _texts_to_batches(batches):
-    """(tuning, doc ids, fold of each, tokens of each, distinct word hashes, word numbers) as packed rows."""
+    """(tuning, doc ids, fold of each, tokens of each, distinct word hashes, their counts, word numbers) as packed rows."""
     held: dict[bool, list] = {False: [], True: []}
 
     def row(tuning):
         ids, folds, sizes, words = zip(*held[tuning], strict=True)
         held[tuning] = []
-        known, number = np.unique(np.concatenate(words), return_inverse=True)
-        steps = np.diff(known, prepend=U64(0))
-        return [tuning, pa.array(ids, pa.int64()), list(map(int, folds)), list(map(int, sizes)), _pack(steps), _pack(number.astype(np.uint32))]
+        known, number, count = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        rank = np.empty(len(known), np.uint32)
+        rank[_by_count(count)] = np.arange(len(known), dtype=np.uint32)
+        steps, counts = _pack(np.diff(known, prepend=U64(0))), _pack(count.astype(np.uint32))
+        return [tuning, pa.array(ids, pa.int64()), list(map(int, folds)), list(map(int, sizes)), steps, counts, _pack(rank[number])]
 
     def out(rows):
-        types = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["tuning", "ids", "folds", "sizes", "known", "numbers"])
+        types = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], ["tuning", "ids", "folds", "sizes", "known", "counts", "numbers"])
 
     room = {False: 0, True: 0}
     for b in batches:
@@ -82,9 +90,9 @@ def _texts_to_batches(batches):
 class _Tokens:
     """The tokens of one batch, unpacked, and their n-grams."""
 
-    def __init__(self, folds, sizes, known: bytes, numbers: bytes):
+    def __init__(self, folds, sizes, known: bytes, counts: bytes, numbers: bytes):
         self.sizes = np.asarray(sizes, np.int64)
-        self.known = np.cumsum(_unpack(known, np.uint64), dtype=np.uint64)
+        self.known = np.cumsum(_unpack(known, np.uint64), dtype=np.uint64)[_by_count(_unpack(counts, np.uint32))]
         self.number = _unpack(numbers, np.uint32)
         self.fold = np.repeat(np.asarray(folds, np.int64), self.sizes)
         first = np.cumsum(self.sizes) - self.sizes
@@ -122,8 +130,8 @@ def _requests(order: int, parts: int):
 
     def run(batches):
         for b in batches:
-            for batch, folds, sizes, known, numbers in zip(*(b.column(c).to_pylist() for c in ("batch", "folds", "sizes", "known", "numbers")), strict=True):
-                t = _Tokens(folds, sizes, known, numbers)
+            for batch, *own in zip(*(b.column(c).to_pylist() for c in ("batch", "folds", "sizes", "known", "counts", "numbers")), strict=True):
+                t = _Tokens(*own)
                 learn, tune = t.fold != HELD_OUT, t.fold == TUNING
                 rows = []
                 for n in range(1, order + 1):
@@ -136,7 +144,7 @@ def _requests(order: int, parts: int):
                     for p in np.flatnonzero(np.diff(cut)):
                         own = slice(cut[p], cut[p + 1])
                         step = np.diff(keys[own], prepend=U64(0))
-                        rows.append((n, int(p), batch, _pack(step), _pack(total[own]), _pack(tuned[own])))
+                        rows.append((n, int(p), batch, _pack(step), _pack(total[own]), _pack(tuned[own]) if tune.any() else b""))
                     starts = int((learn & (t.place == 0)).sum()), int((tune & (t.place == 0)).sum())
                 rows.append((0, 0, batch, b"", *(int(x).to_bytes(8, "little") for x in starts)))
                 for a in range(0, len(rows), 64):
@@ -154,24 +162,37 @@ def _answers(table: pa.Table) -> pa.Table:
         sums = [sum(int.from_bytes(r[c], "little") for r in rows) for c in ("total", "tuned")]
         return pa.table({"n": pa.array([0], pa.int32()), "part": pa.array([0], pa.int32()), "batch": [""], "total": pa.array([b""], pa.binary()), "tuned": pa.array([b""], pa.binary()), "types": [0], "tokens": [sums[0]], "tuning_types": [0], "tuning_tokens": [sums[1]]})
     keys = [np.cumsum(_unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
-    known, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total, tuned = (np.bincount(back, np.concatenate([_unpack(r[c], np.uint32) for r in rows]), len(known)).astype(np.uint32) for c in ("total", "tuned"))
-    end = np.cumsum([len(k) for k in keys])
-    at = [back[z - len(k) : z] for k, z in zip(keys, end, strict=True)]
+    total = [_unpack(r["total"], np.uint32).astype(np.uint64) for r in rows]
+    tuned = [_unpack(r["tuned"], np.uint32).astype(np.uint64) if r["tuned"] else np.zeros(len(k), np.uint64) for r, k in zip(rows, keys, strict=True)]
+    # the part in narrower ranges of hashes, so that sorting takes little beside the keys
+    low, high = min(k[0] for k in keys), max(k[-1] for k in keys)
+    ranges = max(1, sum(map(len, keys)) // AT_ONCE)
+    cuts = np.array([int(low) + (int(high) - int(low)) * j // ranges for j in range(1, ranges)], np.uint64)
+    at = [[0, *np.searchsorted(k, cuts).tolist(), len(k)] for k in keys]
+    sums = np.zeros(4, np.int64)
+    for j in range(ranges):
+        own = [slice(x[j], x[j + 1]) for x in at]
+        known, back = np.unique(np.concatenate([k[x] for k, x in zip(keys, own, strict=True)]), return_inverse=True)
+        t, u = (np.bincount(back, np.concatenate([v[x] for v, x in zip(c, own, strict=True)]), len(known)).astype(np.uint64) for c in (total, tuned))
+        sums += [int((t > 0).sum()), int(t.sum()), int((t > u).sum()), int((t - u).sum())]
+        z = 0
+        for k, x in enumerate(own):
+            a, z = z, z + x.stop - x.start
+            total[k][x], tuned[k][x] = t[back[a:z]], u[back[a:z]]
     m = len(rows)
     once = lambda v: [int(v)] + [0] * (m - 1)
-    rest = total - tuned
     return pa.table(
         {
             "n": pa.array([n] * m, pa.int32()),
             "part": pa.array([part] * m, pa.int32()),
             "batch": [r["batch"] for r in rows],
-            "total": pa.array([_pack(total[x]) for x in at], pa.binary()),
-            "tuned": pa.array([_pack(tuned[x]) for x in at], pa.binary()),
-            "types": once((total > 0).sum()),
-            "tokens": once(total.sum(dtype=np.int64)),
-            "tuning_types": once((rest > 0).sum()),
-            "tuning_tokens": once(rest.sum(dtype=np.int64)),
+            "total": pa.array(map(_pack, total), pa.binary()),
+            # only batches of tuning documents are told of the others
+            "tuned": pa.array([_pack(u) if r["tuned"] else b"" for u, r in zip(tuned, rows, strict=True)], pa.binary()),
+            "types": once(sums[0]),
+            "tokens": once(sums[1]),
+            "tuning_types": once(sums[2]),
+            "tuning_tokens": once(sums[3]),
         }
     )
 
@@ -180,7 +201,7 @@ class _Counts:
     """Per token of a batch: counts of its n-grams and of their contexts, from the answers."""
 
     def __init__(self, batch: dict, answers: list[dict], order: int, parts: int, starts: int, tuning: bool):
-        self.t = t = _Tokens(batch["folds"], batch["sizes"], batch["known"], batch["numbers"])
+        self.t = t = _Tokens(*(batch[c] for c in ("folds", "sizes", "known", "counts", "numbers")))
         self.gram, self.context = [], []
         for n in range(1, order + 1):
             keys, number = t.grams(n)
@@ -188,8 +209,8 @@ class _Counts:
             cut = _cuts(keys, parts)
             for a in answers:
                 if a["n"] == n:
-                    c = _unpack(a["total"], np.uint32).astype(np.int64)
-                    count[cut[a["part"]] : cut[a["part"] + 1]] = c - _unpack(a["tuned"], np.uint32) if tuning else c
+                    c = _unpack(a["total"], np.int64)
+                    count[cut[a["part"]] : cut[a["part"] + 1]] = c - _unpack(a["tuned"], np.int64) if tuning else c
             self.gram.append(count[number])
             if n < order:
                 # a context is the n-gram that ends before the token; before the first stands the start symbol
@@ -290,19 +311,19 @@ def language_model_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     bounded_batches(spark)
     work = Workspace(spark, "ngram")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), crc32_mod("doc_id", FOLDS).cast("int").alias("fold"))
-    packed = rows.mapInArrow(_texts_to_batches, "tuning boolean, ids array<long>, folds array<int>, sizes array<long>, known binary, numbers binary")
+    packed = rows.mapInArrow(_texts_to_batches, "tuning boolean, ids array<long>, folds array<int>, sizes array<long>, known binary, counts binary, numbers binary")
     batches = work.save(packed.withColumn("batch", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())))
     size = batches.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)).alias("tokens")).first()
     parts = max(16, -(-size.tokens // PART_TOKENS))
     tasks = lambda rows: max(partitions(spark), int(rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    asked = batches.select("batch", "folds", "sizes", "known", "numbers").mapInArrow(_requests(order, parts), "n int, part int, batch string, keys binary, total binary, tuned binary")
+    asked = batches.select("batch", "folds", "sizes", "known", "counts", "numbers").mapInArrow(_requests(order, parts), "n int, part int, batch string, keys binary, total binary, tuned binary")
     answers = work.save(asked.repartition(tasks(parts), "n", "part").groupBy("n", "part").applyInArrow(_answers, "n int, part int, batch string, total binary, tuned binary, types long, tokens long, tuning_types long, tuning_tokens long"))
     sums = {r.n: r for r in answers.groupBy("n").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "tuning_types", "tuning_tokens"))).collect()}
     if 1 not in sums:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     starts, tuning_starts = sums[0].tokens, sums[0].tokens - sums[0].tuning_tokens
-    both = batches.select("batch", "tuning", "ids", "folds", "sizes", "known", "numbers")
+    both = batches.select("batch", "tuning", "ids", "folds", "sizes", "known", "counts", "numbers")
     replies = answers.where("n > 0").select("batch", "n", "part", "total", "tuned")
 
     tuning = both.where("tuning")

@@ -26,11 +26,11 @@ from lexilake.llm.common import Workspace, bounded_batches, crc32_mod, partition
 from lexilake.llm.wordhash import U64
 
 ORDER = 3
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 2_000_000
 PART_TOKENS = 4_000_000  # learning tokens to a part of the hashes, which one task holds
 AT_ONCE = 500_000  # n-grams of a part that are counted together
 BUCKETS = 24
-STEP = 4  # to an octave, in the histogram for expectation-maximisation
+STEP = 1  # to an octave, in the cells for expectation-maximisation
 ROUNDS = 30
 FOLDS, HELD_OUT, TUNING = 10, 0, 1
 _START, _END = U64(0x5354415254), U64(0x454E44)
@@ -94,9 +94,9 @@ class _Tokens:
         self.sizes = np.asarray(sizes, np.int64)
         self.known = np.cumsum(_unpack(known, np.uint64), dtype=np.uint64)[_by_count(_unpack(counts, np.uint32))]
         self.number = _unpack(numbers, np.uint32)
-        self.fold = np.repeat(np.asarray(folds, np.int64), self.sizes)
+        self.fold = np.repeat(np.asarray(folds, np.int8), self.sizes)
         first = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(self.number)) - np.repeat(first, self.sizes)
+        self.place = (np.arange(len(self.number)) - np.repeat(first, self.sizes)).astype(np.int32)
 
     def _hashes(self, n: int) -> np.ndarray:
         """Hash of the n-gram that ends in each token, n > 1; 0 where it would start before the start symbol."""
@@ -231,7 +231,7 @@ class _Counts:
 
 
 def _histogram(order: int, parts: int, starts: int, n_tokens: int, n_types: int):
-    """Tuning tokens by bucket and rounded component probabilities."""
+    """Tuning tokens by bucket and rounded component probabilities, with the sums of the probabilities themselves."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         answers, out = right.select(["n", "part", "total", "tuned"]).to_pylist(), []
@@ -239,12 +239,12 @@ def _histogram(order: int, parts: int, starts: int, n_tokens: int, n_types: int)
             bucket, p = _Counts(batch, answers, order, parts, starts, True).parts(n_tokens, n_types)
             with np.errstate(divide="ignore"):
                 grid = np.where(p > 0, np.round(np.log2(p) * STEP), -1000).astype(np.int64)
-            out.append(np.column_stack([bucket, grid]))
-        cells, n = np.unique(np.concatenate([*out, np.empty((0, order + 1), np.int64)]), axis=0, return_counts=True)
-        code = np.zeros(len(cells), np.int64)
-        for k in range(order):
-            code = code * 4096 + cells[:, k + 1] + 2048
-        return pa.table({"bucket": cells[:, 0], "cell": code, "n": n})
+            code = bucket
+            for k in range(order):
+                code = code * 4096 + grid[:, k] + 2048
+            cells, back, n = np.unique(code, return_inverse=True, return_counts=True)
+            out.append(pa.table({"cell": cells, "n": n} | {f"p{k}": np.bincount(back, p[:, k], len(cells)) for k in range(order)}))
+        return pa.concat_tables(out)
 
     return run
 
@@ -318,7 +318,7 @@ def language_model_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     tasks = lambda rows: max(partitions(spark), int(rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     asked = batches.select("batch", "folds", "sizes", "known", "counts", "numbers").mapInArrow(_requests(order, parts), "n int, part int, batch string, keys binary, total binary, tuned binary")
-    answers = work.save(asked.repartition(tasks(parts), "n", "part").groupBy("n", "part").applyInArrow(_answers, "n int, part int, batch string, total binary, tuned binary, types long, tokens long, tuning_types long, tuning_tokens long"))
+    answers = work.save(asked.repartition(tasks(3 * parts), "n", "part").groupBy("n", "part").applyInArrow(_answers, "n int, part int, batch string, total binary, tuned binary, types long, tokens long, tuning_types long, tuning_tokens long"))
     sums = {r.n: r for r in answers.groupBy("n").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "tuning_types", "tuning_tokens"))).collect()}
     if 1 not in sums:
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -329,13 +329,13 @@ def language_model_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     tuning = both.where("tuning")
     own = replies.join(tuning.select("batch"), "batch", "left_semi")
     cells = tuning.groupBy("batch").cogroup(own.groupBy("batch")).applyInArrow(
-        _histogram(order, parts, tuning_starts, sums[1].tuning_tokens, sums[1].tuning_types), "bucket long, cell long, n long"
+        _histogram(order, parts, tuning_starts, sums[1].tuning_tokens, sums[1].tuning_types), "cell long, n long, " + ", ".join(f"p{k} double" for k in range(order))
     )
-    seen = cells.groupBy("bucket", "cell").agg(F.sum("n").alias("n")).toArrow()
-    kinds = 1 + (order - 1) * BUCKETS
-    code = seen["cell"].to_numpy()
-    grid = np.stack([(code >> (12 * (order - 1 - k)) & 4095) - 2048 for k in range(order)], 1)
-    weights = learn_weights(seen["bucket"].to_numpy(), np.where(grid > -1000, 2.0 ** (grid / STEP), 0.0), seen["n"].to_numpy().astype(np.float64), kinds)
+    # a cell stands for its mean probabilities; there are some thousands of cells, whatever the input
+    seen = cells.groupBy("cell").agg(F.sum("n").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(order))).orderBy("cell").toArrow()
+    n = seen["n"].to_numpy().astype(np.float64)
+    means = np.stack([seen[f"p{k}"].to_numpy() for k in range(order)], 1) / n[:, None]
+    weights = learn_weights(seen["cell"].to_numpy() >> (12 * order), means, n, 1 + (order - 1) * BUCKETS)
 
     dealt = lambda df: df.repartition(tasks(size.n / 4), "batch").groupBy("batch")
     return dealt(both).cogroup(dealt(replies)).applyInArrow(

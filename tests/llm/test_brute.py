@@ -356,7 +356,8 @@ def brute_interpolation(data):
     for f, x in data:
         if f == 1:
             for b, p in parts(x, shown):
-                seen.setdefault(b, Counter())[tuple(2.0 ** (round(math.log2(y) * ngram.STEP) / ngram.STEP) if y else 0.0 for y in p)] += 1
+                cell = seen.setdefault(b, {}).setdefault(tuple(round(math.log2(y) * ngram.STEP) if y else None for y in p), [0, 0.0, 0.0, 0.0])
+                cell[:] = [cell[0] + 1, *(z + y for z, y in zip(cell[1:], p, strict=True))]
     weights, known = {}, set()
     for b in range(1 + 2 * ngram.BUCKETS):
         use = [1.0, b > 0, b > ngram.BUCKETS]
@@ -364,10 +365,11 @@ def brute_interpolation(data):
         lam, cells = even, seen.get(b, {})
         for _ in range(ngram.ROUNDS):
             new = list(even)
-            for p, k in cells.items():
+            for k, *total in cells.values():
+                p = [z / k for z in total]
                 s = sum(a * y for a, y in zip(lam, p, strict=True))
                 new = [z + k * a * y / s for z, a, y in zip(new, lam, p, strict=True)]
-            lam = [z / (sum(cells.values()) + 1) for z in new]
+            lam = [z / (sum(k for k, *_ in cells.values()) + 1) for z in new]
         # a bucket without tokens takes the one before it in its row
         after = b > 0 and (b - 1) % ngram.BUCKETS and not cells and b - 1 in known
         weights[b] = weights[b - 1] if after else lam

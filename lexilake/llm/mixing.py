@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 65_536
 RESOLUTION = 1000
 BUCKETS = 1024
+BROADCAST_SLOTS = 1 << 17
 
 
 def whole_weights(weights: dict[str, float], total: int) -> dict[str, int]:
@@ -112,8 +113,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     """docs(source, text, doc_id, ...) with mix_block (from 0 in its source), mix_slot and mix_place (the order within
     a slot) appended. Sorted by mix_slot, mix_place, the sources' characters stand at the target weights.
 
-    weights: by source; a source that it lacks gets the least weight given, and without any the square root of its
-    characters. A null source is one source of its own. A null text counts as empty. Documents that begin in a block
+    weights: by source; a source that it lacks gets the least weight given. Without any, weights are the square roots of
+    the sources' characters as whole shares of resolution, so that the schedule's period is no longer than that.
+    Rows of one doc_id hash stand in order of their texts' hashes, so text itself is not shuffled for the order. A null source is one source of its own. A null text counts as empty. Documents that begin in a block
     are in it; a longer document takes up the blocks that it reaches into. Every row stays, once, with all its columns but for
     those that bear a result's name.
     """
@@ -123,6 +125,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
         F.struct("*").alias("_row"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")).alias("_s"),
         F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("_n"),
+        F.xxhash64("text").alias("_t"),
         F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("_h"),
     ).withColumn("_b", F.shiftrightunsigned("_h", 54).cast("int"))
     # characters before each bucket of a source, then within it
@@ -133,26 +136,30 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
         return docs.withColumns({"mix_block": F.lit(0).cast("long"), "mix_slot": F.lit(0).cast("long"), "mix_place": F.lit(0).cast("long")})
     blocks = {s: n // block_chars + 1 for s, n in totals.items()}
     given = {"null" if s is None else "=" + s: w for s, w in (weights or {}).items()}
-    target = {s: given.get(s, min(given.values())) if given else max(1.0, n) ** 0.5 for s, n in totals.items()}
+    if given:
+        target = {s: given.get(s, min(given.values())) for s in totals}
+    else:
+        target = whole_weights({s: max(1.0, n) ** 0.5 for s, n in totals.items()}, resolution)
     plan = phases(blocks, target, resolution)
     starts, slots = [], []
     for k, p in enumerate(plan):
         # beyond a long the weight is never reached
         starts += [(s, k, first, min(p["weights"][s], 2**62), min(p["period"], 2**62), p["slot"]) for s, first in p["first"].items()]
         slots += [(k, s, j, at) for (s, j), at in p["table"].items()]
-    # starts has a row a source and phase, slots at most one a block
+    # starts has a row a source and phase; slots one a slot of a phase's period, at most one a block
     per_source = {}
     for s, k, first, w, period, slot in starts:
         per_source.setdefault(s, []).append((first, k, w, period, slot))
     ranges = spark.createDataFrame([(s, sorted(v)) for s, v in per_source.items()], "_s string, _r array<struct<first: long, k: int, w: long, period: long, slot: long>>")
     table = spark.createDataFrame(slots, "_k int, _s string, _j long, _at long")
 
-    w = Window.partitionBy("_s", "_b").orderBy("_h", "_row.doc_id", "_row.text").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("_s", "_b").orderBy("_h", "_t").rowsBetween(Window.unboundedPreceding, -1)
     placed = own.withColumn("_in", F.coalesce(F.sum("_n").over(w), F.lit(0))).join(before.select("_s", "_b", "_before"), ["_s", "_b"])
     placed = placed.withColumn("mix_place", F.col("_before") + F.col("_in")).withColumn("mix_block", F.floor(F.col("mix_place") / block_chars))
     placed = placed.join(F.broadcast(ranges), "_s").withColumn("_p", F.expr("element_at(filter(_r, r -> r.first <= mix_block), -1)"))
     placed = placed.withColumn("_k", F.col("_p.k")).withColumn("_j", F.expr("cast((mix_block - _p.first) % _p.w as long)"))
-    out = placed.join(F.broadcast(table), ["_k", "_s", "_j"])
+    # small unless weights have many decimals or sources are many; Spark picks the join by size then
+    out = placed.join(F.broadcast(table) if len(slots) <= BROADCAST_SLOTS else table, ["_k", "_s", "_j"])
     slot = F.expr("_p.slot + (mix_block - _p.first) div _p.w * _p.period + _at")
     return out.withColumn("mix_slot", slot).select("_row.*", "mix_block", "mix_slot", "mix_place")
 

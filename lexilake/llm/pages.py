@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from lexilake.llm.common import bounded_batches, partitions
 
 TASK_ROWS = 20_000
+TABLE_BITS = 1 << 27  # of the rows kept to align two pages
 ARTICLE, OPEN, FURNITURE = 2, 1, 0
 COPY_REST = 0.1  # a page of whose body less than this is its own has copies for neighbours
 
@@ -136,22 +137,41 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def shared_lines(own: list[int], other: list[int]) -> set[int]:
-    """Places in own of a longest common subsequence with other, by bit-parallel rows."""
-    there = set(other)
-    places = [i for i, x in enumerate(own) if x in there]
-    here = set(own)
-    b = [x for x in other if x in here]
+def _row(v: int, own: list[int], masks: dict[int, int], full: int) -> int:
+    """The bit-parallel row v after the lines own: bit j is 0 where the subsequence grows at line j of the other."""
+    for x in own:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return v
+
+
+def _masks(b: list[int]) -> dict[int, int]:
     masks: dict[int, int] = {}
     for j, x in enumerate(b):
         masks[x] = masks.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
+    return masks
+
+
+def _growth(own: list[int], b: list[int]) -> list[int]:
+    """Length of the longest common subsequence of own with each first part of b."""
+    v = _row((1 << len(b)) - 1, own, _masks(b), (1 << len(b)) - 1)
+    return list(itertools.accumulate((c == "0" for c in reversed(f"{v:0{len(b)}b}")), initial=0)) if b else [0]
+
+
+def _common_places(a: list[int], b: list[int], at: int, out: set[int]) -> None:
+    """Adds at + the places in a of a longest common subsequence with b. Where a table of all rows would be large, a
+    is halved and b parted where the halves' subsequences are longest together."""
+    while a and b and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        first, second = _growth(a[:half], b), _growth(a[half:][::-1], b[::-1])
+        cut = max(range(len(b) + 1), key=lambda j: first[j] + second[len(b) - j])
+        _common_places(a[:half], b[:cut], at, out)
+        a, b, at = a[half:], b[cut:], at + half
+    masks, full = _masks(b), (1 << len(b)) - 1
     rows = [full]
-    for i in places:
-        v = rows[-1]
-        u = v & masks[own[i]]
-        rows.append(((v + u) | (v - u)) & full)
-    out, i, j = set(), len(places), len(b)
+    for x in a:
+        rows.append(_row(rows[-1], [x], masks, full))
+    i, j = len(a), len(b)
     while i and j:
         if rows[i] >> (j - 1) & 1:
             j -= 1
@@ -159,8 +179,23 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
             i -= 1
         else:
             i, j = i - 1, j - 1
-            out.add(places[i])
-    return out
+            out.add(at + i)
+
+
+def shared_lines(own: list[int], other: list[int]) -> set[int]:
+    """Places in own of a longest common subsequence with other, by bit-parallel rows of at most TABLE_BITS together."""
+    a = z = 0
+    while a < min(len(own), len(other)) and own[a] == other[a]:
+        a += 1
+    while z < min(len(own), len(other)) - a and own[-1 - z] == other[-1 - z]:
+        z += 1
+    out = {*range(a), *range(len(own) - z, len(own))}
+    mine, theirs = own[a : len(own) - z], other[a : len(other) - z]
+    there, here = set(theirs), set(mine)
+    places = [i for i, x in enumerate(mine) if x in there]
+    found: set[int] = set()
+    _common_places([mine[i] for i in places], [x for x in theirs if x in here], 0, found)
+    return out | {a + places[i] for i in found}
 
 
 def main_text(lines: list[tuple[int, str]], shared: set[int], beside: Callable[[], set[int] | None] = lambda: None) -> tuple[str, int]:

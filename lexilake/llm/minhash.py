@@ -5,8 +5,8 @@ permutations, both the minimum and the maximum of the permuted set: 128 componen
 (Ji et al., "Min-Max Hash for Jaccard Similarity"). Sixteen bands of four minima and sixteen of four maxima
 make two sets of similarity 0.75 miss each other with a probability of 5e-6.
 
-Groups. Equal sets are one class from the start (a group-by on a 128-bit digest), so a group of exact copies of
-any size costs one row per copy. In a bucket each member is first held against one pivot only, the one it
+Groups. Equal sets are one class from the start (a group-by on a 128-bit digest, each copy then confirmed on the
+set of the class's first), so a group of exact copies of any size costs one pair per copy. In a bucket each member is first held against one pivot only, the one it
 shares most bands with; members that this connects need nothing more, because only components are asked for.
 Members of buckets whose ends are still apart (documents that share a common passage, say, but not three
 quarters of their text) are then joined on their rarest shingles: a prefix filter with positional bounds, which
@@ -211,8 +211,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # equal sets are one class, known by its smallest doc_id
     with_set = signed.where("n_shingles > 0 and doc_id is not null")
     classes = with_set.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
-    member = work.save(with_set.select("doc_id", "d0", "d1").join(classes, ["d0", "d1"]).select("doc_id", "rep"))
-    reps = with_set.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    member = work.save(with_set.select("doc_id", "d0", "d1").join(classes, ["d0", "d1"]).select("doc_id", "rep").distinct())
+    # equal digests are confirmed on the sets; one that is not so stands for itself
+    same = member.where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    equal = _Verifier(spark, narrow, same.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), work)
+    apart = equal(same).where("not linked").select(F.col("v").alias("doc_id")).distinct()
+    work.drop(equal.texts)
+    if not apart.isEmpty():
+        member = work.save(member.join(apart, "doc_id", "left_anti").unionByName(apart.select("doc_id", F.col("doc_id").alias("rep"))))
+    reps = with_set.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = reps.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "bands"), F.struct("d0", "d1")).alias("x")).select("doc_id", "x.n_shingles", "x.bands")
     rows = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key")).distinct()
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     buckets = work.save(rows.join(full.select("key", "pivot"), "key"))

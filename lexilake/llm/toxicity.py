@@ -7,8 +7,8 @@ are trained jointly by Adagrad on cross entropy. A misspelling or an unseen endi
 words seen. Since average and softmax's logit difference are linear, each feature's share of a score is one
 number, embedding times weight difference, so scoring broadcasts one float a feature (2^BITS * 4 bytes).
 
-Training takes a bounded sample of the labelled rows: SAMPLE of either class at most, those with the least hash
-of their id. Scores are corrected to the classes' shares among all labelled rows.
+Training takes a bounded sample of the labelled rows: sample_size (SAMPLE by default) of either class at most, those
+with the least hash of their id. Scores are corrected to the classes' shares among all labelled rows.
 """
 
 from __future__ import annotations
@@ -151,10 +151,11 @@ def score_texts(texts: list[str | None], share: np.ndarray, bias: float) -> np.n
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable=None) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, usable=None, sample_size: int | None = SAMPLE) -> tuple[np.ndarray, float]:
     """A model from docs(doc_id, text) and labels(doc_id, toxic), over the labelled rows that usable allows.
 
-    An id with more than one label counts as toxic if any says so. With labels of one class only, or none, every
+    sample_size: rows of either class at most, those of least hash; None takes all, in one task. An id with more than
+    one label counts as toxic if any says so; of several texts of an id the least is taken. With labels of one class only, or none, every
     score is that class's smoothed share.
     """
     spark = docs.sparkSession
@@ -169,9 +170,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable=None) -> tuple[np.ndarray,
     if not n1 or not n0:
         return flat, prior
     h = F.xxhash64("doc_id", F.lit(9))
-    sample = lab.where("toxic = 1").orderBy(h, "doc_id").limit(SAMPLE).unionByName(lab.where("toxic = 0").orderBy(h, "doc_id").limit(SAMPLE))
+    if sample_size is None:
+        sample = lab
+    else:
+        one, none = (lab.where(F.col("toxic") == y).orderBy(h, "doc_id").limit(sample_size) for y in (1, 0))
+        sample = F.broadcast(one.unionByName(none))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])  # 2 * SAMPLE rows at most
+    chosen = texts.join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def fit(batches):
         rows = sorted((d, t, y) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))

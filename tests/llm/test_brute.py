@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import unicodedata
 import zlib
 from collections import Counter
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -384,3 +386,101 @@ def test_op7_scores_by_plain_interpolation(spark, documents, monkeypatch):
     want = brute_interpolation([(zlib.crc32(str(i).encode()) % 10, [*spaced(t), "</s>"]) for i, t in documents])
     for (i, _), x in zip(documents, want, strict=True):
         assert got[i] == pytest.approx(x, rel=1e-6)
+
+
+def test_long_pages_are_aligned_in_parts(monkeypatch):
+    rng = random.Random(12)
+    pairs = [tuple([rng.randrange(9) for _ in range(rng.randrange(60))] for _ in range(2)) for _ in range(40)]
+    want = [len(pages.shared_lines(a, b)) for a, b in pairs]
+    monkeypatch.setattr(pages, "TABLE_BITS", 40)
+    for (a, b), n in zip(pairs, want, strict=True):
+        found = pages.shared_lines(a, b)
+        rest = iter(b)
+        assert len(found) == n and all(a[i] in rest for i in sorted(found))
+    long = [i % 5000 for i in range(30_000)]
+    assert len(pages.shared_lines([-1, *long, -2], [-3, *long, -4])) == 30_000
+
+
+def plain_pages(rows):
+    """Texts of (page_id, url, html) rows by a plain table for each pair of neighbours on a host."""
+
+    def shared(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in product(range(len(a)), range(len(b))):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        i, j, out = len(a), len(b), set()
+        while i and j:
+            if t[i][j] == t[i][j - 1]:
+                j -= 1
+            elif t[i][j] == t[i - 1][j]:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.add(i)
+        return out
+
+    hosts, out = {}, {}
+    for page_id, url, html in rows:
+        m = re.match(r"^[a-zA-Z][\w+.-]*://([^/?#]*)([^?#]*)", url or "")
+        hosts.setdefault((m[1].lower() if m else ""), []).append((m[2] if m else "", page_id, pages.page_lines(html)))
+    alike = lambda a, b: len(os.path.commonprefix([a, b]))
+    for host, group in hosts.items():
+        group.sort(key=lambda x: (x[0].encode(), x[1]))
+        for k, (path, page_id, lines) in enumerate(group):
+            sides = [group[j] if host and 0 <= j < len(group) else None for j in (k - 1, k + 1)]
+            near, far = sides if not sides[1] or (sides[0] and alike(path, sides[0][0]) >= alike(path, sides[1][0])) else sides[::-1]
+            own = [t for _, t in lines]
+            gone = shared(own, [t for _, t in near[2]]) if near else set()
+            marked = any(z == pages.ARTICLE for z, _ in lines)
+            body = [i for i, (z, _) in enumerate(lines) if z == (pages.ARTICLE if marked else pages.OPEN)]
+            size = sum(len(own[i]) for i in body)
+            if 2 * sum(len(own[i]) for i in body if i not in gone) < size:
+                gone = gone & shared(own, [t for _, t in far[2]]) if far else gone
+                if sum(len(own[i]) for i in body if i not in gone) < pages.COPY_REST * size:
+                    gone = set()
+            out[page_id] = " ".join(own[i] for i in body if i not in gone)
+    return out
+
+
+def test_op8_by_plain_differencing(spark):
+    rows = list(map(tuple, spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()))
+    share = "<body><p>menu of the site</p><div>about us</div><p>{}</p><p>call us any day</p>"
+    rows += [(10**6 + k, f"https://plain.example/{k % 3}/{k}", share.format(f"text {k} " + "of its own kind " * k)) for k in range(1, 12)]
+    want = plain_pages(rows)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract_pages(df, task_rows=20).collect()}
+    assert got == want
+    # without differencing other texts come out
+    alone = {i: pages.main_text(pages.page_lines(html), set())[0] for i, _, html in rows}
+    assert sum(alone[i] != want[i] for i in want) >= 11
+
+
+def test_op4_by_plain_placing(spark):
+    rng = random.Random(3)
+    rows = [(i, "ab"[i % 3 == 0], "x" * rng.randrange(1, 400)) for i in range(300)] + [(7, "a", "y"), (7, "a", "y"), (None, None, None)]
+    weights, size = {"a": 0.5, "b": 0.3, None: 0.2}, 1000
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_sources(docs, weights, block_chars=size).collect()
+    assert sorted((r.doc_id, r.source, r.text) for r in got if r.doc_id is not None) == sorted(r for r in rows if r[0] is not None)
+    blocks, first = {}, {}
+    for s in weights:
+        mine = sorted((r.mix_place, r.doc_id or 0, len(r.text or "")) for r in got if r.source == s)
+        assert [p for p, *_ in mine] == [sum(n for *_, n in mine[:k]) for k in range(len(mine))]
+        assert all(r.mix_block == r.mix_place // size for r in got if r.source == s)
+        blocks[s] = sum(n for *_, n in mine) // size + 1
+        for r in got:
+            if r.source == s:
+                assert first.setdefault((s, r.mix_block), r.mix_slot) == r.mix_slot
+    # earliest deadline first, slot by slot, over all blocks
+    done, slot, at, since = dict.fromkeys(weights, 0), 0, {}, {}
+    while active := [s for s in weights if done[s] < blocks[s]]:
+        if since.get("who") != active:
+            since = {"who": active, "slot": slot} | {s: done[s] for s in active}
+        total = sum(Fraction(str(weights[s])) for s in active)
+        w = {s: Fraction(str(weights[s])) / total for s in active}
+        ready = [s for s in active if (done[s] - since[s]) / w[s] // 1 <= slot - since["slot"]]
+        s = min(ready, key=lambda s: (math.ceil((done[s] - since[s] + 1) / w[s]), -w[s], s is None, s or ""))
+        at[s, done[s]] = slot
+        done[s] += 1
+        slot += 1
+    assert first == {k: at[k] for k in first}

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +87,29 @@ def _clean() -> None:
 def bounded_batches(spark: SparkSession, records: int = 1024) -> None:
     """Arrow batches of whole texts: few enough rows for a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def released(f: Callable) -> Callable:
+    """The function over batches f, which at a task's end gives memory that is no longer used back to the system:
+    Spark keeps its Python workers for later tasks and stages."""
+
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.llm import wordhash as W
-from lexilake.llm.common import bounded_batches
+from lexilake.llm.common import bounded_batches, released
 
 WINDOW = 10
 PART_WORDS = 1_000_000
@@ -98,15 +98,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     docs = docs.drop(*RESULTS)
     out = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("t"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
     texts = docs.select(F.col("text").cast("string").alias("t"))
+    marks = []
     for k in range(parts):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).select("item", "words").toPandas()
         if len(part):
             index = _Index(part, _document_counts(spark, texts, part), window)
-            out = out.mapInArrow(_marker(spark.sparkContext.broadcast(index)), out.schema)
+            marks.append(_marker(spark.sparkContext.broadcast(index)))
     if not parts:
-        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(_Index(pd.DataFrame({"item": [], "words": []}), {}, window))), out.schema)
+        marks.append(_marker(spark.sparkContext.broadcast(_Index(pd.DataFrame({"item": [], "words": []}), {}, window))))
+
+    def marked(batches):
+        for mark in marks:
+            batches = mark(batches)
+        return _summary(batches)
+
+    # all parts in one Python worker a task
     return out.mapInArrow(
-        _summary, "row " + docs.schema.simpleString() + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+        released(marked), "row " + docs.schema.simpleString() + ", n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     ).select("row.*", *RESULTS)
 
 
@@ -124,7 +132,7 @@ def _document_counts(spark: SparkSession, texts: DataFrame, part: pd.DataFrame)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["word", "n"])
 
-    rows = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(released(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     return {int(vocabulary[w]): n for w, n in zip(rows["word"], rows["n"], strict=True)}
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import Workspace, bounded_batches, tokenizer_file
+from lexilake.llm.common import Workspace, bounded_batches, released, tokenizer_file
 from lexilake.llm.tokens import Encoder, text_groups
 
 SPAN = 1024
@@ -27,9 +27,10 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
         for b in text_groups(batches, 0):
             for n, d in zip(*(x.tolist() for x in np.unique(enc.lengths(b.column(0)), return_counts=True)), strict=True):
                 seen[n] = seen.get(n, 0) + d
+        enc.forget()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n_docs"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lengths, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(released(lengths), "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.llm import wordhash as W
-from lexilake.llm.common import Workspace, bounded_batches
+from lexilake.llm.common import Workspace, bounded_batches, released
 from lexilake.llm.components import connected_components
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
@@ -110,7 +110,7 @@ class _Verifier:
                 yield b.filter(pa.array((seen.value[h // 32] >> (h % 32)) & 1 == 1))
 
         hashed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("b"))
-        kept = hashed.mapInArrow(some, "doc_id long, text string, b long").select("doc_id", "text")
+        kept = hashed.mapInArrow(released(some), "doc_id long, text string, b long").select("doc_id", "text")
         self.texts = work.save(kept.join(candidates.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
         self.work = work
 
@@ -118,7 +118,7 @@ class _Verifier:
         a = self.texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
         c = self.texts.select(F.col("doc_id").alias("v"), F.col("text").alias("c"))
         rows = pairs.join(a, "u").join(c, "v").select("u", "v", "a", "c")
-        return self.work.save(rows.mapInArrow(_linked, "u long, v long, linked boolean"))
+        return self.work.save(rows.mapInArrow(released(_linked), "u long, v long, linked boolean"))
 
 
 def _apart(rows: DataFrame, comp: DataFrame, work: Workspace) -> DataFrame:
@@ -155,7 +155,7 @@ def _rare_shingles(spark: SparkSession, texts: DataFrame, members: DataFrame, wo
         at = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], ["slot", "n"])
 
-    found = own.mapInArrow(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    found = own.mapInArrow(released(counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(COUNTERS, dtype=np.int64)
     table[found["slot"].to_numpy()] = found["n"].to_numpy()
     order = spark.sparkContext.broadcast(table)  # 8 * COUNTERS bytes, whatever the input
@@ -180,7 +180,7 @@ def _rare_shingles(spark: SparkSession, texts: DataFrame, members: DataFrame, wo
                 ["key", "rep", "n_shingles", "place"],
             )
 
-    return work.save(own.mapInArrow(keys, "key long, rep long, n_shingles long, place long"))
+    return work.save(own.mapInArrow(released(keys), "key long, rep long, n_shingles long, place long"))
 
 
 def _one_key_for_each_list(rows: DataFrame, work: Workspace) -> DataFrame:
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     work = Workspace(spark, "minhash")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = work.save(narrow.mapInArrow(_signatures, "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>"))
+    signed = work.save(narrow.mapInArrow(released(_signatures), "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>"))
 
     # equal sets are one class, known by its smallest doc_id
     with_set = signed.where("n_shingles > 0 and doc_id is not null")

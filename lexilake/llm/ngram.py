@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.llm import wordhash as W
-from lexilake.llm.common import Workspace, bounded_batches, crc32_mod, partitions
+from lexilake.llm.common import Workspace, bounded_batches, crc32_mod, partitions, released
 from lexilake.llm.wordhash import U64
 
 ORDER = 3
@@ -311,13 +311,13 @@ def language_model_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     bounded_batches(spark)
     work = Workspace(spark, "ngram")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), crc32_mod("doc_id", FOLDS).cast("int").alias("fold"))
-    packed = rows.mapInArrow(_texts_to_batches, "tuning boolean, ids array<long>, folds array<int>, sizes array<long>, known binary, counts binary, numbers binary")
+    packed = rows.mapInArrow(released(_texts_to_batches), "tuning boolean, ids array<long>, folds array<int>, sizes array<long>, known binary, counts binary, numbers binary")
     batches = work.save(packed.withColumn("batch", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())))
     size = batches.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)).alias("tokens")).first()
     parts = max(16, -(-size.tokens // PART_TOKENS))
     tasks = lambda rows: max(partitions(spark), int(rows))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    asked = batches.select("batch", "folds", "sizes", "known", "counts", "numbers").mapInArrow(_requests(order, parts), "n int, part int, batch string, keys binary, total binary, tuned binary")
+    asked = batches.select("batch", "folds", "sizes", "known", "counts", "numbers").mapInArrow(released(_requests(order, parts)), "n int, part int, batch string, keys binary, total binary, tuned binary")
     answers = work.save(asked.repartition(tasks(3 * parts), "n", "part").groupBy("n", "part").applyInArrow(_answers, "n int, part int, batch string, total binary, tuned binary, types long, tokens long, tuning_types long, tuning_tokens long"))
     sums = {r.n: r for r in answers.groupBy("n").agg(*(F.sum(c).alias(c) for c in ("types", "tokens", "tuning_types", "tuning_tokens"))).collect()}
     if 1 not in sums:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import Workspace, bounded_batches, tokenizer_file
+from lexilake.llm.common import Workspace, bounded_batches, released, tokenizer_file
 
 MAGIC, BITS = b"DAC1", 8
 BLOCK_IDS = 1 << 18
@@ -98,6 +98,10 @@ class Encoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    def forget(self) -> None:
+        """Empties the cache, for a worker that other stages use next."""
+        self.young, self.old = {"": b""}, {}
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -327,9 +331,10 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, order:
                     yield row(part)
         if names:
             yield row(part)
+        enc.forget()
 
     # chunks are read by their places, so they aren't compressed
-    placed.mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    placed.mapInArrow(released(blocks), BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 #: stands for a null doc_id inside a block
@@ -372,7 +377,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_crc32", "part", "block", "place"],
                 )
 
-    found = blocks.select("part", "block", "payload").mapInArrow(documents, "doc_id long, n_tokens long, ids_crc32 long, part int, block int, place long")
+    found = blocks.select("part", "block", "payload").mapInArrow(released(documents), "doc_id long, n_tokens long, ids_crc32 long, part int, block int, place long")
     return found.join(starts, ["part", "block"]).select("doc_id", (F.col("b") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "part", "block", "place")
 
 

@@ -13,12 +13,15 @@ with the least hash of their id. Scores are corrected to the classes' shares amo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import bounded_batches, crc32_mod
+from lexilake.llm.common import bounded_batches, crc32_mod, give_back, released
 from lexilake.llm.wordhash import U64, mix
 
 BITS, WIDTH, GRAMS = 18, 8, (4, 5)
@@ -186,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable=None, sample_size: int | No
         share, bias = train([r[1] for r in rows], y)
         yield pa.RecordBatch.from_arrays([pa.array([share.tobytes()], pa.binary()), pa.array([bias]), pa.array([int(y.sum())]), pa.array([len(y)])], ["share", "bias", "n1", "n"])
 
-    got = chosen.select("doc_id", "text", "toxic").repartition(1).mapInArrow(fit, "share binary, bias double, n1 long, n long").collect()
+    got = chosen.select("doc_id", "text", "toxic").repartition(1).mapInArrow(released(fit), "share binary, bias double, n1 long, n long").collect()
     if not got:
         return flat, prior
     m = got[0]
@@ -200,10 +203,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     known = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def toxic(texts):
-        import pandas as pd
-
-        return pd.Series(1 / (1 + np.exp(-np.clip(score_texts(texts.tolist(), *known.value), -500, 500))))
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(1 / (1 + np.exp(-np.clip(score_texts(texts.tolist(), *known.value), -500, 500))))
+        give_back()
 
     return docs.withColumn("score", toxic(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

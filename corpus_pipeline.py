@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 Every stage takes nulls in any column, empty and very long texts, repeated rows, an empty table and columns that bear
-an operator's names: all columns are held in one beside those that the operator reads.
+an operator's names: columns that operators do not read are held in one.
 """
 
 from __future__ import annotations
@@ -20,9 +20,17 @@ from lexilake.llm.tokens import token_output
 from lexilake.llm.toxicity import learn, score
 
 
+#: columns that operators read; the others are held in one, so that no operator's column can clash with them
+READ = ("doc_id", "text", "source")
+
+
 def _held(docs: DataFrame) -> DataFrame:
-    """docs with all columns in one, so that no operator's column can clash with them, and those that operators read."""
-    return docs.select("doc_id", "text", "source", F.struct("*").alias("held"))
+    return docs.select(*READ, F.struct(F.lit(1).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in READ)).alias("held"))
+
+
+def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """out with the columns of docs."""
+    return out.select(*(F.col(c) if c in READ else F.col("held").getField(c).alias(c) for c in docs.columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     label. Without labels of both classes every document has the same score.
     """
     model = learn(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return score(_held(docs), model).where("predicted = 0").select("held.*")
+    return _as_before(score(_held(docs), model).where("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +48,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Null and empty texts are near nothing and stay, as do rows without a doc_id.
     """
-    return keep_one_of_each(_held(docs)).select("held.*")
+    return _as_before(keep_one_of_each(_held(docs)), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark. Null and empty texts hold none; repeated rows go together."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return contamination(_held(docs), bench).where("not contaminated").select("held.*")
+    return _as_before(contamination(_held(docs), bench).where("not contaminated"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mixed = mix_sources(_held(docs))
     order = ["mix_slot", "mix_place", "doc_id"]
-    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select("held.*")
+    return _as_before(mixed.repartitionByRange(*order).sortWithinPartitions(*order), docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

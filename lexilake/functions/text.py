@@ -1,4 +1,4 @@
-"""Text and score expressions: Column in, Column out, all inside whole-stage code generation."""
+"""Text and score expressions: Column in, Column out. Those over arrays (filter, transform, aggregate) run interpreted."""
 
 from __future__ import annotations
 
@@ -48,12 +48,37 @@ def clause_references(text: Column) -> Column:
 def passes_quality_gate(text: Column) -> Column:
     """At least 8 tokens, 35 % letters and digits of printable characters, 8 % distinct words."""
     t = F.coalesce(text, F.lit(""))
-    alnum, printable = (F.regexp_count(t, F.lit(p)) for p in ("[A-Za-z0-9]", "[^ \t\n\r\f\x0B]"))
+    kept = lambda p: F.char_length(t) - F.char_length(F.regexp_replace(t, p, ""))
+    alnum, printable = kept("[A-Za-z0-9]+"), kept("[^ \\t\\n\\r\\f\\x0B]+")
     found = F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]{2,}"), F.lit(0))
     distinct = F.size(F.array_distinct(found)) >= 0.08 * F.size(found)
     return (estimated_tokens(t) >= 8) & (alnum >= 0.35 * printable) & (F.size(found) > 0) & distinct
 
 
+# How the first line of an anchor begins (any case), and words that bind, references and numbered conditions.
+ANCHOR = r"^\s*(?:FAR|DFARS)?\s*(?:52\.\d{3}-\d+|252\.\d{3}-\d+|\d{2,3}\.\d{3}(?:-\d+)?)\b"
+MANUAL_ANCHOR = r"^\s*\d+-\d+\."
+OBLIGATION = r"\b(shall|must|required|only\s+if)\b"
+CROSS_REFERENCE = r"\b(see\s+paragraph\s+\([a-z0-9ivx]+\)|as\s+defined\s+in|FAR\s+\d+\.\d+(?:-\d+)?|DFARS\s+\d+\.\d+(?:-\d+)?)\b"
+CONDITION_LINE = r"(?:^|\n)[ \t]*\((?:[a-z]|\d+|[ivx]+)\)[ \t]+\S"
+
+
+def first_line(text: Column) -> Column:
+    return F.split_part(F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n")), F.lit("\n"), F.lit(1))
+
+
+def is_anchor(text: Column) -> Column:
+    """Whether a chunk begins with the number of a clause or of a manual's section; such may stay small."""
+    line = first_line(text)
+    return line.rlike("(?i)" + ANCHOR) | line.rlike(MANUAL_ANCHOR)
+
+
+def must_stay_whole(text: Column) -> Column:
+    """Whether a section binds someone, refers elsewhere, or has two numbered conditions or more."""
+    t = F.coalesce(text, F.lit(""))
+    return t.rlike("(?i)" + OBLIGATION) | t.rlike("(?i)" + CROSS_REFERENCE) | (F.regexp_count(t, F.lit("(?i)" + CONDITION_LINE)) >= 2)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; 0 where either is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

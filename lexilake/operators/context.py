@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexilake.functions import text as T
-from lexilake.operators.retrieval import ranked
+from lexilake.operators.retrieval import dense_batch, ranked
 
 
 def anchors(hits: DataFrame, index: DataFrame, top: int = 8, k: int = 25) -> DataFrame:
@@ -52,15 +52,13 @@ def critique(hits: DataFrame, queries: DataFrame, threshold: float = 0.5) -> Dat
     return x.select("query_id", (reason == "match").alias("passed"), F.round(score, 6).alias("score"), reason.alias("reason"))
 
 
-def nearest_centroid(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", label: str = "label", broadcast_classes: int = 4096) -> DataFrame:
+def nearest_centroid(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", label: str = "label") -> DataFrame:
     """key, nearest, similarity: the class whose mean vector is nearest by cosine, the smaller label on ties.
 
-    Classes are counted; up to broadcast_classes of them are broadcast, more go by the join that Spark picks.
+    Labels and keys are whole numbers; few classes are broadcast (see dense_batch).
     """
     parts = vectors.select(label, F.posexplode(column).alias("at", "x")).groupBy(label, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     means = parts.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("mean"))
-    few = vectors.select(label).distinct().limit(broadcast_classes + 1).count() <= broadcast_classes
-    pairs = vectors.select(key, column).join(F.broadcast(means) if few else means, F.size(column) == F.size("mean"))
-    near = pairs.select(key, label, F.round(T.cosine(F.col(column), F.col("mean")), 6).alias("s"))
-    best: Column = F.max_by(F.struct(F.col(label).alias("nearest"), F.col("s").alias("similarity")), F.struct(F.col("s"), -F.col(label)))
-    return near.groupBy(key).agg(best.alias("b")).select(key, "b.nearest", "b.similarity")
+    asked = vectors.select(F.col(key).alias("query_id"), F.col(column).alias("vector"))
+    best = dense_batch(means.select(F.col(label).alias("id"), F.col("mean").alias("embedding")), asked, 1)
+    return best.select(F.col("query_id").alias(key), F.col("id").cast(vectors.schema[label].dataType).alias("nearest"), "similarity")

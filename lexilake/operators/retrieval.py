@@ -5,7 +5,9 @@ Queries are rows: every function takes a table of queries and ranks within each,
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -30,25 +32,66 @@ def dense_search(index: DataFrame, vector: list[float], k: int = 15, source: str
     return near.select("id", F.round(T.cosine(F.col("embedding"), v), 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
 
 
-BROADCAST_QUERIES = 4096
+BROADCAST_QUERIES, SALTS = 4096, 64
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """dim, ids, units: the vectors of rows(id, v) of one dimension in an Arrow batch, scaled to unit length, in one row."""
+
+    def pack(batches):
+        for b in batches:
+            size = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(size):
+                own = b.filter(pa.array(size == dim))
+                units = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(dim))
+                length = np.sqrt((units * units).sum(1, keepdims=True))
+                with np.errstate(all="ignore"):
+                    units = np.nan_to_num(units / length, nan=0.0, posinf=0.0, neginf=0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([own.column(0).to_numpy().tobytes()], pa.binary()), pa.array([units.tobytes()], pa.binary())], ["dim", "ids", "units"])
+
+    usable = rows.where(F.col("id").isNotNull() & (F.size("v") > 0)).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    return usable.mapInArrow(pack, "dim int, ids binary, units binary")
+
+
+def _best(k: int):
+    """The k nearest of each block of vectors to each query of a block, ties to the smaller id."""
+
+    def run(batches):
+        for b in batches:
+            for dim, ids, units, asked, vectors in zip(*(b.column(c).to_pylist() for c in ("dim", "ids", "units", "q_ids", "q_units")), strict=True):
+                ids, asked = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64)
+                near = np.round(np.frombuffer(vectors).reshape(-1, dim) @ np.frombuffer(units).reshape(-1, dim).T, 6)
+                out = []
+                for s in near:
+                    rows = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                    out.append(rows[np.lexsort((ids[rows], -s[rows]))[:k]])
+                n = [len(x) for x in out]
+                at = np.concatenate(out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(ids[at]), pa.array(near[np.repeat(np.arange(len(asked)), n), at])], ["query_id", "id", "similarity"])
+
+    return run
 
 
 def dense_batch(index: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
-    """query_id, id, similarity, rank for queries(query_id, vector).
+    """query_id, id, similarity, rank for queries(query_id, vector) over index(id, embedding): cosine, 0 where either is zero.
 
-    Up to BROADCAST_QUERIES queries are counted and broadcast; more are dealt into blocks of about that many, which
-    meet the index in an equi-join on the block number.
+    Vectors are scaled once and packed a block a row; a pair of blocks is one matrix product, of which the k best a
+    query are kept. The side of at most BROADCAST_QUERIES rows, if there is one, is broadcast; else blocks of both
+    meet by dimension and salt. Null and empty vectors take no part.
     """
-    n = queries.limit(BROADCAST_QUERIES + 1).count()
-    rows, asked = index.select("id", "embedding"), queries.select("query_id", "vector")
-    if n <= BROADCAST_QUERIES:
-        pairs = rows.join(F.broadcast(asked), F.size("embedding") == F.size("vector"))
+    rows = index.select("id", F.col("embedding").alias("v"))
+    asked = queries.select(F.col("query_id").alias("id"), F.col("vector").alias("v"))
+    few = lambda df: df.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    known, wanted = _packed(rows), _packed(asked).withColumnsRenamed({"ids": "q_ids", "units": "q_units"})
+    if few(asked):
+        pairs = known.join(F.broadcast(wanted), "dim")
+    elif few(rows):
+        pairs = wanted.join(F.broadcast(known), "dim")
     else:
-        blocks = -(-queries.count() // BROADCAST_QUERIES)
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        salted = rows.select("*", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-        pairs = salted.join(asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))), ["block", "salt"]).where(F.size("embedding") == F.size("vector"))
-    return ranked(pairs.select("query_id", "id", F.round(T.cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity")), k, F.desc("similarity"), F.col("id"))
+        salted = known.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
+        pairs = salted.join(wanted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["dim", "salt"])
+    found = pairs.select("dim", "ids", "units", "q_ids", "q_units").mapInArrow(_best(k), "query_id long, id long, similarity double")
+    return ranked(found, k, F.desc("similarity"), F.col("id"))
 
 
 def query_terms(text: Column) -> Column:
@@ -69,11 +112,44 @@ def reciprocal_rank_fusion(dense: DataFrame, lexical: DataFrame, k: int = 60) ->
     return both.groupBy("query_id", "id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf_score"), F.max("d").alias("in_dense"), F.max("l").alias("in_lexical"))
 
 
+# Shapes of clause numbers, and titles and texts of chunks that are tables of clauses.
+CLAUSE_NUMBERS = r"\b(52\.\d{3}(?:-\d+)?|252\.\d{3}-\d+)\b|\b\d{2}\.\d{3}(?:-\d+)?\b"
+META_TITLES = "matrix|appendix|solicitation provisions and contract clauses|key:|matrix notes"
+# Questions that ask for the clauses of a project's start, and the clauses meant.
+START_QUESTIONS = (
+    "mobilization|clauses to review|before project start|before mobilization|pre-mobilization|pre-award|which clauses|what clauses|key clauses|"
+    "contract clauses to review"
+)
+START_CLAUSES = ["52.211", "52.232", "52.236", "52.242", "52.243", "52.249"]
+
+
+def clause_like(query: Column) -> Column:
+    """Whether a query names a clause number, or a clause and some digit."""
+    q = F.lower(F.trim(F.coalesce(query, F.lit(""))))
+    return q.rlike(CLAUSE_NUMBERS) | (F.contains(q, F.lit("clause")) & q.rlike(r"\d"))
+
+
+def meta_chunk(title: Column, text: Column) -> Column:
+    """Whether a chunk is a table of clauses or notes on one, by its section's title or its first 300 characters."""
+    start = F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(300)))
+    has = lambda x: F.contains(start, F.lit(x))
+    return F.lower(F.coalesce(title, F.lit(""))).rlike(META_TITLES) | (has("matrix notes") & (has("key:") | has("provision or clause")))
+
+
+def preferred_section(query: Column, section: Column) -> Column:
+    """Whether a query asks for the clauses of a project's start and the section is one of them."""
+    asks = F.lower(F.coalesce(query, F.lit(""))).rlike(START_QUESTIONS)
+    return asks & F.coalesce(section, F.lit("")).rlike("^(?:" + "|".join(p.replace(".", r"\.") for p in START_CLAUSES) + ")")
+
+
 def boosted(fused: DataFrame, k: int, clause_like: Column | bool = False, preferred: Column | None = None) -> DataFrame:
-    """The first k by final_score: preferred rows x 1.4; else, for clause-like queries, lexical ones x 1.35; else dense-only x 1.05."""
+    """The first k by final_score: preferred rows x 1.4; and on top, of clause-like queries, lexical ones x 1.35, of
+    others, those of the dense leg alone x 1.05."""
     clause = clause_like if isinstance(clause_like, Column) else F.lit(clause_like)
-    factor = F.when(preferred if preferred is not None else F.lit(False), 1.4).when(clause & (F.col("in_lexical") == 1), 1.35).when((F.col("in_dense") == 1) & (F.col("in_lexical") == 0), 1.05).otherwise(1.0)
-    return ranked(fused.withColumn("final_score", F.round(F.col("rrf_score") * factor, 9)), k, F.desc("final_score"), F.col("id"))
+    first = F.when(preferred if preferred is not None else F.lit(False), 1.4).otherwise(1.0)
+    dense_only = (F.col("in_dense") == 1) & (F.col("in_lexical") == 0)
+    second = F.when(clause & (F.col("in_lexical") == 1), 1.35).when(~clause & dense_only, 1.05).otherwise(1.0)
+    return ranked(fused.withColumn("final_score", F.round(F.col("rrf_score") * first * second, 9)), k, F.desc("final_score"), F.col("id"))
 
 
 def direct_lookup(index: DataFrame, needle: str, k: int = 10) -> DataFrame:

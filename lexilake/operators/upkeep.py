@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(table: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """The table with the batch's rows in place of those of the same key."""
-    return table.join(batch.select(key), key, "left_anti").unionByName(batch)
+def upsert(table: DataFrame, batch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """The table with the batch's rows in place of those of the same key.
+
+    order: of rows of one key in the batch the last by it stays (one of them, without an order). Rows of the batch
+    whose key is null match nothing: all of them are added.
+    """
+    last = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last() if order else F.lit(0))
+    once = batch.withColumn("_n", F.row_number().over(last)).where((F.col("_n") == 1) | F.col(key).isNull()).drop("_n")
+    return table.join(batch.select(key), key, "left_anti").unionByName(once)
 
 
 def first_of_each(rows: DataFrame, keys: list[Column | str], *order: Column | str) -> DataFrame:

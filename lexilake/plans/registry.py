@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexilake.functions import answers as Q
 from lexilake.functions import intent as I
+from lexilake.functions import questions as K
 from lexilake.functions import text as T
 from lexilake.operators import context as C
 from lexilake.operators import retrieval as R
@@ -45,6 +46,16 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return R.chunks(table(spark, d, "documents"), table(spark, d, "embeddings"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, for searches that need no vector."""
+    return table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark texts as queries, for searches that need no vector."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """The benchmark texts as queries, each with the vector of the same number."""
     b, v = table(spark, d, "benchmark"), table(spark, d, "embeddings")
@@ -58,8 +69,8 @@ WITH i AS (SELECT d.doc_id AS id, d.source, d.text, e.embedding FROM documents d
 q AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding AS vector FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"""
 _DENSE = f""", dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank
   FROM (SELECT q.query_id, i.id, {_COSINE} AS similarity FROM i, q)) WHERE rank <= 15)"""
-_LEXICAL = """, post AS (SELECT id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM i),
-terms AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^a-z0-9]+')) AS term FROM q) WHERE length(term) > 1),
+_LEXICAL = """, post AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents),
+terms AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM benchmark) WHERE length(term) > 1),
 lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
   FROM (SELECT query_id, id, round(count(*) / (count(*) + 1), 6) AS score FROM post JOIN terms USING (term) GROUP BY ALL)) WHERE rank <= 10)"""
 _FUSED = """, fused AS (SELECT query_id, id, round(sum(1.0 / CAST(60 + rank AS DOUBLE)), 9) AS rrf_score, max(d) AS in_dense, max(l) AS in_lexical FROM (
@@ -73,13 +84,12 @@ def dense_topk(spark, d):
 
 @query(_BASE + _LEXICAL + "SELECT query_id, id, score, rank FROM lexical")
 def lexical_topk(spark, d):
-    return R.lexical_batch(_index(spark, d), _asked(spark, d))
+    return R.lexical_batch(_texts(spark, d), _questions(spark, d))
 
 
 @query(_BASE + _DENSE + _LEXICAL + _FUSED + "SELECT * FROM fused")
 def rrf_fusion(spark, d):
-    i, q = _index(spark, d), _asked(spark, d)
-    return R.reciprocal_rank_fusion(R.dense_batch(i, q), R.lexical_batch(i, q))
+    return R.reciprocal_rank_fusion(R.dense_batch(_index(spark, d), _asked(spark, d)), lexical_topk(spark, d))
 
 
 @query(
@@ -91,6 +101,31 @@ def hybrid_boosted(spark, d):
     return R.boosted(rrf_fusion(spark, d), 10)
 
 
+_ASKS, _SECTIONS, _TITLES = ("which clauses apply", "the clause on 52.236-2", "", "FAR 9.104 terms"), ("52.236-2", "9.1", "52.211"), ("Payments", "", "Matrix Notes", "Changes", "Delivery")
+_PICK = "[{x}][CAST({i} % {n} AS INTEGER) + 1]"
+
+
+def _pick(values, i: str) -> str:
+    return _PICK.format(x=", ".join("'" + v.replace("'", "''") + "'" for v in values), i=i, n=len(values))
+
+
+def _picked(values, i: str):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(i) % len(values) + 1).cast("int"))
+
+
+@query(
+    _BASE + _DENSE + _LEXICAL + _FUSED + f""", x AS (SELECT *, lower({_pick(_ASKS, 'query_id')}) AS ask, {_pick(_SECTIONS, 'id')} AS section, lower({_pick(_TITLES, 'id')}) AS title FROM fused),
+y AS (SELECT *, regexp_matches(ask, '{R.CLAUSE_NUMBERS}') OR (contains(ask, 'clause') AND regexp_matches(ask, '[0-9]')) AS clause, regexp_matches(ask, '{R.START_QUESTIONS}') AND ({' OR '.join(f"starts_with(section, '{p}')" for p in R.START_CLAUSES)}) AS pref
+  FROM x WHERE NOT regexp_matches(title, '{R.META_TITLES}'))
+SELECT query_id, id, rrf_score, in_dense, in_lexical, final_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM (
+  SELECT *, round(rrf_score * CASE WHEN pref THEN 1.4 ELSE 1.0 END * CASE WHEN clause AND in_lexical = 1 THEN 1.35 WHEN NOT clause AND in_dense = 1 AND in_lexical = 0 THEN 1.05 ELSE 1.0 END, 9) AS final_score FROM y)) WHERE rank <= 10"""
+)
+def hybrid_clause_boosts(spark, d):
+    ask, section = _picked(_ASKS, "query_id"), _picked(_SECTIONS, "id")
+    kept = rrf_fusion(spark, d).where(~R.meta_chunk(_picked(_TITLES, "id"), F.lit("")))
+    return R.boosted(kept, 10, R.clause_like(ask), R.preferred_section(ask, section))
+
+
 @query("SELECT doc_id AS id, strpos(lower(text), 'tion') AS place FROM documents WHERE strpos(lower(text), 'tion') > 0 ORDER BY place, id LIMIT 10")
 def direct_text_lookup(spark, d):
     return R.direct_lookup(table(spark, d, "documents").withColumnRenamed("doc_id", "id"), "tion")
@@ -170,29 +205,53 @@ def percentile_nearest_rank(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(p(0.5).alias("p50"), p(0.9).alias("p90"))
 
 
+_FIRST = "split_part(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10), 1)"
+_ANCHORED = f"(regexp_matches({_FIRST}, '{T.ANCHOR}', 'i') OR regexp_matches({_FIRST}, '{T.MANUAL_ANCHOR}'))"
+_MARKED = "CASE WHEN doc_id % 3 = 0 THEN '52.236-' || doc_id || ' ' || text WHEN doc_id % 3 = 1 THEN '1-2. you must ' || text ELSE text END"
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, two thirds of them headed by a clause's or a section's number."""
+    return table(spark, d, "documents").withColumn("text", F.expr(_MARKED))
+
+
 @query(
-    f"""WITH x AS (SELECT md5(text) AS h, {_TOKENS.format(t='text')} AS n, coalesce(source, '') = '' AS m FROM documents),
-s AS (SELECT CAST(count(*) FILTER (n < 100) AS DOUBLE) / count(*) AS tiny, CAST(count(*) FILTER (n > 900) AS DOUBLE) / count(*) AS over, CAST(count(*) FILTER (m) AS DOUBLE) / count(*) AS miss, CAST(count(*) AS DOUBLE) AS c FROM x),
+    f"""WITH m AS (SELECT * REPLACE ({_MARKED} AS text) FROM documents), x AS (SELECT md5(text) AS h, {_TOKENS.format(t='text')} AS n, {_ANCHORED} AS a, coalesce(source, '') = '' AS m FROM m),
+s AS (SELECT CAST(count(*) FILTER (n < 80 AND NOT a) AS DOUBLE) / count(*) AS tiny, CAST(count(*) FILTER (n > 800) AS DOUBLE) / count(*) AS over, CAST(count(*) FILTER (m) AS DOUBLE) / count(*) AS miss, CAST(count(*) AS DOUBLE) AS c FROM x),
 g AS (SELECT CAST(count(*) AS DOUBLE) AS k FROM (SELECT h FROM x GROUP BY h HAVING count(*) > 1))
 SELECT round(greatest(0.0, 100 - (least(k / c * 100, 20) + least(tiny * 200, 30) + least(over * 500, 10) + least(miss * 100, 10))), 6) AS technical_score FROM s, g"""
 )
 def technical_score(spark, d):
-    rows = table(spark, d, "documents").select(F.md5("text").alias("h"), T.estimated_tokens(F.col("text")).alias("n"), (F.coalesce("source", F.lit("")) == "").alias("m"))
-    by = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("n") < 100).alias("tiny"), F.count_if(F.col("n") > 900).alias("over"), F.count_if("m").alias("miss"))
+    t, n = F.col("text"), F.col("n")
+    rows = _marked(spark, d).select(F.md5("text").alias("h"), T.estimated_tokens(t).alias("n"), T.is_anchor(t).alias("a"), (F.coalesce("source", F.lit("")) == "").alias("m"))
+    by = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_if((n < 80) & ~F.col("a")).alias("tiny"), F.count_if(n > 800).alias("over"), F.count_if("m").alias("miss"))
     s = by.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 1).alias("k"), *(F.sum(x).alias(x) for x in ("tiny", "over", "miss")))
     return s.select(F.round(T.technical_score(*(F.col(x) / F.col("c") for x in ("k", "tiny", "over", "miss"))), 6).alias("technical_score"))
 
 
+@query(f"SELECT doc_id, {_ANCHORED} AS anchor, regexp_matches(text, '{T.OBLIGATION}', 'i') OR regexp_matches(text, '{T.CROSS_REFERENCE}', 'i') OR len(regexp_extract_all(text, '(?i){T.CONDITION_LINE}')) >= 2 AS whole FROM (SELECT * REPLACE ({_MARKED} AS text) FROM documents)")
+def anchors_and_guards(spark, d):
+    return _marked(spark, d).select("doc_id", T.is_anchor(F.col("text")).alias("anchor"), T.must_stay_whole(F.col("text")).alias("whole"))
+
+
 @query(
-    """WITH d AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT count(*) AS n FROM documents), o AS (SELECT count(*) AS n FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents))
-SELECT 'rows_present' AS gate, d.n > 0 AND s.n > 0 AS ok FROM d, s UNION ALL SELECT 'counts_match', d.n = s.n FROM d, s UNION ALL SELECT 'no_orphans', o.n = 0 FROM o"""
+    f"""WITH d AS (SELECT count(*) AS n, count(DISTINCT len(embedding)) AS models FROM embeddings), s AS (SELECT count(*) AS n FROM documents),
+o AS (SELECT (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) + (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS n),
+t AS (SELECT 100.0 * count(*) FILTER (n < 100 AND NOT a) / count(*) AS tiny, 100.0 * count(*) FILTER (n > 900) / count(*) AS over FROM (SELECT {_TOKENS.format(t='text')} AS n, {_ANCHORED} AS a FROM documents))
+SELECT 'rows_present' AS gate, d.n > 0 AND s.n > 0 AS ok FROM d, s UNION ALL SELECT 'counts_match', d.n = s.n FROM d, s UNION ALL SELECT 'no_orphans', o.n = 0 FROM o
+UNION ALL SELECT 'one_model', models = 1 FROM d UNION ALL SELECT 'few_tiny', tiny <= 5 FROM t UNION ALL SELECT 'few_oversized', over <= 1 FROM t"""
 )
 def promotion_gates(spark, d):
-    e, s = table(spark, d, "embeddings"), table(spark, d, "documents")
-    n = lambda df, c: df.agg(F.count(F.lit(1)).alias(c), F.lit(1).alias("one"))
-    row = n(e, "d").join(n(s, "s"), "one").join(n(orphan_dense(spark, d), "o"), "one")
-    gates = F.array(*(F.struct(F.lit(g).alias("gate"), ok.alias("ok")) for g, ok in (("rows_present", (F.col("d") > 0) & (F.col("s") > 0)), ("counts_match", F.col("d") == F.col("s")), ("no_orphans", F.col("o") == 0))))
-    return row.select(F.inline(gates))
+    e, t = table(spark, d, "embeddings"), F.col("text")
+    one = lambda df, **c: df.agg(F.lit(1).alias("one"), *(x.alias(k) for k, x in c.items()))
+    rows, n = F.count(F.lit(1)), T.estimated_tokens(t)
+    # the vectors' length stands for the model that made them
+    dense = one(e, d=rows, models=F.count_distinct(F.size("embedding")))
+    sparse = one(table(spark, d, "documents"), s=rows, tiny=100 * F.count_if((n < 100) & ~T.is_anchor(t)) / rows, over=100 * F.count_if(n > 900) / rows)
+    row = dense.join(sparse, "one").join(one(orphan_dense(spark, d), a=rows), "one").join(one(orphan_sparse(spark, d), b=rows), "one")
+    c = F.col
+    tests = {"rows_present": (c("d") > 0) & (c("s") > 0), "counts_match": c("d") == c("s"), "no_orphans": (c("a") == 0) & (c("b") == 0), "one_model": c("models") == 1, "few_tiny": c("tiny") <= 5, "few_oversized": c("over") <= 1}
+    return row.select(F.inline(F.array(*(F.struct(F.lit(g).alias("gate"), ok.alias("ok")) for g, ok in tests.items()))))
 
 
 @query("SELECT 'target-' || doc_id AS id, 'target-' || source AS namespace FROM documents UNION ALL SELECT 'pilot-' || doc_id, 'pilot-' || source FROM documents")
@@ -235,15 +294,15 @@ def ingestion_stats(spark, d):
     return table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("latest"))
 
 
-@query("SELECT conv_id, max(turn) AS last_turn, nullif(trim(left(coalesce(arg_min(text, turn) FILTER (role = 'user'), ''), 80), ' '), '') AS preview FROM conversations GROUP BY 1")
+@query("SELECT conv_id, max(turn) AS last_turn, nullif(trim(left(coalesce(arg_min(text, turn) FILTER (role = 'user'), ''), 80), ' '), '') AS preview FROM conversations GROUP BY 1 ORDER BY last_turn DESC, conv_id LIMIT 50")
 def thread_list(spark, d):
-    return A.threads(table(spark, d, "conversations"))
+    return A.threads(table(spark, d, "conversations")).orderBy(F.desc("last_turn"), "conv_id").limit(50)
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role IN ('user', 'assistant')) WHERE n <= 6")
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role IN ('user', 'assistant')) WHERE n <= 50")
 def chat_history(spark, d):
     t = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
-    return t.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("n <= 6").select("conv_id", "turn", "role")
+    return t.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("n <= 50").select("conv_id", "turn", "role")
 
 
 @query("SELECT conv_id, turn, string_agg(role || ': ' || left(text, 200), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS context FROM conversations")
@@ -503,3 +562,38 @@ FROM c WHERE section > 0 AND kind IN ('SECTION', 'APPENDIX_SECTION', 'BODY') GRO
 def structured_sections(spark, d):
     s = S.sections(S.lines(_headed(spark, d)))
     return s.select("doc_id", "section", *(F.md5(c).alias(c) for c in ("heading", "part", "subpart")), "n_lines")
+
+
+_OPENINGS = (
+    "FAR 52.236-2 ", "what is the delay with UXO and ", "draft a letter on ", "is the document generator down ", "the dfars says ", "how often do i send ",
+    "inspection checklist ", "REA vs change order ", "commissioning of ", "concurrent delay and schedule risk ", "What does the vendor say ", "apartment contact ",
+)
+_Q = f"trim(regexp_replace({_pick(_OPENINGS, 'item_id')} || left(text, 60), '\\s+', ' ', 'g'), ' ')"
+
+
+def _has(pattern: str, q: str = "q") -> str:
+    return f"regexp_matches({q}, '" + pattern.replace("'", "''") + "', 'i')"
+
+
+_HAZARD = " OR ".join("(" + " AND ".join(_has(w) for w in words) + ")" for words in K.hazard_patterns())
+_KEYS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has(K.keyword_pattern(k))} THEN '{k}' END" for k in K.KEYWORDS) + "], lambda x: x IS NOT NULL), ';')"
+
+
+@query(
+    f"""WITH x AS (SELECT item_id, {_Q} AS q FROM benchmark),
+y AS (SELECT *, regexp_extract(q, '{I.CLAUSE}', 2, 'i') AS c, upper(regexp_extract(q, '{I.CLAUSE}', 1, 'i')) AS r, upper(regexp_extract(q, '{I.SOURCE}', 1, 'i')) AS s, {_KEYS} AS kw, {_HAZARD} AS safe FROM x),
+z AS (SELECT *, CASE WHEN c <> '' THEN 'clause' WHEN {_has(K.PRODUCT)} AND kw = '' AND s = '' THEN 'product' WHEN s <> '' THEN 'source' WHEN kw <> '' THEN 'keyword'
+  WHEN {_has(K.QUESTION)} AND {_has(K.HOOK)} THEN 'frame' WHEN safe THEN 'safety' ELSE 'none' END AS layer FROM y)
+SELECT item_id, CASE WHEN layer = 'clause' THEN 'clause_lookup' WHEN layer IN ('product', 'none') THEN 'out_of_scope' ELSE 'regulation_search' END AS intent,
+  CASE layer WHEN 'clause' THEN 1.0 WHEN 'source' THEN 0.8 WHEN 'keyword' THEN 0.6 WHEN 'frame' THEN 0.55 WHEN 'safety' THEN 0.55 ELSE 0.0 END AS confidence,
+  CASE WHEN layer = 'clause' THEN {_REG.format(r='r')} || ' ' || regexp_replace(c, '-+$', '') END AS clause_reference,
+  CASE WHEN layer = 'clause' THEN {_REG.format(r='r')} WHEN layer = 'source' THEN {_REG.format(r='s')} WHEN layer IN ('keyword', 'frame') AND {_has(K.HINT)} THEN 'FAR' END AS regulation,
+  CASE WHEN layer = 'keyword' THEN kw ELSE '' END AS keywords,
+  CASE WHEN layer = 'product' THEN NULL WHEN {_has(K.CHECKLIST)} THEN 'checklist' WHEN {_has(K.FORM)} THEN 'form' WHEN {_has(K.AMENDMENT)} OR {_has(K.LETTER)} THEN 'letter' END AS document_type,
+  {_has(K.PROCEDURAL)} AND layer NOT IN ('product', 'safety', 'none') AS is_procedural, {_has(K.FREQUENCY)} AND layer NOT IN ('product', 'safety', 'none') AS is_contract_co,
+  {_has(K.COMPARISON)} AND layer <> 'product' AS is_comparison, {_has(K.LIFECYCLE)} AND layer <> 'product' AS is_construction_lifecycle,
+  {_has(K.SCHEDULE)} AND {_has(K.RISK)} AND layer <> 'product' AS is_schedule_risk, safe AND layer <> 'product' AS is_safety_critical FROM z"""
+)
+def intent_waterfall(spark, d):
+    asked = table(spark, d, "benchmark").select("item_id", F.concat(_picked(_OPENINGS, "item_id"), F.left("text", F.lit(60))).alias("question"))
+    return K.classify(asked).drop("question").withColumn("keywords", F.array_join("keywords", ";"))

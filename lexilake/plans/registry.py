@@ -11,8 +11,10 @@ from lexilake.functions import answers as Q
 from lexilake.functions import intent as I
 from lexilake.functions import questions as K
 from lexilake.functions import text as T
+from lexilake.operators import chunking as H
 from lexilake.operators import context as C
 from lexilake.operators import retrieval as R
+from lexilake.operators import search as X
 from lexilake.operators import sections as S
 from lexilake.operators import sessions as A
 from lexilake.operators import upkeep as U
@@ -597,3 +599,62 @@ SELECT item_id, CASE WHEN layer = 'clause' THEN 'clause_lookup' WHEN layer IN ('
 def intent_waterfall(spark, d):
     asked = table(spark, d, "benchmark").select("item_id", F.concat(_picked(_OPENINGS, "item_id"), F.left("text", F.lit(60))).alias("question"))
     return K.classify(asked).drop("question").withColumn("keywords", F.array_join("keywords", ";"))
+
+
+@query()
+def unwrapped_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(H.unwrapped(F.col("text"), F.lit("FAR"))).alias("text"))
+
+
+@query()
+def section_chunks(spark, d):
+    """Chunks of the headed documents' sections that are worth storing."""
+    found = S.sections(S.lines(_headed(spark, d))).withColumn("source", F.lit("FAR"))
+    return H.stored(H.chunk_sections(found)).withColumn("text", F.md5("text"))
+
+
+_HITS = (
+    _BASE + _DENSE + _LEXICAL + _FUSED + """,
+h AS (SELECT query_id, id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score * CASE WHEN in_dense = 1 AND in_lexical = 0 THEN 1.05 ELSE 1.0 END, 9) DESC, id) AS rank FROM fused QUALIFY rank <= 10)"""
+)
+
+
+@query(
+    _HITS + f""", w AS (SELECT DISTINCT query_id, source FROM h JOIN documents d ON h.id = d.doc_id WHERE rank <= 8),
+a AS (SELECT query_id, d.doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY d.doc_id) AS rank FROM w JOIN documents d USING (source) WHERE d.doc_id % 10 = 0 QUALIFY rank <= 25),
+r AS (SELECT b.item_id AS query_id, d.source, c.clause FROM benchmark b JOIN documents d ON b.item_id = d.doc_id, (VALUES ('tion'), ('en')) c(clause)),
+f AS (SELECT r.query_id, r.source, r.clause, d.doc_id AS id FROM r JOIN documents d USING (source) WHERE contains(lower(d.text), r.clause) AND NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = r.query_id AND h.id = d.doc_id)),
+e AS (SELECT DISTINCT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, clause ORDER BY id) AS n FROM f) WHERE n <= 5),
+g AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM e QUALIFY rank <= 4),
+l AS (SELECT query_id, id, 0 AS kind, rank FROM h UNION ALL SELECT query_id, id, 1, rank FROM a UNION ALL SELECT query_id, id, 2, rank FROM g),
+o AS (SELECT l.*, {_TOKENS.format(t='d.text')} AS n FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY kind, rank) = 1) l JOIN documents d ON d.doc_id = l.id),
+p AS (SELECT query_id, list_reduce(list_transform(list(struct_pack(n := n, id := id) ORDER BY kind, rank, id), lambda x: struct_pack(used := CAST(CASE WHEN x.n <= 2400 THEN x.n ELSE 0 END AS BIGINT), n := CAST(x.n AS BIGINT), ids := CASE WHEN x.n <= 2400 THEN [x.id] ELSE [] END)),
+  lambda s, x: CASE WHEN s.used + x.n <= 2400 THEN struct_pack(used := s.used + x.n, n := x.n, ids := list_concat(s.ids, x.ids)) ELSE s END) AS s FROM o GROUP BY 1)
+SELECT query_id, CAST(s.used AS BIGINT) AS used, array_to_string(s.ids, ',') AS ids FROM p WHERE len(s.ids) > 0"""
+)
+def search_regulations(spark, d):
+    """The flagship: hits of both legs, anchors of their sections and referred chunks, as one context a query."""
+    docs = _texts(spark, d)
+    index = docs.select("id", "source", "text", F.col("source").alias("section"), (F.col("id") % 10 == 0).alias("is_anchor"))
+    hits = hybrid_boosted(spark, d)
+    placed = hits.join(index.select("id", "section"), "id")
+    words = F.explode(F.array(F.lit("tion"), F.lit("en"))).alias("clause")
+    refs = _questions(spark, d).join(docs.select(F.col("id").alias("query_id"), "source"), "query_id").select("query_id", "source", words)
+    referred = C.expand_references(refs, index.withColumn("section", F.lit("")), hits)
+    got = X.context(hits, C.anchors(placed, index), referred, docs)
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"].cast("string")), ",")
+    return got.groupBy("query_id").agg(F.sum("tokens").alias("used"), ids.alias("ids"))
+
+
+@query(
+    _HITS + r""", q0 AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'FAR 52.' || (item_id % 7) WHEN 1 THEN 'EM 385 1-9' ELSE 'no clause' END AS query FROM benchmark),
+ix AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'FAR' ELSE 'EM385' END AS source, lower(left(text, doc_id % 40) || ' 52.' || (doc_id % 9) || ' ') AS t FROM documents),
+r AS (SELECT query_id, upper(regexp_replace(regexp_extract(query, '(?i)(FAR|DFARS|EM\s*385)\s*([\d]+[.\-][\d\-]+)', 1), '\s+', '', 'g')) AS source, regexp_extract(query, '(?i)(FAR|DFARS|EM\s*385)\s*([\d]+[.\-][\d\-]+)', 2) AS clause FROM q0),
+x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY strpos(t, clause), id) AS rank FROM r JOIN ix USING (source) WHERE clause <> '' AND strpos(t, clause) > 0 QUALIFY rank <= 10)
+SELECT query_id, id, rank, true AS found, 1.0 AS confidence FROM x UNION ALL SELECT query_id, id, rank, false, rrf_score FROM h WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM x)"""
+)
+def clause_by_reference(spark, d):
+    b = table(spark, d, "benchmark")
+    text = F.expr("case item_id % 3 when 0 then 'FAR 52.' || (item_id % 7) when 1 then 'EM 385 1-9' else 'no clause' end")
+    index = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr("if(doc_id % 2 = 0, 'FAR', 'EM385')").alias("source"), F.expr("left(text, cast(doc_id % 40 as int)) || ' 52.' || (doc_id % 9) || ' '").alias("text"))
+    return X.clause_lookup(index, b.select(F.col("item_id").alias("query_id"), text.alias("query")), hybrid_boosted(spark, d))

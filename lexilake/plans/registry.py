@@ -37,10 +37,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    import lexilake.plans.reports  # noqa: F401, registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import lexilake.plans.reports  # noqa: F401, registers its queries
+
     return dict(_SQL)
 
 

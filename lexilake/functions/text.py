@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,28 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor(F.size(words(text)) * F.lit(1.3)).cast("long")
 
 
+def quarter_tokens(text: Column) -> Column:
+    """A quarter of the characters, rounded down."""
+    return F.floor(F.char_length(text) / 4).cast("long")
+
+
+# The stop words of PostgreSQL's English text search.
+ENGLISH_STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
+    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had "
+    "having do does did doing a an the and but if or because as until while of at by for with about against between into through "
+    "during before after above below to from up down in out on off over under again further then once here there when where why "
+    "how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+
+
+def search_terms(text: Column, stem: Callable[[Column], Column] = lambda w: w) -> Column:
+    """The distinct words (letters and digits, lower-cased) of a text without English stop words, sorted; `stem` maps each."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    kept = F.array_except(found, F.array(*map(F.lit, ENGLISH_STOP_WORDS)))
+    return F.array_sort(F.array_distinct(F.transform(kept, stem)))
+
+
 def normalised(text: Column) -> Column:
     """For duplicate detection: no-break spaces, dashes and line ends made plain, blanks collapsed, trimmed."""
     plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), " –—−", " ---"), "\r\n?", "\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,3 +96,21 @@ def healed(results: DataFrame, queries: int = 2, most: int = 10) -> DataFrame:
     once = F.row_number().over(Window.partitionBy("query_id", "source", "section", start).orderBy("expansion", "rank"))
     first = rows.withColumn("_n", once).where("_n = 1").drop("_n")
     return first.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("expansion", "rank"))).where(F.col("position") <= most)
+
+
+def formatted_context(rows: DataFrame, budget: int = 4000, most: int = 1200, tokens: Callable[[Column], Column] = T.quarter_tokens) -> DataFrame:
+    """query_id, n, context: the prompt text of rows(query_id, rank, content, source, regulation, section, score), ranks unique.
+
+    A document is its rank, its fields and the first `most` characters of its content. In order of rank those that fit
+    the budget by `tokens` are taken; one that doesn't is passed over, and its number stays unused. Null fields show as
+    Unknown, N/A or 0. A query of which nothing fits has no row.
+    """
+    content = F.coalesce("content", F.lit(""))
+    cut = F.concat(F.left(content, F.lit(most)), F.when(F.char_length(content) > most, "...").otherwise(""))
+    told = [F.coalesce(F.col(c).cast("string"), F.lit(other)) for c, other in (("source", "Unknown"), ("regulation", "Unknown"), ("section", "N/A"))]
+    text = F.format_string("--- Document %d ---\nSource: %s\nRegulation: %s\nSection: %s\nScore: %.3f\n\nContent:\n%s\n\n", F.col("rank").cast("int"), *told, F.coalesce(F.col("score").cast("double"), F.lit(0.0)), cut)
+    shown = rows.select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("long").alias("id"), text.alias("text"))
+    fits = within_budget(shown.select("query_id", "id", F.lit(0).alias("kind"), F.col("id").alias("rank"), tokens(F.col("text")).alias("tokens")), budget)
+    taken = fits.select("query_id", "id", "position").join(shown, ["query_id", "id"])
+    parts = F.array_sort(F.collect_list(F.struct("position", "text")))  # no more than the budget holds
+    return taken.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("context"))

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexilake.functions import answers as Q
+from lexilake.functions import questions as K
 from lexilake.functions import records as P
+from lexilake.functions import routing as V
 from lexilake.functions import text as T
 from lexilake.operators import reports as O
+from lexilake.operators import search as X
 from lexilake.operators import upkeep as U
 from lexilake.plans.registry import _ANCHORED, _BASE, _DENSE, _FUSED, _LEXICAL, _SENT, _TOKENS, query, rrf_fusion
 from lexilake.session import table
+from lexilake.sources import files as S
 
 
 @query("SELECT coalesce(nullif(lang, 'de'), 'UNKNOWN') AS model, count(*) AS n FROM documents GROUP BY 1")
@@ -258,3 +262,81 @@ def run_offsets(spark, d):
     each = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("all")).where("size(all) > conv_id % 3")
     new = F.slice("all", (F.col("conv_id") % 3 + 1).cast("int"), F.size("all"))
     return each.select("conv_id", F.size(new).alias("n"), F.array_join(new.cast("array<string>"), ",").alias("turns"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda t: NOT list_contains(string_split('"""
+    + " ".join(T.ENGLISH_STOP_WORDS)
+    + """', ' '), t))) AS a FROM documents)
+SELECT doc_id, CAST(len(a) AS INTEGER) AS n, md5(array_to_string(list_sort(a), ' ')) AS terms FROM w"""
+)
+def search_vectors(spark, d):
+    terms = T.search_terms(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", terms.alias("a")).select("doc_id", F.size("a").alias("n"), F.md5(F.array_join("a", " ").cast("binary")).alias("terms"))
+
+
+_CELLS = """SELECT l_orderkey AS table_id, l_linenumber * 1000000 + l_partkey AS cell, CAST(l_linenumber % 4 AS INT) AS row_from, CAST(l_linenumber % 4 + l_suppkey % 2 AS INT) AS row_to, CAST(l_partkey % 3 AS INT) AS col_from,
+  CAST(l_partkey % 3 + l_suppkey % 2 AS INT) AS col_to, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE ' p' || l_partkey || ' ' END AS text, l_linenumber % 4 = 1 AND l_linestatus = 'F' AS header FROM lineitem"""
+
+
+@query(
+    f"""WITH c AS ({_CELLS}), a AS (SELECT *, unnest(range(row_from, least(row_to, 3) + 1)) AS r FROM c), b AS (SELECT *, unnest(range(col_from, least(col_to, 2) + 1)) AS k FROM a),
+g AS (SELECT table_id, r, k, arg_min(trim(text), cell) FILTER (trim(text) <> '') AS t, bool_or(header) AS h FROM b GROUP BY ALL),
+p AS (SELECT table_id, coalesce(min(r) FILTER (h), 0) AS top FROM g GROUP BY 1),
+f AS (SELECT p.table_id, top, x.r, y.k, coalesce(t, '') AS t FROM p, range(4) x(r), range(3) y(k) LEFT JOIN g ON g.table_id = p.table_id AND g.r = x.r AND g.k = y.k WHERE x.r >= top),
+l AS (SELECT table_id, r, top, string_agg(CASE WHEN r = top AND t = '' THEN 'col_' || (k + 1) ELSE t END, ' | ' ORDER BY k) AS s, bool_or(t <> '') AS filled FROM f GROUP BY ALL)
+SELECT table_id, CAST(count(*) - 1 AS INTEGER) AS n, trim(string_agg(s, chr(10) ORDER BY r)) AS text FROM l WHERE r = top OR filled GROUP BY 1"""
+)
+def table_grids(spark, d):
+    """Tables rebuilt from spans of cells, as text."""
+    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
+    cells = spark.sql(_CELLS)
+    tables = cells.select("table_id").distinct().withColumns({"num_rows": F.lit(4), "num_cols": F.lit(3)})
+    return S.table_grid(cells, tables).select("table_id", F.size("rows").alias("n"), S.table_text(F.col("headers"), F.col("rows")).alias("text"))
+
+
+@query(
+    """WITH x AS (SELECT doc_id // 20 AS query_id, doc_id % 20 + 1 AS i, '--- Document ' || (doc_id % 20 + 1) || ' ---' || chr(10) || 'Source: ' || coalesce(source, 'Unknown') || chr(10) || 'Regulation: ' || coalesce(nullif(lang, 'de'), 'Unknown') || chr(10)
+  || 'Section: N/A' || chr(10) || 'Score: ' || printf('%.3f', doc_id % 8 / 8.0) || chr(10) || chr(10) || 'Content:' || chr(10) || left(text, 1200) || CASE WHEN length(text) > 1200 THEN '...' ELSE '' END || chr(10) || chr(10) AS t FROM documents),
+g AS (SELECT query_id, list({'used': length(t) // 4, 'n': CAST(1 AS BIGINT), 's': t} ORDER BY i) AS a FROM x GROUP BY 1),
+r AS (SELECT query_id, list_reduce(a, lambda s, x: CASE WHEN s.used + x.used <= 1000 THEN {'used': s.used + x.used, 'n': s.n + 1, 's': CASE WHEN s.n = 0 THEN x.s ELSE s.s || chr(10) || x.s END} ELSE s END, {'used': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 's': ''}) AS r FROM g)
+SELECT query_id, r.n AS n, r.s AS context FROM r WHERE r.n > 0"""
+)
+def formatted_contexts(spark, d):
+    rows = table(spark, d, "documents").select(
+        F.expr("doc_id div 20").alias("query_id"), (F.col("doc_id") % 20 + 1).alias("rank"), F.col("text").alias("content"), "source",
+        F.nullif("lang", F.lit("de")).alias("regulation"), F.lit(None).cast("string").alias("section"), (F.col("doc_id") % 8 / 8).alias("score"),
+    )
+    return X.formatted_context(rows, 1000)
+
+
+#: questions in turn, with what the classifier (tested by its own query) says of them
+_ASKED = ("What about inspection there?", "what is a PPI?", "also include this clause", "how does the vendor log in here", "what does the vendor say", "how to bake a cake", "FAR 52.236-2", "draft a letter")
+_TURNS = """SELECT conv_id, turn, role, CASE WHEN role <> 'assistant' THEN text WHEN conv_id % 3 = 0 THEN text || ' FAR 52.236-' || turn WHEN conv_id % 3 = 1 THEN 'Dear Sir' ELSE text END AS text, (conv_id + turn) % 8 AS q FROM conversations"""
+
+
+def _routed_sql(case: dict[int, tuple]) -> str:
+    values = ", ".join(f"({i}, '{c[0]}', {c[1]}, " + ", ".join("NULL" if v is None else f"'{v}'" for v in c[2:4]) + f", {c[4]}, {c[5]})" for i, c in case.items())
+    return f"""WITH t AS ({_TURNS}), h AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN nullif(regexp_extract(text, '{Q.CITATION}', 0, 'i'), '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS prior,
+  coalesce(bool_or(role = 'assistant' AND text = 'Dear Sir') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS letter FROM t),
+c(q, intent, sure, clause, document, unclear, amends) AS (VALUES {values}),
+y AS (SELECT *, CASE WHEN intent = 'regulation_search' AND sure < 0.7 THEN prior END AS old, q = 1 AND intent = 'regulation_search' AS acr FROM h JOIN c USING (q) WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN acr THEN 'end' WHEN amends AND letter THEN 'data_retrieval' WHEN unclear = 1 OR (unclear = 2 AND old IS NULL) THEN 'clarifier' WHEN intent = 'out_of_scope' AND document IS NULL THEN 'end' ELSE 'data_retrieval' END AS next,
+  CASE WHEN acr OR unclear = 1 OR (unclear = 2 AND old IS NULL) THEN 'clarify' WHEN intent = 'out_of_scope' AND document IS NULL THEN 'copilot' END AS mode,
+  CASE WHEN acr THEN 'PPI' END AS acronym, coalesce(clause, old) AS clause_reference, CASE WHEN amends AND letter THEN 'letter' ELSE document END AS document_type FROM y"""
+
+
+@query(
+    _routed_sql(
+        {
+            0: ("out_of_scope", 0.0, None, None, 0, False), 1: ("regulation_search", 0.6, None, None, 0, False), 2: ("regulation_search", 0.6, None, "letter", 0, True),
+            3: ("regulation_search", 0.55, None, None, 1, False), 4: ("regulation_search", 0.55, None, None, 2, False), 5: ("out_of_scope", 0.0, None, None, 0, False),
+            6: ("clause_lookup", 1.0, "FAR 52.236-2", None, 0, False), 7: ("out_of_scope", 0.0, None, "letter", 0, False),
+        }
+    )
+)
+def routed_questions(spark, d):
+    table(spark, d, "conversations").createOrReplaceTempView("conversations")
+    turns = V.with_history(spark.sql(_TURNS)).where("role = 'user'")
+    asked = turns.withColumn("question", F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("q") + 1).cast("int")))
+    return V.route(K.classify(asked)).select("conv_id", "turn", "next", "mode", "acronym", "clause_reference", "document_type")

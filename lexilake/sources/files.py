@@ -28,6 +28,33 @@ def table_text(headers: Column, rows: Column, most: int = 30) -> Column:
     return F.trim(F.array_join(F.concat(head, F.transform(F.slice(F.coalesce(rows, F.array().cast("array<array<string>>")), 1, most), line)), "\n"))
 
 
+def table_grid(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """table_id, headers, rows of each of tables(table_id, num_rows, num_cols), from the spans of its cells
+    (table_id, cell, row_from, row_to, col_from, col_to, text, header); both ends of a span are inside it.
+
+    Where spans meet, the first text that isn't blank stays. The headers are the first row with a header cell, else the
+    first row; blank ones are named col_1, col_2 and so on. Blank rows are left out, as are parts of spans outside the
+    table. A table without cells, rows or columns has no headers and no rows.
+    """
+    text = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\r\f\x0B"))
+    least, most = (lambda c: F.greatest(F.col(c), F.lit(0))), (lambda c, n: F.least(F.col(c), F.col(n) - 1))
+    spans = cells.join(tables, "table_id").withColumns({"_a": least("row_from"), "_z": most("row_to", "num_rows"), "_l": least("col_from"), "_r": most("col_to", "num_cols")})
+    spans = spans.where("_a <= _z and _l <= _r").select("table_id", "num_cols", "cell", F.nullif(text, F.lit("")).alias("t"), F.coalesce("header", F.lit(False)).alias("h"), F.explode(F.sequence("_a", "_z")).alias("r"), "_l", "_r")
+    placed = spans.withColumn("c", F.explode(F.sequence("_l", "_r")))
+    grid = placed.groupBy("table_id", "num_cols", "r", "c").agg(F.min_by("t", F.when(F.col("t").isNotNull(), F.col("cell"))).alias("t"), F.max("h").alias("h"))
+    lines = grid.groupBy("table_id", "num_cols", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", F.coalesce("t", F.lit("")).alias("t")))).alias("m"), F.max("h").alias("h"))
+    line = F.transform(F.sequence(F.lit(0), F.col("num_cols") - 1), lambda c: F.coalesce(F.try_element_at("m", c), F.lit("")))
+    each = lines.select("table_id", "num_cols", F.struct("r", line.alias("t")).alias("x"), "h")
+    found = each.groupBy("table_id", "num_cols").agg(F.array_sort(F.collect_list("x")).alias("all"), F.coalesce(F.min(F.when(F.col("h"), F.col("x.r"))), F.lit(0)).alias("at"))
+    at = F.col("at")
+    head = F.element_at(F.concat(F.filter("all", lambda x: x["r"] == at), F.array(F.struct(at.alias("r"), F.transform(F.sequence(F.lit(1), "num_cols"), lambda c: F.lit("")).alias("t")))), 1)["t"]
+    named = F.transform(head, lambda t, i: F.when(t != "", t).otherwise(F.concat(F.lit("col_"), (i + 1).cast("string"))))
+    body = F.transform(F.filter("all", lambda x: (x["r"] > at) & F.exists(x["t"], lambda t: t != "")), lambda x: x["t"])
+    built = found.select("table_id", named.alias("headers"), body.alias("rows"))
+    none = F.array().cast("array<string>")
+    return tables.select("table_id").join(built, "table_id", "left").select("table_id", F.coalesce("headers", none).alias("headers"), F.coalesce("rows", F.array().cast("array<array<string>>")).alias("rows"))
+
+
 def query_lines(spark: SparkSession, path: str) -> DataFrame:
     """query: the lines of a text file, trimmed, without blank ones."""
     return spark.read.text(path).select(F.trim("value").alias("query")).where("query <> ''")

@@ -25,8 +25,8 @@ ACRONYM = r"(?i)^\s*what\s+is\s+(?:a\s+|an\s+)?([A-Z]{2,8})\s*\??\s*$"
 
 def with_history(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, role, text) with prior_clause (the first citation of the latest assistant turn among the four
-    before that has one) and after_letter (the assistant's turns among the three before read like a letter)."""
-    before = Window.partitionBy("conv_id").orderBy("turn")
+    before that has one) and after_letter (the assistant's turns among the three before read like a letter). Turns of one number stand by role and text."""
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     own = F.col("role") == "assistant"
     cited = F.when(own, F.nullif(F.regexp_extract("text", "(?i)" + CITATION, 0), F.lit("")))
     letters = F.array_join(F.collect_list(F.when(own, F.coalesce("text", F.lit("")))).over(before.rowsBetween(-3, -1)), " ")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexilake.llm import ann, chat, decontaminate, lengths, minhash, mixing, ngram, pages, tokens, toxicity
+from lexilake.llm import alignment, ann, chat, decontaminate, divergence, lengths, minhash, mixing, ngram, pages, tokens, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_page_text": pages.op8_page_text,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_warc": warc.op11_warc,
+        "op12_alignment": alignment.op12_alignment,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": ann.ANN_SQL}
+    return {"op1_ann": ann.ANN_SQL, "op11_warc": warc.WARC_SQL, "op13_divergence": divergence.DIVERGENCE_SQL}

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lexilake.llm.common import Workspace, partitions
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: what stands between terms; a term is a run of [^\x00-\x40\x5B-\x60\x7B-\x7F]
+GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE, SMOOTH, LEAST_DOCS, TOP = 1_000_000_000, 1, 3, 200
 
@@ -26,12 +27,13 @@ SCALE, SMOOTH, LEAST_DOCS, TOP = 1_000_000_000, 1, 3, 200
 def terms(text: Column) -> Column:
     """The terms of a text, in order; only A-Z are lower-cased."""
     plain = F.octet_length(text) == F.char_length(text)  # lower() has a quick way for ASCII alone
-    return F.regexp_extract_all(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), F.lit(TERM), F.lit(0))
+    return F.array_remove(F.split(F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), GAP), "")
 
 
 def share(count: str, total: str, size: str) -> Column:
     """1 + floor(SCALE * (count + SMOOTH) / (total + SMOOTH * size)), exactly."""
-    return F.expr(f"1 + (cast({SCALE} as decimal(10, 0)) * cast({count} + {SMOOTH} as decimal(20, 0))) div cast({total} + {SMOOTH} * {size} as decimal(20, 0))")
+    wide = f"(cast({SCALE} as decimal(10, 0)) * cast({count} + {SMOOTH} as decimal(20, 0))) div cast({total} + {SMOOTH} * {size} as decimal(20, 0))"
+    return F.expr(f"1 + if({count} < {9 * SCALE}, ({SCALE}L * ({count} + {SMOOTH})) div ({total} + {SMOOTH} * {size}), {wide})")
 
 
 def distance(p: str, q: str) -> Column:
@@ -42,30 +44,34 @@ def distance(p: str, q: str) -> Column:
 def counts_by_group(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (rows of docs that hold the term)."""
     found = docs.select("lang", "source", terms(F.col("text")).alias("t"))
-    mark = lambda n, d: lambda x: F.struct(x.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("docs"))
-    each = F.explode(F.concat(F.transform("t", mark(1, 0)), F.transform(F.array_distinct("t"), mark(0, 1))))
-    return found.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.term").agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
+    # occurrences, then each term of the document once more; an outer explode, for the plain one cuts every text twice
+    each = found.select("lang", "source", F.size("t").alias("size"), F.posexplode_outer(F.concat("t", F.array_distinct("t"))).alias("place", "term")).where("term is not null")
+    sums = each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("place") >= F.col("size")).cast("long")).alias("docs"))
+    return sums.select("lang", "source", "term", (F.col("n") - F.col("docs")).alias("n"), "docs")
 
 
-def shares(docs: DataFrame, work: Workspace, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(groups: lang, source; dense: lang, term, source, n, p of the group, q of the language for every group and kept term)."""
+def shares(docs: DataFrame, work: Workspace, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups: lang, source; dense: lang, term, source, p for every group of a language and every kept term of it;
+    used: lang, source, term, p of the group, q of the language, where the group has the term)."""
     salts = partitions(docs.sparkSession)
     groups = work.save(docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs")))
     counts = work.save(counts_by_group(docs))
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("d")).where(F.col("d") >= least_docs).select("lang", "term", "in_lang")
     vocabulary = work.save(kept)
-    own = work.save(counts.select("lang", "source", "term", "n").join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n"))
+    own = work.save(counts.select("lang", "source", "term", "n").join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "in_lang"))
     sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("in_lang").alias("all_lang"))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = groups.join(sizes, "lang").join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "v", "all_lang")
-    # every group of a language meets its vocabulary; a language is dealt by salts
-    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    zeros = vocabulary.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int")).join(salted, ["lang", "salt"])
-    zeros = zeros.select("lang", "term", "source", F.lit(0).cast("long").alias("n"), "total", "v", "in_lang", "all_lang")
-    none = [F.lit(None).cast("long").alias(c) for c in ("total", "v", "in_lang", "all_lang")]
-    rows = zeros.unionByName(own.select("lang", "term", "source", "n", *none)).repartition(salts, "lang", "term")
-    dense = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("total", "v", "in_lang", "all_lang")))
-    return groups, work.save(dense.select("lang", "term", "source", "n", share("n", "total", "v").alias("p"), share("in_lang", "all_lang", "v").alias("q")))
+    # a row a group and salt: wherever a large side meets the groups, a language or a group is dealt by salts
+    known = work.save(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    salt = F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt")
+    zeros = vocabulary.select("lang", "term", salt).join(known.select("lang", "salt", "source"), ["lang", "salt"]).select("lang", "term", "source", F.lit(0).cast("long").alias("n"))
+    rows = zeros.unionByName(own.select("lang", "term", "source", "n")).repartition(salts, "lang", "term")
+    filled = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
+    at = ["lang", "source", "salt"]
+    dense = filled.select("*", salt).join(known.drop("all_lang"), at).select("lang", "term", "source", share("n", "total", "v").alias("p"))
+    used = own.select("*", salt).join(known, at).where("n > 0").select("lang", "source", "term", share("n", "total", "v").alias("p"), share("in_lang", "all_lang", "v").alias("q"))
+    return groups, work.save(dense), used
 
 
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
@@ -78,14 +84,14 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     """
     work = Workspace(docs.sparkSession, "divergence")
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    groups, dense = shares(plain, work, least_docs)
+    groups, dense, used = shares(plain, work, least_docs)
 
     one, other = (dense.select("lang", "term", F.col("source").alias(s), F.col("p").alias(p)) for s, p in (("a", "pa"), ("b", "pb")))
     both = one.join(other, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b").agg(F.sum(distance("pa", "pb")).alias("ab"), F.sum(distance("pb", "pa")).alias("ba"))
     sums = both.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item"), F.col("ab").alias("value")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"), F.col("ba").alias("value")))).alias("x")).select("lang", "x.*")
     pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
     pairs = pairs.join(sums, ["lang", "source", "item"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
-    marked = dense.where("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), distance("p", "q").alias("value"))
+    marked = used.where("p > q").select("lang", "source", F.col("term").alias("item"), distance("p", "q").alias("value"))
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit("pair"))

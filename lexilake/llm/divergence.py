@@ -51,26 +51,28 @@ def counts_by_group(docs: DataFrame) -> DataFrame:
 
 
 def shares(docs: DataFrame, work: Workspace, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups: lang, source; dense: lang, term, source, p for every group of a language and every kept term of it;
+    """(groups: lang, source, k, which numbers a language's sources; dense: lang, term, k, p for every group and kept term;
     used: lang, source, term, p of the group, q of the language, where the group has the term)."""
     salts = partitions(docs.sparkSession)
-    groups = work.save(docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs")))
+    groups = docs.select("lang", "source").distinct()
+    groups = work.save(groups.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("source"))))
     counts = work.save(counts_by_group(docs))
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("d")).where(F.col("d") >= least_docs).select("lang", "term", "in_lang")
     vocabulary = work.save(kept)
     own = work.save(counts.select("lang", "source", "term", "n").join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "in_lang"))
     sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("in_lang").alias("all_lang"))
     totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    known = groups.join(sizes, "lang").join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "v", "all_lang")
+    known = groups.join(sizes, "lang").join(totals, ["lang", "source"], "left").select("lang", "source", "k", F.coalesce("total", F.lit(0)).alias("total"), "v", "all_lang")
     # a row a group and salt: wherever a large side meets the groups, a language or a group is dealt by salts
     known = work.save(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     salt = F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt")
-    zeros = vocabulary.select("lang", "term", salt).join(known.select("lang", "salt", "source"), ["lang", "salt"]).select("lang", "term", "source", F.lit(0).cast("long").alias("n"))
-    rows = zeros.unionByName(own.select("lang", "term", "source", "n")).repartition(salts, "lang", "term")
-    filled = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
     at = ["lang", "source", "salt"]
-    dense = filled.select("*", salt).join(known.drop("all_lang"), at).select("lang", "term", "source", share("n", "total", "v").alias("p"))
-    used = own.select("*", salt).join(known, at).where("n > 0").select("lang", "source", "term", share("n", "total", "v").alias("p"), share("in_lang", "all_lang", "v").alias("q"))
+    mine = own.select("*", salt).join(known, at)
+    zeros = vocabulary.select("lang", "term", salt).join(known.select("lang", "salt", "k"), ["lang", "salt"]).select("lang", "term", "k", F.lit(0).cast("long").alias("n"))
+    rows = zeros.unionByName(mine.select("lang", "term", "k", "n")).repartition(salts, "lang", "term")
+    filled = rows.groupBy("lang", "term", "k").agg(F.sum("n").alias("n"))
+    dense = filled.select("*", salt).join(known.select("lang", "salt", "k", "total", "v"), ["lang", "k", "salt"]).select("lang", "term", "k", share("n", "total", "v").alias("p"))
+    used = mine.where("n > 0").select("lang", "source", "term", share("n", "total", "v").alias("p"), share("in_lang", "all_lang", "v").alias("q"))
     return groups, work.save(dense), used
 
 
@@ -86,11 +88,12 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     groups, dense, used = shares(plain, work, least_docs)
 
-    one, other = (dense.select("lang", "term", F.col("source").alias(s), F.col("p").alias(p)) for s, p in (("a", "pa"), ("b", "pb")))
+    one, other = (dense.select("lang", "term", F.col("k").alias(k), F.col("p").alias(p)) for k, p in (("a", "pa"), ("b", "pb")))
     both = one.join(other, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b").agg(F.sum(distance("pa", "pb")).alias("ab"), F.sum(distance("pb", "pa")).alias("ba"))
-    sums = both.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item"), F.col("ab").alias("value")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"), F.col("ba").alias("value")))).alias("x")).select("lang", "x.*")
-    pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
-    pairs = pairs.join(sums, ["lang", "source", "item"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
+    ways = (F.struct(F.col(x).alias("k"), F.col(y).alias("other"), F.col(x + y).alias("value")) for x, y in ("ab", "ba"))
+    sums = both.select("lang", F.explode(F.array(*ways)).alias("x")).select("lang", "x.*")
+    pairs = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("k").alias("other")), "lang").where("k <> other")
+    pairs = pairs.join(sums, ["lang", "k", "other"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
     marked = used.where("p > q").select("lang", "source", F.col("term").alias("item"), distance("p", "q").alias("value"))
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -3,7 +3,7 @@
 Method. Texts are cut into terms by one pattern and exploded, with a mark at a term's first place in its document, so
 one grouping by (lang, source, term) counts occurrences and documents with map-side sums. Terms in enough documents of
 a language are its vocabulary; every group of the language is joined with it, which makes the zeros, and zeros and
-counts are summed by (lang, term, source). A self-join on (lang, term) holds two groups' shares against each other
+counts are summed by (lang, term, group). A self-join on (lang, term) holds two groups' shares against each other
 in both directions at once; sums and ranks follow.
 
 Scale. A language may hold most rows: the vocabulary meets the groups on (lang, salt), groups being one small row each
@@ -42,37 +42,35 @@ def distance(p: str, q: str) -> Column:
 
 
 def counts_by_group(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (rows of docs that hold the term)."""
-    found = docs.select("lang", "source", terms(F.col("text")).alias("t"))
+    """g, term, n (occurrences), docs (rows of docs(g, text) that hold the term)."""
+    found = docs.select("g", terms(F.col("text")).alias("t"))
     # occurrences, then each term of the document once more; an outer explode, for the plain one cuts every text twice
-    each = found.select("lang", "source", F.size("t").alias("size"), F.posexplode_outer(F.concat("t", F.array_distinct("t"))).alias("place", "term")).where("term is not null")
-    sums = each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("place") >= F.col("size")).cast("long")).alias("docs"))
-    return sums.select("lang", "source", "term", (F.col("n") - F.col("docs")).alias("n"), "docs")
+    each = found.select("g", F.size("t").alias("size"), F.posexplode_outer(F.concat("t", F.array_distinct("t"))).alias("place", "term")).where("term is not null")
+    sums = each.groupBy("g", "term").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("place") >= F.col("size")).cast("long")).alias("docs"))
+    return sums.select("g", "term", (F.col("n") - F.col("docs")).alias("n"), "docs")
 
 
 def shares(docs: DataFrame, work: Workspace, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(groups: lang, source, k, which numbers a language's sources; dense: lang, term, k, p for every group and kept term;
+    """(groups: lang, source, g, their number; dense: lang, term, g, p for every group of a language and kept term;
     used: lang, source, term, p of the group, q of the language, where the group has the term)."""
     salts = partitions(docs.sparkSession)
-    groups = docs.select("lang", "source").distinct()
-    groups = work.save(groups.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("source"))))
-    counts = work.save(counts_by_group(docs))
+    groups = work.save(docs.select("lang", "source").distinct().withColumn("g", F.monotonically_increasing_id()))
+    counts = work.save(counts_by_group(docs.join(groups, ["lang", "source"])))
+    counts = counts.join(groups.select("g", "lang"), "g")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("d")).where(F.col("d") >= least_docs).select("lang", "term", "in_lang")
     vocabulary = work.save(kept)
-    own = work.save(counts.select("lang", "source", "term", "n").join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n", "in_lang"))
+    own = work.save(counts.join(vocabulary, ["lang", "term"]).where("n > 0").select("lang", "g", "term", "n", "in_lang"))
     sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("in_lang").alias("all_lang"))
-    totals = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    known = groups.join(sizes, "lang").join(totals, ["lang", "source"], "left").select("lang", "source", "k", F.coalesce("total", F.lit(0)).alias("total"), "v", "all_lang")
+    totals = own.groupBy("g").agg(F.sum("n").alias("total"))
+    known = groups.join(sizes, "lang").join(totals, "g", "left").select("lang", "source", "g", F.coalesce("total", F.lit(0)).alias("total"), "v", "all_lang")
     # a row a group and salt: wherever a large side meets the groups, a language or a group is dealt by salts
     known = work.save(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     salt = F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt")
-    at = ["lang", "source", "salt"]
-    mine = own.select("*", salt).join(known, at)
-    zeros = vocabulary.select("lang", "term", salt).join(known.select("lang", "salt", "k"), ["lang", "salt"]).select("lang", "term", "k", F.lit(0).cast("long").alias("n"))
-    rows = zeros.unionByName(mine.select("lang", "term", "k", "n")).repartition(salts, "lang", "term")
-    filled = rows.groupBy("lang", "term", "k").agg(F.sum("n").alias("n"))
-    dense = filled.select("*", salt).join(known.select("lang", "salt", "k", "total", "v"), ["lang", "k", "salt"]).select("lang", "term", "k", share("n", "total", "v").alias("p"))
-    used = mine.where("n > 0").select("lang", "source", "term", share("n", "total", "v").alias("p"), share("in_lang", "all_lang", "v").alias("q"))
+    zeros = vocabulary.select("lang", "term", salt).join(known.select("lang", "salt", "g"), ["lang", "salt"]).select("lang", "term", "g", F.lit(0).cast("long").alias("n"))
+    rows = zeros.unionByName(own.select("lang", "term", "g", "n")).repartition(salts, "lang", "term")
+    filled = rows.groupBy("lang", "term", "g").agg(F.sum("n").alias("n"))
+    dense = filled.select("*", salt).join(known.select("g", "salt", "total", "v"), ["g", "salt"]).select("lang", "term", "g", share("n", "total", "v").alias("p"))
+    used = own.select("g", "term", "n", "in_lang", salt).join(known, ["g", "salt"]).select("lang", "source", "term", share("n", "total", "v").alias("p"), share("in_lang", "all_lang", "v").alias("q"))
     return groups, work.save(dense), used
 
 
@@ -88,12 +86,12 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     groups, dense, used = shares(plain, work, least_docs)
 
-    one, other = (dense.select("lang", "term", F.col("k").alias(k), F.col("p").alias(p)) for k, p in (("a", "pa"), ("b", "pb")))
-    both = one.join(other, ["lang", "term"]).where("a < b").groupBy("lang", "a", "b").agg(F.sum(distance("pa", "pb")).alias("ab"), F.sum(distance("pb", "pa")).alias("ba"))
-    ways = (F.struct(F.col(x).alias("k"), F.col(y).alias("other"), F.col(x + y).alias("value")) for x, y in ("ab", "ba"))
-    sums = both.select("lang", F.explode(F.array(*ways)).alias("x")).select("lang", "x.*")
-    pairs = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("k").alias("other")), "lang").where("k <> other")
-    pairs = pairs.join(sums, ["lang", "k", "other"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
+    one, other = (dense.select("lang", "term", F.col("g").alias(g), F.col("p").alias(p)) for g, p in (("a", "pa"), ("b", "pb")))
+    both = one.join(other, ["lang", "term"]).where("a < b").groupBy("a", "b").agg(F.sum(distance("pa", "pb")).alias("ab"), F.sum(distance("pb", "pa")).alias("ba"))
+    ways = (F.struct(F.col(x).alias("g"), F.col(y).alias("other"), F.col(x + y).alias("value")) for x, y in ("ab", "ba"))
+    sums = both.select(F.explode(F.array(*ways)).alias("x")).select("x.*")
+    pairs = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("g").alias("other")), "lang").where("g <> other")
+    pairs = pairs.join(sums, ["g", "other"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).alias("value"))
     marked = used.where("p > q").select("lang", "source", F.col("term").alias("item"), distance("p", "q").alias("value"))
 
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import Workspace, bounded_batches, released, tokenizer_file
+from lexilake.llm.common import Workspace, bounded_batches, give_back, released, tokenizer_file
 from lexilake.llm.tokens import text_groups
 
 SALTS = 16
+TOGETHER, GROUP = 1024, 4 << 20
 BLANK = "▁"
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 BATCH = "batch long, payload binary, pair array<long>, n array<long>"
@@ -80,7 +81,8 @@ class Tokenizers:
         return cls._open[a, b]
 
     def ids_a(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        """A few at a time: the library's own results are many times the size of their ids."""
+        return [e.ids for i in range(0, len(texts), TOGETHER) for e in self.a.encode_batch_fast(texts[i : i + TOGETHER], add_special_tokens=False)]
 
     def ids_b(self, texts: list[str]) -> list[list[int]]:
         found = self.b.encode([t[1:] for t in texts], num_threads=1)
@@ -142,6 +144,7 @@ class Segments:
         cuts, group_a, group_b, link_a, link_b = alignment(tok.length_a[a], tok.length_b[b])
         k = np.arange(len(cuts) + 1)
         first_a, first_b = np.searchsorted(group_a, k), np.searchsorted(group_b, k)
+        del parts, texts, lists_a, lists_b
         names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
         rows = zip(*(x.tolist() for x in (first_a[:-1], first_a[1:], first_b[:-1], first_b[1:])), strict=True)
         groups = [f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in rows]
@@ -225,10 +228,13 @@ def align(docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | No
         from pyspark import TaskContext
 
         tok, part = Tokenizers.of(a, b), TaskContext.get().partitionId()
-        for k, rows in enumerate(text_groups(batches, 1)):
+        for k, rows in enumerate(text_groups(batches, 1, GROUP)):
             packed, pair, n = aligned_batch(rows.column(0), rows.column(1), tok)
+            del rows
             listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (pair, n)]
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) | k], pa.int64()), pa.array([packed], pa.binary()), *listed], ["batch", "payload", "pair", "n"])
+            del packed, pair, n, listed
+            give_back()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     batches = work.save(narrow.mapInArrow(released(encode), BATCH))

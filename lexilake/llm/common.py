@@ -15,20 +15,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LEFT: list[tuple[object, object]] = []
+#: the folder of each application that has no setting
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is missing a local folder is made and set if driver and executors are one machine (tests, a
-    laptop); on a cluster that is an error.
+    Where the setting is missing a local folder is made, one for each application, if driver and executors are one
+    machine (tests, a laptop); on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lexilake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lexilake-")
+        found = _OWN[context.applicationId]
     return found.rstrip("/")
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexilake.llm import wordhash as W
@@ -195,19 +195,13 @@ def _one_key_for_each_list(rows: DataFrame, work: Workspace) -> DataFrame:
     return work.save(rows.join(keys, "key").groupBy(F.col("list").alias("key"), "rep", "n_shingles").agg(F.min("place").alias("place")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
+def _sign(docs: DataFrame) -> DataFrame:
+    return docs.mapInArrow(released(_signatures), "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>")
 
-    A-Z is lower-cased, words are runs without white space. Null and empty texts have an empty set, are linked
-    with nothing and kept. Rows without a doc_id take no part: component_id is null, kept is true. Rows that
-    repeat a doc_id are one document, whose component is that of any of its sets. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    work = Workspace(spark, "minhash")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = work.save(narrow.mapInArrow(released(_signatures), "doc_id long, n_shingles long, d0 long, d1 long, bands array<long>"))
 
+def _components(narrow: DataFrame, signed: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, component_id of the documents of narrow(doc_id, text) with a set. A doc_id has one text."""
+    spark = narrow.sparkSession
     # equal sets are one class, known by its smallest doc_id
     with_set = signed.where("n_shingles > 0 and doc_id is not null")
     classes = with_set.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"))
@@ -220,7 +214,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not apart.isEmpty():
         member = work.save(member.join(apart, "doc_id", "left_anti").unionByName(apart.select("doc_id", F.col("doc_id").alias("rep"))))
     reps = with_set.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    reps = reps.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "bands"), F.struct("d0", "d1")).alias("x")).select("doc_id", "x.n_shingles", "x.bands")
     rows = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.explode("bands").alias("key")).distinct()
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     buckets = work.save(rows.join(full.select("key", "pivot"), "key"))
@@ -241,7 +234,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comp = connected_components(done.unionByName(more).where("linked").select("u", "v"), work)
 
     found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def _several_texts(narrow: DataFrame, several: DataFrame, work: Workspace) -> DataFrame:
+    """_components() where the ids of several(doc_id) stand for texts of different sets.
+
+    Each text beyond an id's first gets a number that no id has; once its links are known, its component and that of
+    the id's first text are one.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h")
+    theirs = work.save(narrow.join(several, "doc_id", "left_semi").select("doc_id", "text", digest))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
+    ends = narrow.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    free = F.monotonically_increasing_id() + F.lit(ends.high + 1) if ends.high < 1 << 62 else F.lit(ends.low - 1) - F.monotonically_increasing_id()
+    named = work.save(theirs.select("doc_id", "h").distinct().withColumn("nth", nth).withColumn("free", free).select("doc_id", "h", F.when(F.col("nth") == 1, F.col("doc_id")).otherwise(F.col("free")).alias("node")))
+    texts = narrow.join(several, "doc_id", "left_anti").unionByName(theirs.join(named, ["doc_id", "h"]).select(F.col("node").alias("doc_id"), "text"))
+    found = work.save(_components(texts, work.save(_sign(texts)), work))
+
+    others = named.where("node <> doc_id")
+    at = lambda node, c: found.select(F.col("doc_id").alias(node), F.col("component_id").alias(c))
+    ends = others.join(at("node", "a"), "node", "left").join(at("doc_id", "b"), "doc_id", "left").select(F.coalesce("a", "node").alias("u"), F.coalesce("b", "doc_id").alias("v"))
+    joined = work.save(connected_components(ends, work))
+    every = found.unionByName(named.select(F.col("node").alias("doc_id")).join(found, "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("component_id")))
+    label = work.save(every.join(joined, every["component_id"] == joined["node"], "left").select("doc_id", F.coalesce("component", "component_id").alias("label")))
+    own = label.join(others.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    return own.join(own.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    A-Z is lower-cased, words are runs without white space. Null and empty texts have an empty set, are linked
+    with nothing and kept. Rows without a doc_id take no part: component_id is null, kept is true. Rows that
+    repeat a doc_id are one document: what any of its texts is linked with is in its component. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    work = Workspace(spark, "minhash")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed = work.save(_sign(narrow))
+    digest = F.struct("n_shingles", "d0", "d1")  # an empty text beside another one counts, too
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("doc_id")
+    several = work.save(several)
+    found = _components(narrow, signed, work) if several.isEmpty() else _several_texts(narrow, several, work)
     return (
         signed.select("doc_id", "n_shingles")
         .join(found, "doc_id", "left")

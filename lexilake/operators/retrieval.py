@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lexilake.functions import text as T
+from lexilake.operators import lexical as L
 
 
 def chunks(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -94,16 +95,9 @@ def dense_batch(index: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
     return ranked(found, k, F.desc("similarity"), F.col("id"))
 
 
-def query_terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 1))
-
-
 def lexical_batch(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, id, score, rank: matched term frequencies f, as f / (f + 1); terms join postings on the term."""
-    postings = index.select("id", F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("term")).where(F.length("term") > 1)
-    asked = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term"))
-    found = postings.join(asked, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("f"))
-    return ranked(found.select("query_id", "id", F.round(F.col("f") / (F.col("f") + 1), 6).alias("score")), k, F.desc("score"), F.col("id"))
+    """query_id, id, score, rank: matched term frequencies f, as f / (f + 1), of plain words (see lexical.search)."""
+    return L.search(index, queries, k, stems=False)
 
 
 def reciprocal_rank_fusion(dense: DataFrame, lexical: DataFrame, k: int = 60) -> DataFrame:
@@ -152,6 +146,12 @@ def boosted(fused: DataFrame, k: int, clause_like: Column | bool = False, prefer
     return ranked(fused.withColumn("final_score", F.round(F.col("rrf_score") * first * second, 9)), k, F.desc("final_score"), F.col("id"))
 
 
+def hybrid_search(index: DataFrame, queries: DataFrame, k: int = 10, namespace: str | None = None, source: str | None = None, key: str = "id", clause_like: Column | bool = False) -> DataFrame:
+    """The first k by both legs, of twice k hits each, over the index's rows of a namespace and a source, if given."""
+    near = L.filtered(index, namespace, source, key)
+    return boosted(reciprocal_rank_fusion(dense_batch(near, queries, 2 * k), L.search(near, queries, 2 * k)), k, clause_like)
+
+
 def direct_lookup(index: DataFrame, needle: str, k: int = 10) -> DataFrame:
     """Rows that contain the needle, whatever case, earliest match first."""
     at = F.locate(needle.lower(), F.lower("text"))

@@ -37,13 +37,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    import lexilake.plans.reports  # noqa: F401, registers its queries
+    import lexilake.plans.lexical
+    import lexilake.plans.reports  # noqa: F401, both register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    import lexilake.plans.reports  # noqa: F401, registers its queries
+    import lexilake.plans.lexical
+    import lexilake.plans.reports  # noqa: F401, both register their queries
 
     return dict(_SQL)
 

@@ -7,7 +7,8 @@ longer path prefix in common. Their lines are aligned by longest common subseque
 
 The body is the marked article where there is one, else the open lines; shared lines are deleted from either. Two
 things differencing alone gets wrong are put right: furniture goes though no other page has it (adverts differ from
-page to page), as do open lines beside a marked article; and copies of a page sit next to each other. Where the
+page to page), as do open lines beside a marked article (inside an article a class such as share-price, with a word
+for a topic and another beside it, is no mark: only lists of links and shared lines go there); and copies of a page sit next to each other. Where the
 nearest page shares more than half of the body, only lines that the page on the other side has too are deleted. If
 that leaves less than COPY_REST of the body, all of these are copies, not evidence of furniture, and delete nothing.
 
@@ -36,7 +37,7 @@ from lexilake.llm.common import bounded_batches, partitions
 
 TASK_ROWS = 20_000
 TABLE_BITS = 1 << 27  # of the rows kept to align two pages
-ARTICLE, OPEN, FURNITURE = 2, 1, 0
+DOUBTFUL, ARTICLE, OPEN, FURNITURE = 3, 2, 1, 0  # no line is doubtful: a block so marked is of the article unless it is a list of links
 COPY_REST = 0.1  # a page of whose body less than this is its own has copies for neighbours
 
 # fixed values: HTML names
@@ -48,13 +49,15 @@ NESTED = "article aside blockquote body button details dialog div dl fieldset fi
 FURNITURE_TAGS = "nav footer aside form button dialog menu label fieldset head"
 FURNITURE_ROLES = "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar"
 FURNITURE_WORDS = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header legal login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets"
+TOPIC_WORDS = "banner copyright disclaimer header legal notice notices promotion related respond share sharing social"
 
 _RAW, _BLOCK, _NEST = (frozenset(x.split()) for x in (RAW, BLOCKS, NESTED))
-_TAGS, _ROLES, _WORDS = (frozenset(x.split()) for x in (FURNITURE_TAGS, FURNITURE_ROLES, FURNITURE_WORDS))
+_TAGS, _ROLES, _WORDS, _TOPICS = (frozenset(x.split()) for x in (FURNITURE_TAGS, FURNITURE_ROLES, FURNITURE_WORDS, TOPIC_WORDS))
 _TEXT, _EMPTY = (frozenset(x.split()) for x in (RAW_TEXT, SELF_CLOSING))
 _END = {x: re.compile(rf"</{x}\s*>", re.I) for x in _RAW}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
+_VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\s>]*)"  # a quote opens a value only after =; one that is never closed is part of the word
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?+")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -64,14 +67,16 @@ def _zone(name: str, attributes: str, within: int, in_article: bool) -> int:
         return FURNITURE
     found = {}
     for m in _ATTRIBUTE.finditer(attributes):
-        found[(m[1] or m[5]).lower()] = next((x for x in (m[2], m[3], m[4]) if x is not None), "")
-    words = {w.lower() for w in _TOKEN.findall(found.get("class", "") + " " + found.get("id", ""))}
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    names = [{w.lower() for w in _TOKEN.findall(x)} for x in (found.get("class", "") + " " + found.get("id", "")).split()]
+    words, marks = set().union(*names), [x for x in names if x & _WORDS]
     role = found.get("role", "").lower()
     if name in _TAGS or role in _ROLES or "hidden" in found or (name == "header" and not in_article):
         return FURNITURE
     main = name in ("article", "main") or role == "main" or found.get("itemprop") == "articleBody"
     if words & _WORDS and name not in ("body", "html") and not (main and not in_article and not words & {"comment", "comments", "related", "ad", "promo"}):
-        return FURNITURE
+        topic = in_article and all(x & _WORDS <= _TOPICS and x - _WORDS for x in marks)  # related-work, share-price
+        return DOUBTFUL if topic else FURNITURE
     return ARTICLE if main else within
 
 
@@ -87,8 +92,10 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
         line = " ".join(entities.unescape("".join(text)).split())
         if line:
             zone = stack[-1][1]
-            if zone == OPEN and link > 0.8 * sum(map(len, text)):
+            if zone in (OPEN, DOUBTFUL) and link > 0.8 * sum(map(len, text)):
                 zone = FURNITURE  # a list of links
+            elif zone == DOUBTFUL:
+                zone = ARTICLE  # differencing decides
             out.append((zone, line))
         text, link = [], 0
 

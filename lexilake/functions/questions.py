@@ -5,6 +5,8 @@ All are native: patterns over the question's text. Unicode composition (NFC) is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,28 +57,37 @@ HOOK = (
 )
 # Hazards; all words of one must stand in the question.
 HAZARDS = (
-    "uxo|unexploded ordnance|fire at site|fire overnight|gas leak|hazardous discovery|immediate hazard|asbestos discovery|safety emergency|"
-    "collapse|structural failure|trench collapse"
-)
+    "uxo", "unexploded ordnance", "fire at site", "fire overnight", "gas leak", "hazardous discovery", "immediate hazard",
+    "asbestos discovery", "safety emergency", "collapse", "structural failure", "trench collapse",
+)
 # Words of the field, each with its regular plural.
 KEYWORDS = (
-    "acquisition|award|bid|bidder|bidding|clause|competition|competitive|compliance|contracting|contractor|contract|cost|cost-reimbursement|"
-    "cost-plus|debarment|default|delivery|earnest|evaluation|federal|grant|guaranty|indemnification|invoice|invoicing|labor|labour|"
-    "liquidated damages|modification|negotiation|offeror|option|penalty|performance bond|procurement|proposal|provision|purchase order|regulation|"
-    "requirement|rfp|rfq|rfi|sealed bid|section|solicitation|subcontract|subcontractor|surety|suspension|asbestos|confined space|construction|"
-    "fall protection|hazardous|lockout|noise exposure|ozone|ppe|radiation|respiratory|rigging|safety|scaffold|silica|trench|8a|dbe|disadvantaged|"
-    "hubzone|sba|sdvosb|small business|set-aside|veteran-owned|vosb|wosb|appropriation|authorization|clin|defense|department|executive order|"
-    "fiscal|government|part|prime contractor|program|project|standard|subpart|title|buy american|domestic preference|country of origin|"
-    "trade agreements act|rea|equitable adjustment|change order|cpars|past performance|debrief|debriefing|daily rate|overhead|certify|"
-    "certification|novation|withhold|withholding|termination for default|termination for convenience|protest|substitution|variance|mobilization|"
-    "mobilisation|post award|post-award|compensable delay|concurrent delay|excusable delay|delay letter|serial letter|ko letter|"
-    "differing site condition|site conditions|duct bank|gas line|oil tank|unexploded ordnance|uxo|wildfire|fire at site|fire overnight|stop-work|"
-    "qc checklist|quality checklist|qc plan|qc program|qcm|quality control manager|conduit|masonry|demolition|inspection report|phase inspection|"
-    "submittal|hot work|redline|as-built|as built|superintendent|drawing|limited rights|government purpose rights|unlimited rights|data rights|"
-    "scope|dispute|appeal|disagreement|bonding|payment bond|cor|contracting officer|daily report|prime|paying|siop|ppi|pre-purchase inspection|"
-    "pre purchase inspection|insurance|set aside|off site storage|off-site storage|offsite storage|stored materials|materials stored offsite|"
-    "bill of materials|bond certificate|storage location"
-).split("|")
+    "acquisition", "award", "bid", "bidder", "bidding", "clause", "competition", "competitive", "compliance", "contracting", "contractor",
+    "contract", "cost", "cost-reimbursement", "cost-plus", "debarment", "default", "delivery", "earnest", "evaluation", "federal", "grant",
+    "guaranty", "indemnification", "invoice", "invoicing", "labor", "labour", "liquidated damages", "modification", "negotiation",
+    "offeror", "option", "penalty", "performance bond", "procurement", "proposal", "provision", "purchase order", "regulation",
+    "requirement", "rfp", "rfq", "rfi", "sealed bid", "section", "solicitation", "subcontract", "subcontractor", "surety", "suspension",
+    "asbestos", "confined space", "construction", "fall protection", "hazardous", "lockout", "noise exposure", "ozone", "ppe", "radiation",
+    "respiratory", "rigging", "safety", "scaffold", "silica", "trench", "8a", "dbe", "disadvantaged", "hubzone", "sba", "sdvosb",
+    "small business", "set-aside", "set-asides", "veteran-owned", "vosb", "wosb", "appropriation", "authorization", "clin", "defense",
+    "department", "executive order", "far part", "fiscal", "government", "part", "prime contractor", "program", "project", "standard",
+    "subpart", "title", "buy american", "domestic preference", "country of origin", "trade agreements act", "rea",
+    "request for equitable adjustment", "equitable adjustment", "change order", "change orders", "cpars", "past performance", "debrief",
+    "debriefing", "daily rate", "field office overhead", "overhead", "certify", "certification", "rea certification", "novation",
+    "novation agreement", "withhold", "withholding", "withholdings", "termination for default", "termination for convenience", "protest",
+    "bid protest", "gao protest", "agency protest", "product substitution", "product variance", "substitution", "variance", "mobilization",
+    "mobilisation", "post award", "post-award", "compensable delay", "concurrent delay", "excusable delay", "delay letter", "serial letter",
+    "structure the serial letter", "ko letter", "differing site conditions", "differing site condition", "site conditions", "duct bank",
+    "gas line", "oil tank", "unexploded ordnance", "uxo", "wildfire", "fire at site", "fire overnight", "stop-work", "qc checklist",
+    "quality checklist", "qc plan", "qc program", "qcm", "quality control manager", "conduit", "masonry", "demolition", "inspection report",
+    "phase inspection", "submittal", "submittals", "rfis", "hot work", "hot work permit", "redline", "redline drawing", "as-built",
+    "as built", "superintendent", "drawing", "drawings", "update drawing", "limited rights", "government purpose rights",
+    "unlimited rights", "data rights", "scope", "scope of work", "scope alignment", "dispute", "disputes", "appeal", "disagreement",
+    "bonding", "payment bond", "contracting officer representative", "cor", "contracting officer", "daily report", "daily reports", "prime",
+    "subcontractor payment", "paying", "siop", "ppi", "pre-purchase inspection", "pre purchase inspection", "insurance",
+    "insurance requirements", "small business set-aside", "set aside", "off site storage", "off-site storage", "offsite storage",
+    "stored materials", "materials stored offsite", "bill of materials", "insurance certificate", "bond certificate", "storage location",
+)
 HINT = r"\bbuy\s+american\b"
 
 
@@ -86,7 +97,7 @@ def keyword_pattern(keyword: str) -> str:
 
 
 def hazard_patterns() -> list[list[str]]:
-    return [[rf"\b{w}(?:s|es)?\b" for w in x.split()] for x in HAZARDS.split("|")]
+    return [[rf"\b{w}(?:s|es)?\b" for w in x.split()] for x in HAZARDS]
 
 
 def normalised_question(question: Column) -> Column:
@@ -123,7 +134,7 @@ def flags(q: Column) -> dict[str, Column]:
     }
 
 
-def matched_keywords(q: Column, keywords: list[str] | None = None) -> Column:
+def matched_keywords(q: Column, keywords: Sequence[str] | None = None) -> Column:
     """The keywords that a question holds, in their order."""
     return F.array_compact(F.array(*(F.when(q.rlike("(?i)" + keyword_pattern(k)), k) for k in keywords or KEYWORDS)))
 

@@ -74,6 +74,41 @@ def parsed_reference(question: Column) -> Column:
     return F.when(clause != "", F.struct(source.alias("source"), clause.alias("clause")))
 
 
+def numbers(index: DataFrame) -> DataFrame:
+    """id, source, number, place: each number with a separator in the texts of index(id, source, text), as long as it is
+    there (digits, points and hyphens after a digit), and the character that it begins at, from 1."""
+    # each piece is what stands before a number, and it; so lengths add up to places without the text
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[^0-9]*+(?:[0-9][0-9.\-]*+)?"), F.lit(0))
+    parts = F.transform(pieces, lambda p: F.struct(F.char_length(p).alias("n"), F.regexp_extract(p, r"[0-9][0-9.\-]*+$", 0).alias("number")))
+    rows = index.where(F.col("text").rlike(r"[0-9][.\-][0-9\-]")).select("id", "source", F.monotonically_increasing_id().alias("row"), F.posexplode(parts).alias("at", "p"))
+    upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.select("id", "source", "p.number", (F.sum("p.n").over(upto) - F.char_length("p.number") + 1).alias("place"))
+    return placed.where(F.col("number").rlike(r"[0-9][.\-][0-9\-]"))
+
+
+def _clause_keys(number: Column) -> Column:
+    """The digit, separator and next character of each separator in a number: one of them is its clause's first."""
+    at = F.sequence(F.lit(1), F.char_length(number))
+    keys = F.transform(at, lambda i: F.substr(number, i, F.lit(3)))
+    return F.array_distinct(F.filter(keys, lambda k: k.rlike(r"^[0-9][.\-][0-9\-]$")))
+
+
+def clause_places(index: DataFrame, references: DataFrame) -> DataFrame:
+    """source, clause, id, at: the first place in each text of index(id, source, text) of each of
+    references(source, clause), clauses being a number, a point or hyphen and what REFERENCE lets follow.
+
+    A clause stands wherever it is part of a longer number, so distinct numbers and distinct clauses meet by source and
+    the clause's first separator with its neighbours; texts are read once and only their numbers are shuffled.
+    """
+    found = numbers(index)
+    key = F.regexp_extract("clause", r"([0-9][.\-][0-9\-])", 1)
+    asked = references.select("source", "clause").distinct().withColumn("key", key)
+    known = found.select("source", "number").distinct().withColumn("key", F.explode(_clause_keys(F.col("number"))))
+    held = known.join(asked, ["source", "key"]).where(F.contains("number", F.col("clause"))).select("source", "number", "clause")
+    at = F.col("place") + F.expr("locate(clause, number)") - 1
+    return found.join(held, ["source", "number"]).groupBy("source", "clause", "id").agg(F.min(at).alias("at"))
+
+
 def clause_lookup(index: DataFrame, questions: DataFrame, fallback: DataFrame, most: int = 10) -> DataFrame:
     """query_id, id, rank, found, confidence for questions(query_id, query) over index(id, source, text).
 
@@ -81,8 +116,9 @@ def clause_lookup(index: DataFrame, questions: DataFrame, fallback: DataFrame, m
     a chunk or without a reference the first five of fallback(query_id, id, rank, rrf_score), not found, at its score.
     """
     asked = questions.select("query_id", parsed_reference(F.col("query")).alias("r")).where("r is not null").select("query_id", "r.*")
-    rows = index.select("id", "source", F.lower("text").alias("t")).join(asked, "source")
-    direct = R.ranked(rows.select("query_id", "id", F.expr("locate(clause, t)").alias("at")).where("at > 0"), most, F.col("at"), F.col("id")).drop("at")
+    first = F.row_number().over(Window.partitionBy("source", "clause").orderBy("at", "id"))
+    few = clause_places(index, asked).withColumn("rank", first).where(F.col("rank") <= most)
+    direct = asked.join(few, ["source", "clause"]).select("query_id", "id", "rank")
     exact = direct.withColumns({"found": F.lit(True), "confidence": F.lit(1.0)})
     rest = fallback.where("rank <= 5").join(direct.select("query_id").distinct(), "query_id", "left_anti")
     return exact.select("query_id", "id", "rank", "found", "confidence").unionByName(rest.select("query_id", "id", "rank", F.lit(False).alias("found"), F.col("rrf_score").alias("confidence")))

@@ -576,7 +576,7 @@ _OPENINGS = (
     "FAR 52.236-2 ", "what is the delay with UXO and ", "draft a letter on ", "is the document generator down ", "the dfars says ", "how often do i send ",
     "inspection checklist ", "REA vs change order ", "commissioning of ", "concurrent delay and schedule risk ", "What does the vendor say ", "apartment contact ",
 )
-_Q = f"trim(regexp_replace({_pick(_OPENINGS, 'item_id')} || left(text, 60), '\\s+', ' ', 'g'), ' ')"
+_Q = f"trim(regexp_replace({_pick(_OPENINGS, 'item_id')} || text, '\\s+', ' ', 'g'), ' ')"
 
 
 def _has(pattern: str, q: str = "q") -> str:
@@ -587,12 +587,11 @@ _HAZARD = " OR ".join("(" + " AND ".join(_has(w) for w in words) + ")" for words
 _KEYS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has(K.keyword_pattern(k))} THEN '{k}' END" for k in K.KEYWORDS) + "], lambda x: x IS NOT NULL), ';')"
 
 
-@query(
-    f"""WITH x AS (SELECT item_id, {_Q} AS q FROM benchmark),
-y AS (SELECT *, regexp_extract(q, '{I.CLAUSE}', 2, 'i') AS c, upper(regexp_extract(q, '{I.CLAUSE}', 1, 'i')) AS r, upper(regexp_extract(q, '{I.SOURCE}', 1, 'i')) AS s, {_KEYS} AS kw, {_HAZARD} AS safe FROM x),
+#: CTEs that classify x(q, ...): all its columns with intent, confidence, clause_reference, regulation, keywords, document_type and flags
+_CLASSIFIED = f"""y AS (SELECT *, regexp_extract(q, '{I.CLAUSE}', 2, 'i') AS c, upper(regexp_extract(q, '{I.CLAUSE}', 1, 'i')) AS r, upper(regexp_extract(q, '{I.SOURCE}', 1, 'i')) AS s, {_KEYS} AS kw, {_HAZARD} AS safe FROM x),
 z AS (SELECT *, CASE WHEN c <> '' THEN 'clause' WHEN {_has(K.PRODUCT)} AND kw = '' AND s = '' THEN 'product' WHEN s <> '' THEN 'source' WHEN kw <> '' THEN 'keyword'
-  WHEN {_has(K.QUESTION)} AND {_has(K.HOOK)} THEN 'frame' WHEN safe THEN 'safety' ELSE 'none' END AS layer FROM y)
-SELECT item_id, CASE WHEN layer = 'clause' THEN 'clause_lookup' WHEN layer IN ('product', 'none') THEN 'out_of_scope' ELSE 'regulation_search' END AS intent,
+  WHEN {_has(K.QUESTION)} AND {_has(K.HOOK)} THEN 'frame' WHEN safe THEN 'safety' ELSE 'none' END AS layer FROM y),
+classified AS (SELECT * EXCLUDE (c, r, s, kw, safe, layer), CASE WHEN layer = 'clause' THEN 'clause_lookup' WHEN layer IN ('product', 'none') THEN 'out_of_scope' ELSE 'regulation_search' END AS intent,
   CASE layer WHEN 'clause' THEN 1.0 WHEN 'source' THEN 0.8 WHEN 'keyword' THEN 0.6 WHEN 'frame' THEN 0.55 WHEN 'safety' THEN 0.55 ELSE 0.0 END AS confidence,
   CASE WHEN layer = 'clause' THEN {_REG.format(r='r')} || ' ' || regexp_replace(c, '-+$', '') END AS clause_reference,
   CASE WHEN layer = 'clause' THEN {_REG.format(r='r')} WHEN layer = 'source' THEN {_REG.format(r='s')} WHEN layer IN ('keyword', 'frame') AND {_has(K.HINT)} THEN 'FAR' END AS regulation,
@@ -600,10 +599,12 @@ SELECT item_id, CASE WHEN layer = 'clause' THEN 'clause_lookup' WHEN layer IN ('
   CASE WHEN layer = 'product' THEN NULL WHEN {_has(K.CHECKLIST)} THEN 'checklist' WHEN {_has(K.FORM)} THEN 'form' WHEN {_has(K.AMENDMENT)} OR {_has(K.LETTER)} THEN 'letter' END AS document_type,
   {_has(K.PROCEDURAL)} AND layer NOT IN ('product', 'safety', 'none') AS is_procedural, {_has(K.FREQUENCY)} AND layer NOT IN ('product', 'safety', 'none') AS is_contract_co,
   {_has(K.COMPARISON)} AND layer <> 'product' AS is_comparison, {_has(K.LIFECYCLE)} AND layer <> 'product' AS is_construction_lifecycle,
-  {_has(K.SCHEDULE)} AND {_has(K.RISK)} AND layer <> 'product' AS is_schedule_risk, safe AND layer <> 'product' AS is_safety_critical FROM z"""
-)
+  {_has(K.SCHEDULE)} AND {_has(K.RISK)} AND layer <> 'product' AS is_schedule_risk, safe AND layer <> 'product' AS is_safety_critical FROM z)"""
+
+
+@query(f"WITH x AS (SELECT item_id, {_Q} AS q FROM benchmark), {_CLASSIFIED} SELECT * EXCLUDE (q) FROM classified")
 def intent_waterfall(spark, d):
-    asked = table(spark, d, "benchmark").select("item_id", F.concat(_picked(_OPENINGS, "item_id"), F.left("text", F.lit(60))).alias("question"))
+    asked = table(spark, d, "benchmark").select("item_id", F.concat(_picked(_OPENINGS, "item_id"), F.col("text")).alias("question"))
     return K.classify(asked).drop("question").withColumn("keywords", F.array_join("keywords", ";"))
 
 
@@ -654,7 +655,7 @@ def search_regulations(spark, d):
 
 @query(
     _HITS + r""", q0 AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'FAR 52.' || (item_id % 7) WHEN 1 THEN 'EM 385 1-9' ELSE 'no clause' END AS query FROM benchmark),
-ix AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'FAR' ELSE 'EM385' END AS source, lower(left(text, doc_id % 40) || ' 52.' || (doc_id % 9) || ' ') AS t FROM documents),
+ix AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'FAR' ELSE 'EM385' END AS source, lower(text || ' 52.' || (doc_id % 9) || ' ') AS t FROM documents),
 r AS (SELECT query_id, upper(regexp_replace(regexp_extract(query, '(?i)(FAR|DFARS|EM\s*385)\s*([\d]+[.\-][\d\-]+)', 1), '\s+', '', 'g')) AS source, regexp_extract(query, '(?i)(FAR|DFARS|EM\s*385)\s*([\d]+[.\-][\d\-]+)', 2) AS clause FROM q0),
 x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY strpos(t, clause), id) AS rank FROM r JOIN ix USING (source) WHERE clause <> '' AND strpos(t, clause) > 0 QUALIFY rank <= 10)
 SELECT query_id, id, rank, true AS found, 1.0 AS confidence FROM x UNION ALL SELECT query_id, id, rank, false, rrf_score FROM h WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM x)"""
@@ -662,5 +663,5 @@ SELECT query_id, id, rank, true AS found, 1.0 AS confidence FROM x UNION ALL SEL
 def clause_by_reference(spark, d):
     b = table(spark, d, "benchmark")
     text = F.expr("case item_id % 3 when 0 then 'FAR 52.' || (item_id % 7) when 1 then 'EM 385 1-9' else 'no clause' end")
-    index = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr("if(doc_id % 2 = 0, 'FAR', 'EM385')").alias("source"), F.expr("left(text, cast(doc_id % 40 as int)) || ' 52.' || (doc_id % 9) || ' '").alias("text"))
+    index = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr("if(doc_id % 2 = 0, 'FAR', 'EM385')").alias("source"), F.expr("text || ' 52.' || (doc_id % 9) || ' '").alias("text"))
     return X.clause_lookup(index, b.select(F.col("item_id").alias("query_id"), text.alias("query")), hybrid_boosted(spark, d))

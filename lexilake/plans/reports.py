@@ -13,7 +13,7 @@ from lexilake.functions import text as T
 from lexilake.operators import reports as O
 from lexilake.operators import search as X
 from lexilake.operators import upkeep as U
-from lexilake.plans.registry import _ANCHORED, _BASE, _DENSE, _FUSED, _LEXICAL, _SENT, _TOKENS, query, rrf_fusion
+from lexilake.plans.registry import _ANCHORED, _BASE, _CLASSIFIED, _DENSE, _FUSED, _LEXICAL, _SENT, _TOKENS, query, rrf_fusion
 from lexilake.session import table
 from lexilake.sources import files as S
 
@@ -289,8 +289,7 @@ SELECT table_id, CAST(count(*) - 1 AS INTEGER) AS n, trim(string_agg(s, chr(10)
 )
 def table_grids(spark, d):
     """Tables rebuilt from spans of cells, as text."""
-    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    cells = spark.sql(_CELLS)
+    cells = spark.sql(_CELLS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, d, "lineitem"))
     tables = cells.select("table_id").distinct().withColumns({"num_rows": F.lit(4), "num_cols": F.lit(3)})
     return S.table_grid(cells, tables).select("table_id", F.size("rows").alias("n"), S.table_text(F.col("headers"), F.col("rows")).alias("text"))
 
@@ -310,33 +309,26 @@ def formatted_contexts(spark, d):
     return X.formatted_context(rows, 1000)
 
 
-#: questions in turn, with what the classifier (tested by its own query) says of them
-_ASKED = ("What about inspection there?", "what is a PPI?", "also include this clause", "how does the vendor log in here", "what does the vendor say", "how to bake a cake", "FAR 52.236-2", "draft a letter")
-_TURNS = """SELECT conv_id, turn, role, CASE WHEN role <> 'assistant' THEN text WHEN conv_id % 3 = 0 THEN text || ' FAR 52.236-' || turn WHEN conv_id % 3 = 1 THEN 'Dear Sir' ELSE text END AS text, (conv_id + turn) % 8 AS q FROM conversations"""
-
-
-def _routed_sql(case: dict[int, tuple]) -> str:
-    values = ", ".join(f"({i}, '{c[0]}', {c[1]}, " + ", ".join("NULL" if v is None else f"'{v}'" for v in c[2:4]) + f", {c[4]}, {c[5]})" for i, c in case.items())
-    return f"""WITH t AS ({_TURNS}), h AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN nullif(regexp_extract(text, '{Q.CITATION}', 0, 'i'), '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS prior,
-  coalesce(bool_or(role = 'assistant' AND text = 'Dear Sir') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), false) AS letter FROM t),
-c(q, intent, sure, clause, document, unclear, amends) AS (VALUES {values}),
-y AS (SELECT *, CASE WHEN intent = 'regulation_search' AND sure < 0.7 THEN prior END AS old, q = 1 AND intent = 'regulation_search' AS acr FROM h JOIN c USING (q) WHERE role = 'user')
-SELECT conv_id, turn, CASE WHEN acr THEN 'end' WHEN amends AND letter THEN 'data_retrieval' WHEN unclear = 1 OR (unclear = 2 AND old IS NULL) THEN 'clarifier' WHEN intent = 'out_of_scope' AND document IS NULL THEN 'end' ELSE 'data_retrieval' END AS next,
-  CASE WHEN acr OR unclear = 1 OR (unclear = 2 AND old IS NULL) THEN 'clarify' WHEN intent = 'out_of_scope' AND document IS NULL THEN 'copilot' END AS mode,
-  CASE WHEN acr THEN 'PPI' END AS acronym, coalesce(clause, old) AS clause_reference, CASE WHEN amends AND letter THEN 'letter' ELSE document END AS document_type FROM y"""
+#: what stands before the users' texts, in turn
+_ASKED = ("What about inspection there? ", "also include this clause ", "how does the vendor log in here ", "what does the vendor say ", "", "FAR 52.236-2 ", "draft a letter ")
+_TURNS = f"""SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN CASE conv_id % 3 WHEN 0 THEN text || ' FAR 52.236-' || turn WHEN 1 THEN 'Dear Sir, ' || text ELSE text END
+  WHEN (conv_id + turn) % 8 = 7 THEN 'what is a ' || upper(left(text, 3)) || '?' {' '.join(f"WHEN (conv_id + turn) % 8 = {i} THEN '{p}' || text" for i, p in enumerate(_ASKED))} ELSE text END AS text FROM conversations"""
+_PRODUCT = " OR ".join(f"contains(lower(q), '{x}')" for x in V.PRODUCT_SIGNALS)
 
 
 @query(
-    _routed_sql(
-        {
-            0: ("out_of_scope", 0.0, None, None, 0, False), 1: ("regulation_search", 0.6, None, None, 0, False), 2: ("regulation_search", 0.6, None, "letter", 0, True),
-            3: ("regulation_search", 0.55, None, None, 1, False), 4: ("regulation_search", 0.55, None, None, 2, False), 5: ("out_of_scope", 0.0, None, None, 0, False),
-            6: ("clause_lookup", 1.0, "FAR 52.236-2", None, 0, False), 7: ("out_of_scope", 0.0, None, "letter", 0, False),
-        }
-    )
-)
+    rf"""WITH t AS ({_TURNS}), h AS (SELECT *, last_value(CASE WHEN role = 'assistant' THEN nullif(regexp_extract(text, '{Q.CITATION}', 0, 'i'), '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS prior,
+  coalesce(regexp_matches(string_agg(CASE WHEN role = 'assistant' THEN coalesce(text, '') END, ' ') OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '{V.LETTER_TEXT}'), false) AS letter FROM t),
+x AS (SELECT conv_id, turn, prior, letter, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') AS q FROM h WHERE role = 'user'), {_CLASSIFIED},
+n AS (SELECT *, CASE WHEN q = '' THEN 0 ELSE len(string_split(q, ' ')) END AS words, intent = 'regulation_search' AND clause_reference IS NULL AS bare FROM classified),
+o AS (SELECT *, CASE WHEN bare AND confidence < 0.7 AND words < 12 THEN prior ELSE clause_reference END AS clause FROM n),
+u AS (SELECT *, bare AND ((({_PRODUCT}) AND NOT regexp_matches(q, '{V.ROLE}')) OR (words <= 5 AND clause IS NULL AND keywords = '' AND NOT regexp_matches(q, '{V.DEFINITION}'))) AS unclear,
+  regexp_matches(q, '{V.AMENDS}') AND (letter OR regexp_matches(q, '{V.OF_LETTER}')) AS amends, CASE WHEN bare THEN nullif(upper(regexp_extract(q, '{V.ACRONYM}', 1)), '') END AS acronym, intent = 'out_of_scope' AND document_type IS NULL AS away FROM o)
+SELECT conv_id, turn, CASE WHEN acronym IS NOT NULL THEN 'end' WHEN amends THEN 'data_retrieval' WHEN unclear THEN 'clarifier' WHEN away THEN 'end' ELSE 'data_retrieval' END AS next,
+  CASE WHEN acronym IS NOT NULL OR unclear THEN 'clarify' WHEN away THEN 'copilot' END AS mode, acronym, clause AS clause_reference, CASE WHEN amends THEN 'letter' ELSE document_type END AS document_type FROM u"""
+)
 def routed_questions(spark, d):
-    table(spark, d, "conversations").createOrReplaceTempView("conversations")
-    turns = V.with_history(spark.sql(_TURNS)).where("role = 'user'")
-    asked = turns.withColumn("question", F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("q") + 1).cast("int")))
+    """Where the users' whole texts go, each with a question's opening before it (of one in eight an acronym alone)."""
+    turns = spark.sql(_TURNS.replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, d, "conversations"))
+    asked = V.with_history(turns).where("role = 'user'").withColumnRenamed("text", "question")
     return V.route(K.classify(asked)).select("conv_id", "turn", "next", "mode", "acronym", "clause_reference", "document_type")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lexilake.functions import questions as K
@@ -51,3 +53,24 @@ def test_questions(spark):
     assert (american.confidence, american.regulation) == (0.6, "FAR")
     near = spark.createDataFrame([("something else", 0.9, 0.1), ("something else", 0.9, 0.95)], "question string, a double, b double")
     assert [(r.intent, r.confidence) for r in K.classify(near, similarity="a", away="b").collect()] == [("regulation_search", 0.9), ("out_of_scope", 0.0)]
+
+
+def test_clause_places(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("1225-..a \n") for _ in range(rng.randrange(60))) for _ in range(150)] + [None, "", "x" * 50_000 + "12.2" + "y" * 50_000, "ä12.2", "12.2", "12.2 12.2"]
+    rows = [(i % 140, "FS"[i % 2], t) for i, t in enumerate(texts)] + [(3, "S", texts[3])]
+    clauses = ["12.2", "2-2", "5.-", "1.2-5", "22.22", "999.9"]
+    want = {}
+    for i, source, t in rows:
+        for c in clauses:
+            if t and c in t:
+                want[source, c, i] = min(want.get((source, c, i), 10**9), t.index(c) + 1)
+    index = spark.createDataFrame(rows, "id long, source string, text string")
+    refs = spark.createDataFrame([(s, c) for s in "FS" for c in clauses] + [("F", "12.2"), (None, "12.2")], "source string, clause string")
+    assert {(r.source, r.clause, r.id): r["at"] for r in X.clause_places(index, refs).collect()} == want and len(want) > 50
+    assert X.clause_places(index.limit(0), refs).count() == 0
+
+
+def test_all_keywords_are_listed(spark):
+    asked = spark.createDataFrame([("a bid protest over a hot work permit",)], "question string")
+    assert K.classify(asked).first().keywords == ["bid", "protest", "bid protest", "hot work", "hot work permit"]

@@ -80,7 +80,7 @@ def numbers(index: DataFrame) -> DataFrame:
     # each piece is what stands before a number, and it; so lengths add up to places without the text
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[^0-9]*+(?:[0-9][0-9.\-]*+)?"), F.lit(0))
     parts = F.transform(pieces, lambda p: F.struct(F.char_length(p).alias("n"), F.regexp_extract(p, r"[0-9][0-9.\-]*+$", 0).alias("number")))
-    rows = index.where(F.col("text").rlike(r"[0-9][.\-][0-9\-]")).select("id", "source", F.monotonically_increasing_id().alias("row"), F.posexplode(parts).alias("at", "p"))
+    rows = index.where(F.col("text").rlike(r"[0-9][.\-][0-9\-]")).select("id", "source", "text", F.monotonically_increasing_id().alias("row")).select("id", "source", "row", F.posexplode(parts).alias("at", "p"))
     upto = Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.select("id", "source", "p.number", (F.sum("p.n").over(upto) - F.char_length("p.number") + 1).alias("place"))
     return placed.where(F.col("number").rlike(r"[0-9][.\-][0-9\-]"))

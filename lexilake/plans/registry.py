@@ -37,15 +37,17 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    import lexilake.plans.dispatch
     import lexilake.plans.lexical
-    import lexilake.plans.reports  # noqa: F401, both register their queries
+    import lexilake.plans.reports  # noqa: F401, all register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    import lexilake.plans.dispatch
     import lexilake.plans.lexical
-    import lexilake.plans.reports  # noqa: F401, both register their queries
+    import lexilake.plans.reports  # noqa: F401, all register their queries
 
     return dict(_SQL)
 
@@ -433,17 +435,16 @@ def centroid_nearest(spark, d):
     return C.nearest_centroid(table(spark, d, "embeddings"))
 
 
-@query(
-    _BASE
-    + _DENSE
-    + """, h AS (SELECT dense.*, i.source, i.text FROM dense JOIN i USING (id)), a AS (SELECT q.query_id, q.query, i.source AS asked FROM q JOIN i ON i.id = q.query_id),
+#: CTEs that end in z: the verdict on each question's dense hits
+_CRITIQUED = """, h AS (SELECT dense.*, i.source, i.text FROM dense JOIN i USING (id)), a AS (SELECT q.query_id, q.query, i.source AS asked FROM q JOIN i ON i.id = q.query_id),
 g AS (SELECT h.query_id, avg(CASE WHEN h.source = a.asked THEN 1.0 ELSE 0.0 END) AS aligned, arg_min(similarity, rank) AS raw, arg_min(text, rank) AS content FROM h JOIN a USING (query_id) WHERE rank <= 5 GROUP BY 1),
 x AS (SELECT a.*, g.aligned, g.content, CASE WHEN coalesce(raw, 0) > 1 THEN raw / 10 WHEN coalesce(raw, 0) <= 0.1 THEN least(coalesce(raw, 0) * 20, 1.0) ELSE raw END AS score,
   list_filter(regexp_split_to_array(trim(lower(query), ' '), '[ \\t\\n\\r\\f\\v]+'), lambda w: length(w) > 3) AS words FROM a LEFT JOIN g USING (query_id)),
 y AS (SELECT *, CASE WHEN len(words) = 0 THEN 0.0 ELSE len(list_filter(words, lambda w: contains(lower(content), w))) / len(words) END AS overlap FROM x),
-z AS (SELECT *, CASE WHEN aligned IS NULL THEN 'none' WHEN asked IS NOT NULL AND aligned < 0.2 THEN 'mismatch' WHEN score >= 0.5 OR (score > 0.3 AND overlap > 0.6) THEN 'match' ELSE 'low' END AS reason FROM y)
-SELECT query_id, reason = 'match' AS passed, round(score, 6) AS score, reason FROM z"""
-)
+z AS (SELECT *, CASE WHEN aligned IS NULL THEN 'none' WHEN asked IS NOT NULL AND aligned < 0.2 THEN 'mismatch' WHEN score >= 0.5 OR (score > 0.3 AND overlap > 0.6) THEN 'match' ELSE 'low' END AS reason FROM y)"""
+
+
+@query(_BASE + _DENSE + _CRITIQUED + "SELECT query_id, reason = 'match' AS passed, round(score, 6) AS score, reason FROM z")
 def critique(spark, d):
     index, asked = _index(spark, d), _asked(spark, d)
     found = R.dense_batch(index, asked).join(index.select("id", F.col("source").alias("regulation"), F.col("text").alias("content")), "id")

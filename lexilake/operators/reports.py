@@ -10,18 +10,46 @@ from pyspark.sql import functions as F
 
 from lexilake.functions import records as P
 from lexilake.functions import text as T
+from lexilake.session import written
 
 
 def at_index(rows: DataFrame, keys: list[str], value: str, **index: Callable[[Column], Column]) -> DataFrame:
     """Values at positions (from 0) of each group's ascending order; index: name = function of the group's row count.
 
-    Equal values are counted first, so a group is as long as its distinct values, not its rows. Null values don't count.
+    Null values don't count, and a group of nothing else has no row; null keys are a group. A position beyond a group is null.
+
+    Equal values are counted, the counts sorted by (group, value) over tasks of about equal size, however large one group
+    is. A sum a task and group tells which task holds a position; only those tasks' counts are summed up one by one.
     """
-    seen = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = seen.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy(value)))
-    total = seen.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    placed = upto.join(total, keys)
-    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") > at(F.col("_n")), F.col(value))).alias(name) for name, at in index.items()))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.struct(F.lit(1).alias("_"), *(F.col(k) for k in keys))  # structs are equal where both hold null
+    seen = rows.where(F.col(value).isNotNull()).select(group.alias("_g"), F.col(value).alias("_v")).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    dealt = written(seen.repartitionByRange(tasks, "_g", "_v").withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_m").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("_g", "_part").agg(F.sum("_c").alias("_m")).withColumns({"_before": before, "_n": F.sum("_m").over(own)})
+    places = F.array(*(F.struct(F.lit(name).alias("name"), at(F.col("_n")).cast("double").alias("place")) for name, at in index.items()))
+    wanted = parts.select("_g", "_part", "_before", "_m", F.inline(places)).where((F.col("place") >= F.col("_before")) & (F.col("place") < F.col("_before") + F.col("_m")))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_g", "_part", "name").orderBy("_v"))
+    found = dealt.join(wanted, ["_g", "_part"]).withColumn("_upto", upto).where(F.col("_upto") > F.col("place"))
+    values = found.groupBy("_g").agg(*(F.min(F.when(F.col("name") == name, F.col("_v"))).alias(name) for name in index))
+    return parts.select("_g").distinct().join(values, "_g", "left").select(*(F.col("_g").getField(k).alias(k) for k in keys), *index)
+
+
+def nearest_rank(share: float) -> Callable[[Column], Column]:
+    """Position of the first value that so large a share of the rows doesn't exceed."""
+    return lambda n: F.greatest(F.ceil(n * F.lit(share)) - 1, F.lit(0))
+
+
+def between(rows: DataFrame, keys: list[str], value: str, **shares: float) -> DataFrame:
+    """Percentiles of each group by shares, on the line between the two values at either side of share * (n - 1)."""
+    low = {f"{name}_low": lambda n, q=q: F.floor((n - 1) * F.lit(q)) for name, q in shares.items()}
+    high = {f"{name}_high": lambda n, q=q: F.ceil((n - 1) * F.lit(q)) for name, q in shares.items()}
+    n = rows.where(F.col(value).isNotNull()).groupBy(F.struct(F.lit(1).alias("_"), *(F.col(k) for k in keys)).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    at = at_index(rows, keys, value, **low, **high).withColumn("_g", F.struct(F.lit(1).alias("_"), *(F.col(k) for k in keys))).join(n, "_g")
+    part = lambda q: (F.col("_n") - 1) * F.lit(q) - F.floor((F.col("_n") - 1) * F.lit(q))
+    line = lambda name, q: F.col(f"{name}_low") * (1 - part(q)) + F.col(f"{name}_high") * part(q)
+    return at.select(*keys, *(line(name, q).alias(name) for name, q in shares.items()))
 
 
 def rounded(share: float) -> Callable[[Column], Column]:
@@ -77,6 +105,26 @@ def latency_summary(rows: DataFrame, keys: list[str], seconds: str) -> DataFrame
     )
 
 
+def usage_summary(log: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+    """One row over the queries of log(created_at, was_cached, intent, reflection_triggered, low_confidence, error_count,
+    quality_score, citation_coverage, groundedness_score, latency_ms) in the hours before as_of: counts, means, percentiles.
+
+    Nulls are in no filtered count and no mean. Without a query in that time counts are 0, the rest null.
+    """
+    recent = log.where(F.col("created_at") > as_of - F.make_interval(hours=F.lit(hours)))
+    intent = lambda name: F.count_if(F.col("intent") == name)
+    mean = lambda c, places: F.round(F.avg(F.col(c)), places)
+    sums = recent.agg(
+        F.count(F.lit(1)).alias("total_queries"), F.count_if("was_cached").alias("cached_queries"), intent("regulation_search").alias("regulation_searches"), intent("clause_lookup").alias("clause_lookups"),
+        intent("out_of_scope").alias("out_of_scope"), F.count_if("reflection_triggered").alias("reflection_count"), F.count_if("low_confidence").alias("low_confidence_count"),
+        F.count_if(F.col("error_count") > 0).alias("error_queries"), mean("quality_score", 4).alias("avg_quality_score"), mean("citation_coverage", 4).alias("avg_citation_coverage"),
+        mean("groundedness_score", 4).alias("avg_groundedness"), mean("latency_ms", 0).alias("avg_latency_ms"),
+    )
+    times = between(recent, [], "latency_ms", p50_latency_ms=0.5, p95_latency_ms=0.95, p99_latency_ms=0.99)
+    times = times.select(*(F.round(c, 0).alias(c) for c in times.columns), F.lit(1).alias("_one"))
+    return sums.withColumns({"_one": F.lit(1), "period_hours": F.lit(hours)}).join(times, "_one", "left").drop("_one")
+
+
 def evidence_summary(hits: DataFrame, key: str, rank: str, score: str) -> DataFrame:
     """Per key: hits, the first one's score and the mean, on the scale of answers."""
     s = T.answer_score(F.coalesce(score, F.lit(0.0)))

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexilake.functions import contain as J
 from lexilake.functions import questions as K
+from lexilake.operators import chunking as H
 from lexilake.operators import dispatch as D
+from lexilake.operators import lookups as L
+from lexilake.operators import reports as O
 from lexilake.operators import retrieval as R
 from lexilake.operators import search as X
-from lexilake.plans.registry import _CLASSIFIED, _CRITIQUED, _HITS, _asked, _index, _pick, _picked, _texts, query
+from lexilake.operators import sections as G
+from lexilake.plans.registry import _CLASSIFIED, _CRITIQUED, _HITS, _asked, _headed, _index, _pick, _picked, _texts, query
 from lexilake.session import table
 
 #: what stands before the benchmark texts, in turn
@@ -85,3 +90,66 @@ def quality_gates(spark, d):
     sure = F.floor("value") % 100 / F.lit(100.0)
     heals, note = D.quality_gate(sure, mode, (F.col("user_id") % 7 == 0).cast("int"), F.col("event_id") % 5 == 0, F.col("event_id") % 4)
     return table(spark, d, "events").where("value is not null").select("event_id", heals.alias("heals"), note.alias("note"))
+
+
+_LOG = """SELECT ts AS created_at, user_id % 3 = 0 AS was_cached, CASE event_type WHEN 'view' THEN 'regulation_search' WHEN 'click' THEN 'clause_lookup' WHEN 'error' THEN 'out_of_scope' END AS intent, event_id % 6 = 0 AS reflection_triggered,
+  value < 5 AS low_confidence, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS error_count, least(value / 100, 1.0) AS quality_score, CAST(user_id % 10 AS DOUBLE) / 10 AS citation_coverage, CAST(event_id % 9 AS DOUBLE) / 9 AS groundedness_score, value * 10 AS latency_ms FROM events"""
+
+
+@query(
+    f"""WITH l AS ({_LOG}), r AS (SELECT * FROM l WHERE created_at > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 240 HOUR)
+SELECT count(*) AS total_queries, count(*) FILTER (was_cached) AS cached_queries, count(*) FILTER (intent = 'regulation_search') AS regulation_searches, count(*) FILTER (intent = 'clause_lookup') AS clause_lookups,
+  count(*) FILTER (intent = 'out_of_scope') AS out_of_scope, count(*) FILTER (reflection_triggered) AS reflection_count, count(*) FILTER (low_confidence) AS low_confidence_count, count(*) FILTER (error_count > 0) AS error_queries,
+  round(avg(quality_score), 4) AS avg_quality_score, round(avg(citation_coverage), 4) AS avg_citation_coverage, round(avg(groundedness_score), 4) AS avg_groundedness, round(avg(latency_ms), 0) AS avg_latency_ms,
+  round(quantile_cont(latency_ms, 0.5), 0) AS p50_latency_ms, round(quantile_cont(latency_ms, 0.95), 0) AS p95_latency_ms, round(quantile_cont(latency_ms, 0.99), 0) AS p99_latency_ms, CAST(240 AS INTEGER) AS period_hours FROM r"""
+)
+def usage_summary(spark, d):
+    """The ten days before a moment, of the events as a query log."""
+    log = spark.sql(_LOG.replace("FROM events", "FROM {events}"), events=table(spark, d, "events"))
+    return O.usage_summary(log, F.lit("2024-01-20 00:00:00").cast("timestamp"), 240)
+
+
+@query("SELECT doc_id AS id, md5(text) AS content, CAST(-1 AS INTEGER) AS chunk_index, coalesce(source, '') AS source_file FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)")
+def documents_by_id(spark, d):
+    """The documents that bear a benchmark text's number, from a table without chunk_index and source_file."""
+    chunks = _texts(spark, d).select("id", "text", F.to_json(F.struct("source")).alias("metadata"))
+    return L.by_id(chunks, table(spark, d, "benchmark").select(F.col("item_id").alias("id"))).select("id", F.md5("content").alias("content"), F.coalesce("chunk_index", F.lit(-1)).alias("chunk_index"), "source_file")
+
+
+@query(
+    """SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS position
+FROM conversations WHERE turn % 4 = 0 OR turn % 4 = 1 QUALIFY position <= 20"""
+)
+def owned_history(spark, d):
+    """Of each conversation the first turns of user 1 (here one turn in four) and of nobody (another one)."""
+    user = F.nullif((F.col("turn") % 4).cast("int"), F.lit(0))
+    messages = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), user.alias("user_id"), F.struct("turn", "role", "text").alias("created_at"), "turn", "role")
+    return L.owned_history(messages, 1, 20).select(F.col("session_id").alias("conv_id"), "turn", "role", "position")
+
+
+@query(
+    """SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE '52.' || doc_id END, CASE WHEN source = 'src1' THEN NULL ELSE source END) AS section_number FROM documents"""
+)
+def section_numbers(spark, d):
+    """Section numbers of metadata that lacks one, has an empty one, or has one; empty parts of one source."""
+    number = F.when(F.col("doc_id") % 3 == 1, "").when(F.col("doc_id") % 3 == 2, F.concat(F.lit("52."), F.col("doc_id").cast("string")))
+    metadata = F.to_json(F.struct(number.alias("section_number"), F.when(F.col("source") == "src1", "").otherwise(F.col("source")).alias("part")))
+    return table(spark, d, "documents").select("doc_id", L.section_number(metadata).alias("section_number"))
+
+
+@query(
+    """SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS INTEGER) = 69, false) AS has_k, coalesce(event_type = 'view' AND user_id % 5 = 2, false) AS has_tags, coalesce(user_id % 5 = 2, false) AS has_two FROM events"""
+)
+def json_contained(spark, d):
+    """Whether JSON of the events holds an object in an object, elements of an array in any order, and objects in arrays."""
+    text = F.concat(F.lit('{"tags": ["'), F.col("event_type"), F.lit('", {"of": '), (F.col("user_id") % 5).cast("string"), F.lit('}], "props": '), F.col("props"), F.lit("}"))
+    holds = {"has_k": {"props": {"k": 69}}, "has_tags": {"tags": [{"of": 2}, "view"]}, "has_two": {"tags": [{"of": 2}]}}
+    return table(spark, d, "events").select("event_id", F.parse_json(text).alias("v")).select("event_id", *(J.json_contains(F.col("v"), x).alias(n) for n, x in holds.items()))
+
+
+@query()
+def recut_chunks(spark, d):
+    """The headed documents' chunks, cut again where words and marks, counted one by one, are more than 300."""
+    found = G.sections(G.lines(_headed(spark, d))).withColumn("source", F.lit("FAR"))
+    fine = H.Limits(target=200, most=300, count=H.words_and_marks)
+    return H.recut(H.chunk_sections(found), fine).withColumn("text", F.md5("text"))

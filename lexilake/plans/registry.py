@@ -13,6 +13,7 @@ from lexilake.functions import questions as K
 from lexilake.functions import text as T
 from lexilake.operators import chunking as H
 from lexilake.operators import context as C
+from lexilake.operators import reports as O
 from lexilake.operators import retrieval as R
 from lexilake.operators import search as X
 from lexilake.operators import sections as S
@@ -198,9 +199,10 @@ def source_breakdown(spark, d):
 
 @query("SELECT round(avg(length(text)), 1) AS avg_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars, round(quantile_cont(length(text), 0.5), 3) AS p50, round(quantile_cont(length(text), 0.9), 3) AS p90, round(quantile_cont(length(text), 0.99), 3) AS p99 FROM documents")
 def char_length_stats(spark, d):
-    n = F.char_length("text")
-    p = lambda q: F.round(F.percentile(n, F.lit(q)), 3)
-    return table(spark, d, "documents").agg(F.round(F.avg(n), 1).alias("avg_chars"), F.min(n).cast("long").alias("min_chars"), F.max(n).cast("long").alias("max_chars"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"))
+    sized = table(spark, d, "documents").select(F.char_length("text").alias("n"))
+    sums = sized.agg(F.round(F.avg("n"), 1).alias("avg_chars"), F.min("n").cast("long").alias("min_chars"), F.max("n").cast("long").alias("max_chars"), F.lit(1).alias("one"))
+    at = O.between(sized, [], "n", p50=0.5, p90=0.9, p99=0.99)
+    return sums.join(at.select(F.lit(1).alias("one"), *(F.round(c, 3).alias(c) for c in at.columns)), "one", "left").drop("one")
 
 
 @query(f"SELECT round(avg(n), 4) AS avg_tokens, min(n) AS min_tokens, max(n) AS max_tokens, count(*) FILTER (n < 100) AS tiny, count(*) FILTER (n > 900) AS oversized FROM (SELECT {_TOKENS.format(t='text')} AS n FROM documents)")
@@ -211,8 +213,7 @@ def token_stats(spark, d):
 
 @query("SELECT source, quantile_disc(n_chars, 0.5) AS p50, quantile_disc(n_chars, 0.9) AS p90 FROM documents GROUP BY 1")
 def percentile_nearest_rank(spark, d):
-    p = lambda q: F.expr(f"cast(percentile_disc({q}) within group (order by n_chars) as bigint)")
-    return table(spark, d, "documents").groupBy("source").agg(p(0.5).alias("p50"), p(0.9).alias("p90"))
+    return O.at_index(table(spark, d, "documents"), ["source"], "n_chars", p50=O.nearest_rank(0.5), p90=O.nearest_rank(0.9))
 
 
 _FIRST = "split_part(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10), 1)"
@@ -289,9 +290,11 @@ FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 240 HOUR GROUP BY
 def analytics_summary(spark, d):
     e = table(spark, d, "events")
     last = e.agg(F.max("ts").alias("as_of"))
-    p = lambda q: F.round(F.percentile("value", F.lit(q)), 4)
     recent = e.join(F.broadcast(last), F.col("ts") > F.col("as_of") - F.expr("INTERVAL 240 HOURS"))  # one row
-    return recent.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 100).alias("slow"), F.round(F.avg("value"), 4).alias("avg_value"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    sums = recent.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 100).alias("slow"), F.round(F.avg("value"), 4).alias("avg_value"))
+    at = O.between(recent, ["event_type"], "value", p50=0.5, p95=0.95, p99=0.99).withColumnRenamed("event_type", "_type")
+    joined = sums.join(at, F.col("event_type").eqNullSafe(F.col("_type")), "left")
+    return joined.select("event_type", "n", "slow", "avg_value", *(F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM labels")

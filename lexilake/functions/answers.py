@@ -24,7 +24,11 @@ def claims(text: Column) -> Column:
 
 def citation_coverage(text: Column) -> Column:
     """Share of the claims that hold a citation; 0.5 without any claim."""
-    found = claims(text)
+    return coverage_of(claims(text))
+
+
+def coverage_of(found: Column) -> Column:
+    """citation_coverage of claims that are at hand."""
     cited = F.filter(found, lambda s: s.rlike("(?i)" + CITATION))
     return F.coalesce(F.try_divide(F.size(cited), F.size(found)), F.lit(0.5))
 

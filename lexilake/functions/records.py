@@ -126,24 +126,38 @@ def user_uuid(user: Column) -> Column:
 
 def guard_verdict(payload: Column) -> Column:
     """struct<action, should_block, confidence, tier_used, reason> of a guard's JSON reply; numbers that don't parse are null."""
-    field = lambda name: F.get_json_object(payload, f"$.{name}")
-    truth = lambda name: F.coalesce(~F.lower(field(name)).isin("false", "0", "null", ""), F.lit(False))
-    action = F.lower(F.coalesce(F.nullif(field("action"), F.lit("")), F.lit("allow")))
-    return F.struct(
-        action.alias("action"),
-        (truth("should_block") | truth("blocked") | (action == "block")).alias("should_block"),
-        field("confidence").try_cast("double").alias("confidence"),
-        field("tier_used").try_cast("int").alias("tier_used"),
-        F.coalesce(F.nullif(field("reason"), F.lit("")), field("explanation")).alias("reason"),
-    )
+    read = F.from_json(payload, "action string, should_block string, blocked string, confidence string, tier_used string, reason string, explanation string")
+
+    def verdict(p: Column) -> Column:
+        truth = lambda name: F.coalesce(~F.lower(p[name]).isin("false", "0", "null", ""), F.lit(False))
+        action = F.lower(F.coalesce(F.nullif(p["action"], F.lit("")), F.lit("allow")))
+        return F.struct(
+            action.alias("action"),
+            (truth("should_block") | truth("blocked") | (action == "block")).alias("should_block"),
+            p["confidence"].try_cast("double").alias("confidence"),
+            p["tier_used"].try_cast("int").alias("tier_used"),
+            F.coalesce(F.nullif(p["reason"], F.lit("")), p["explanation"]).alias("reason"),
+        )
+
+    return F.transform(F.array(read), verdict)[0]  # a lambda's argument is parsed once, a column's fields one by one
 
 
 def reply_scores(reply: Column) -> Column:
     """array<struct<index, score>> of a scorer's JSON reply, under scores or else results; items without both numbers are left out."""
-    read = F.from_json(reply, "scores array<string>, results array<string>")
-    items = F.when(F.size(read["scores"]) > 0, read["scores"]).otherwise(F.coalesce(read["results"], F.array().cast("array<string>")))
-    typed = F.transform(items, lambda i: F.from_json(i, "index int, score double"))
-    return F.filter(typed, lambda i: i["index"].isNotNull() & i["score"].isNotNull())
+    none = F.array().cast("array<struct<index:int,score:double>>")
+
+    def item(i: Column) -> Column:
+        number = lambda name, kinds: F.schema_of_variant(F.try_variant_get(i, f"$.{name}", "variant")).rlike(f"^({kinds})")  # noqa: E731, strings are none
+        index = F.when(number("index", "BIGINT"), F.try_variant_get(i, "$.index", "int"))
+        score = F.when(number("score", "BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(i, "$.score", "double"))
+        return F.named_struct(F.lit("index"), index, F.lit("score"), score)  # an alias is lost beside an explode
+
+    def found(read: Column) -> Column:
+        under = lambda name: F.try_variant_get(read, f"$.{name}", "array<variant>")
+        items = F.when(F.size(under("scores")) > 0, under("scores")).otherwise(under("results"))
+        return F.coalesce(F.transform(items, item), none)
+
+    return F.filter(F.transform(F.array(F.try_parse_json(reply)), found)[0], lambda i: i["index"].isNotNull() & i["score"].isNotNull())
 
 
 def message_seconds(message: Column) -> Column:

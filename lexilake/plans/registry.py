@@ -475,7 +475,8 @@ SELECT doc_id, CAST(len(claims) AS INTEGER) AS claims, round(CASE WHEN len(claim
 def citation_coverage(spark, d):
     t = F.expr("concat(text, '. The contractor must follow FAR 52.', doc_id % 300, ' in every such case.')")
     x = table(spark, d, "documents").select("doc_id", t.alias("text"))
-    return x.select("doc_id", F.size(Q.claims(F.col("text"))).alias("claims"), F.round(Q.citation_coverage(F.col("text")), 6).alias("coverage"))
+    found = x.select("doc_id", Q.claims(F.col("text")).alias("c"))
+    return found.select("doc_id", F.size("c").alias("claims"), F.round(Q.coverage_of(F.col("c")), 6).alias("coverage"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in Q.STOP_WORDS) + "]"

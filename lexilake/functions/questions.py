@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexilake.functions import intent as I
+from lexilake.functions.text import composed
 
 # Phrases that mark a kind of question, wherever they stand in it, in lower case.
 PROCEDURAL = (
@@ -101,8 +102,8 @@ def hazard_patterns() -> list[list[str]]:
 
 
 def normalised_question(question: Column) -> Column:
-    """White space single and trimmed; a null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(question, F.lit("")), r"\s+", " "))
+    """Composed characters, white space of any script single and trimmed; a null is empty."""
+    return F.trim(F.regexp_replace(composed(F.coalesce(question, F.lit(""))), r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
 
 
 def document_type(q: Column) -> Column:

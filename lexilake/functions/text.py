@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CLAUSE = r"(FAR|DFARS)\s+(\d+\.\d+(?:-\d+)?)"
 
@@ -15,6 +17,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
 
 
+@F.pandas_udf(StringType())
+def _form_c(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFC")
+
+
+def composed(text: Column) -> Column:
+    """The text in Unicode's normal form C; ASCII texts, which are in it, reach Python as nulls."""
+    return F.coalesce(_form_c(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def estimated_tokens(text: Column) -> Column:
     """floor(1.3 * words)."""
     return F.floor(F.size(words(text)) * F.lit(1.3)).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -131,7 +132,51 @@ def evidence_summary(hits: DataFrame, key: str, rank: str, score: str) -> DataFr
     return hits.groupBy(key).agg(F.count(F.lit(1)).alias("doc_count"), F.round(F.min_by(s, rank), 6).alias("top_norm"), F.round(F.avg(s), 6).alias("avg_norm"))
 
 
-def _folded(events: DataFrame, schema: str, decide: Callable[[dict, int, str], object]) -> DataFrame:
+Decide = Callable[[dict, int, str], object]
+
+
+def limiter(most: int, seconds: int) -> Decide:
+    """Decision on a hit: True where fewer than `most` allowed hits lie within the seconds before; those are the state."""
+    span = seconds * 1_000_000
+
+    def decide(state: dict, at: int, kind: str) -> bool:
+        hits = state.setdefault("hits", deque())
+        while hits and hits[0] <= at - span:
+            hits.popleft()
+        if len(hits) >= most:
+            return False
+        hits.append(at)
+        return True
+
+    return decide
+
+
+def lockout(failure: str, success: str, most: int, minutes: int) -> Decide:
+    """Decision on an event: True while locked. The state is the count of failures and the end of a lock."""
+    span = minutes * 60_000_000
+
+    def decide(state: dict, at: int, kind: str) -> bool:
+        if at < state.get("until", at):
+            return True
+        if kind == success:
+            state.clear()
+        elif kind == failure:
+            state["failed"] = state.get("failed", 0) + 1
+            if state["failed"] >= most:
+                state["until"] = at + span
+        return False
+
+    return decide
+
+
+def by_user(events: DataFrame) -> DataFrame:
+    """event_id, _user, _at (microseconds), _kind of the events that have a time; those without a user are one user's."""
+    known = F.coalesce(F.col("user_id").cast("string"), F.lit("null:"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.where("ts is not null").select("event_id", known.alias("_user"), at.alias("_at"), F.coalesce("event_type", F.lit("")).alias("_kind"))
+
+
+def _folded(events: DataFrame, schema: str, decide: Decide) -> DataFrame:
     """Each user's events in order through decide(state, microseconds, type), a batch in memory at a time.
 
     All of a user's events pass one task, since each decision rests on those before; only the user's state is kept.
@@ -147,10 +192,7 @@ def _folded(events: DataFrame, schema: str, decide: Callable[[dict, int, str], o
                 out.append(decide(state, at, kind))
             yield pd.DataFrame({"event_id": b["event_id"], schema.split()[0]: out})
 
-    known = F.coalesce(F.col("user_id").cast("string"), F.lit("null:"))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    dealt = events.where("ts is not null").select("event_id", known.alias("_user"), at.alias("_at"), F.coalesce("event_type", F.lit("")).alias("_kind"))
-    return dealt.repartition("_user").sortWithinPartitions("_user", "_at", "event_id").mapInPandas(fold, f"event_id long, {schema}")
+    return by_user(events).repartition("_user").sortWithinPartitions("_user", "_at", "event_id").mapInPandas(fold, f"event_id long, {schema}")
 
 
 def rate_limited(events: DataFrame, most: int = 10, seconds: int = 60) -> DataFrame:
@@ -158,16 +200,7 @@ def rate_limited(events: DataFrame, most: int = 10, seconds: int = 60) -> DataFr
 
     Events without a time are left out; those without a user count as one user's.
     """
-    span = seconds * 1_000_000
-
-    def decide(state: dict, at: int, kind: str) -> bool:
-        hits = state["hits"] = [t for t in state.get("hits", ()) if t > at - span]
-        if len(hits) >= most:
-            return False
-        hits.append(at)
-        return True
-
-    return _folded(events, "allowed boolean", decide)
+    return _folded(events, "allowed boolean", limiter(most, seconds))
 
 
 def locked_out(events: DataFrame, failure: str = "error", success: str = "signup", most: int = 5, minutes: int = 15) -> DataFrame:
@@ -176,17 +209,4 @@ def locked_out(events: DataFrame, failure: str = "error", success: str = "signup
     A failure adds one to the user's count; from `most` on it locks for so many minutes. Events while locked change nothing;
     a success sets the count to 0, the end of a lock doesn't.
     """
-    span = minutes * 60_000_000
-
-    def decide(state: dict, at: int, kind: str) -> bool:
-        if at < state.get("until", at):
-            return True
-        if kind == success:
-            state.clear()
-        elif kind == failure:
-            state["failed"] = state.get("failed", 0) + 1
-            if state["failed"] >= most:
-                state["until"] = at + span
-        return False
-
-    return _folded(events, "locked boolean", decide)
+    return _folded(events, "locked boolean", lockout(failure, success, most, minutes))

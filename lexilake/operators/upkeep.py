@@ -37,10 +37,19 @@ def in_namespace(column: Column, namespace: str) -> Column:
     return (column == namespace) | column.startswith(namespace + "-")
 
 
-def promote(table: DataFrame, source: str, target: str) -> DataFrame:
-    """Rows of source copied to target with rewritten id and namespace; target's old rows go. The copy is taken first."""
-    move = lambda c: F.concat(F.lit(target), F.expr(f"substr({c}, {len(source) + 1})"))
-    mine = table.where(in_namespace(F.col("namespace"), source))
-    copies = mine.withColumns({"id": move("id"), "namespace": move("namespace")})
-    kept = table.where(in_namespace(F.col("namespace"), source) | ~in_namespace(F.col("namespace"), target))
+def promote(table: DataFrame, source: str, target: str, archive: str | None = None) -> DataFrame:
+    """Rows of source copied to target with rewritten id and namespace; the copy is taken first.
+
+    target's old rows go; with archive they stay, under target-archive-<archive>, but for earlier archives, which keep their names.
+    """
+    move = lambda c, old, new: F.concat(F.lit(new), F.expr(f"substr({c}, {len(old) + 1})"))
+    moved = lambda rows, old, new: rows.withColumns({"id": move("id", old, new), "namespace": move("namespace", old, new)})
+    of = F.col("namespace")
+    copies = moved(table.where(in_namespace(of, source)), source, target)
+    replaced = in_namespace(of, target) & ~in_namespace(of, source)
+    if archive is not None:
+        replaced &= ~in_namespace(of, f"{target}-archive")
+    kept = table.where(~F.coalesce(replaced, F.lit(False)))
+    if archive is not None:
+        kept = kept.unionByName(moved(table.where(replaced), target, f"{target}-archive-{archive}"))
     return upsert(kept, copies)

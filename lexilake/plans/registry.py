@@ -40,7 +40,8 @@ def query(sql: str | None = None):
 def queries() -> dict[str, Query]:
     import lexilake.plans.dispatch
     import lexilake.plans.lexical
-    import lexilake.plans.reports  # noqa: F401, all register their queries
+    import lexilake.plans.reports
+    import lexilake.plans.stored  # noqa: F401, all register their queries
 
     return dict(_QUERIES)
 
@@ -48,7 +49,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     import lexilake.plans.dispatch
     import lexilake.plans.lexical
-    import lexilake.plans.reports  # noqa: F401, all register their queries
+    import lexilake.plans.reports
+    import lexilake.plans.stored  # noqa: F401, all register their queries
 
     return dict(_SQL)
 

@@ -237,12 +237,25 @@ def term_hashes(spark, d):
     return table(spark, d, "documents").select(terms).distinct().select("term", P.term_hash(F.col("term")).alias("term_id"))
 
 
-@query()
+_EVENTS = """e AS (SELECT event_id, u, epoch_us(ts) AS time, coalesce(event_type, '') AS kind, row_number() OVER (PARTITION BY u ORDER BY ts, event_id) AS n FROM (SELECT *, coalesce(CAST(user_id AS VARCHAR), 'null:') AS u FROM events) WHERE ts IS NOT NULL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT event_id, u, n, true AS allowed, [time] AS hits FROM e WHERE n = 1
+UNION ALL SELECT event_id, u, n, len(h) < 2, CASE WHEN len(h) < 2 THEN list_append(h, time) ELSE h END FROM (SELECT e.*, list_filter(hits, lambda t: t > e.time - 86400000000) AS h FROM r JOIN e ON e.u = r.u AND e.n = r.n + 1))
+SELECT event_id, allowed FROM r"""
+)
 def rate_limited(spark, d):
     return O.rate_limited(table(spark, d, "events"), most=2, seconds=86_400)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_EVENTS}, r AS (SELECT event_id, u, n, false AS locked, CASE WHEN kind = 'error' THEN 1 ELSE 0 END AS failed, CAST(NULL AS BIGINT) AS until FROM e WHERE n = 1
+UNION ALL SELECT event_id, u, n, held, CASE WHEN held THEN failed WHEN kind = 'signup' THEN 0 WHEN kind = 'error' THEN failed + 1 ELSE failed END,
+  CASE WHEN held THEN until WHEN kind = 'signup' THEN NULL WHEN kind = 'error' AND failed + 1 >= 3 THEN time + 604800000000 ELSE until END
+FROM (SELECT e.*, failed, until, coalesce(e.time < until, false) AS held FROM r JOIN e ON e.u = r.u AND e.n = r.n + 1))
+SELECT event_id, locked FROM r"""
+)
 def locked_out(spark, d):
     return O.locked_out(table(spark, d, "events"), most=3, minutes=60 * 24 * 7)
 

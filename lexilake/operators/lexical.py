@@ -8,12 +8,15 @@ only candidates are summed. Nothing is cut that could be in the answer, ties inc
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lexilake.functions import stem as S
 from lexilake.functions import text as T
-from lexilake.session import written
+from lexilake.session import bounded_batches, written
 
 #: what stands between words; explodes are outer ones, for Spark cuts the texts twice to leave out empty arrays before plain ones
 GAP = r"[^\p{L}\p{N}]+"
@@ -31,11 +34,50 @@ def words_in(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
+def by_ids(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose id no other row has, those of ids that repeat or None if there are none); a null id counts as one.
+
+    Only ids are shuffled, and few repeated ones are broadcast.
+    """
+    several = written(rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("several")))
+    if several.isEmpty():
+        return rows, None
+    same = rows["id"].eqNullSafe(several["several"])
+    return rows.join(several, same, "left_anti"), rows.join(several, same, "left_semi")
+
+
+def _places(batches):
+    """id, term, positions of each term in each row of batches(id, words)."""
+    stop = set(T.ENGLISH_STOP_WORDS)
+    for b in batches:
+        lists = b.column(1)
+        coded = lists.flatten().dictionary_encode()
+        number: dict[str, int] = {}
+        of_word = np.array([-1 if w in stop else number.setdefault(S.stem(w), len(number)) for w in coded.dictionary.to_pylist()], np.int64)
+        size = lists.value_lengths().to_numpy()
+        row, place = np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1
+        term = of_word[coded.indices.to_numpy()] if len(row) else np.zeros(0, np.int64)
+        kept = np.flatnonzero(term >= 0)
+        key = row[kept] * len(number) + term[kept]
+        order = np.argsort(key, kind="stable")
+        kept, key = kept[order], key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(place[kept], pa.int32()))
+        at = kept[first]
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[at])), pa.array(list(number), pa.string()).take(pa.array(term[at])), positions], ["id", "term", "positions"])
+
+
 def lexemes(texts: DataFrame) -> DataFrame:
-    """id, term, f, positions for texts(id, text): stems without English stop words; positions count all words from 1."""
-    each = texts.select("id", F.posexplode_outer(words_in(F.col("text"))).alias("place", "word")).where(~F.col("word").isin(T.ENGLISH_STOP_WORDS))
-    own = each.groupBy("id", "word").agg(F.collect_list(F.col("place") + 1).alias("at"))  # of one word in one document
-    return own.select("id", S.stem_words(F.col("word")).alias("term"), "at").groupBy("id", "term").agg(F.flatten(F.collect_list("at")).alias("at")).select("id", "term", F.size("at").alias("f"), F.array_sort("at").alias("positions"))
+    """id, term, f, positions for texts(id, text): stems without English stop words; positions count all words from 1.
+
+    A row's words stay in its task; only rows of an id that repeats are grouped.
+    """
+    bounded_batches(texts.sparkSession)
+    out = StructType([StructField("id", texts.schema["id"].dataType), StructField("term", StringType()), StructField("positions", ArrayType(IntegerType()))])
+    once, several = (x if x is None else x.select("id", words_in(F.col("text")).alias("words")).mapInArrow(_places, out) for x in by_ids(texts.select("id", "text")))
+    if several is not None:
+        once = once.unionByName(several.groupBy("id", "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")))
+    return once.select("id", "term", F.size("positions").alias("f"), "positions")
 
 
 def _stemmed(words: DataFrame) -> DataFrame:

@@ -46,6 +46,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, records: int = 1024) -> None:
+    """Arrow batches of at most so many rows and 8 MB, for a Python worker's memory; the session keeps the setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, computed once; it goes when the application ends."""
     spark = df.sparkSession

@@ -93,7 +93,7 @@ def searched_twice(
     again = further.where((F.col("expansion") < queries) & (F.col("expansion") >= 0)).join(verdicts.where("heal").select("query_id"), "query_id", "left_semi")
     # a search knows one number a question
     key = (F.col("query_id") * queries + F.col("expansion")).alias("query_id")
-    found = search(again.select(key, "query")).select(F.floor(F.col("query_id") / queries).alias("query_id"), F.pmod("query_id", F.lit(queries)).alias("expansion"), "id", "rank")
+    found = written(search(again.select(key, "query"))).select(F.floor(F.col("query_id") / queries).alias("query_id"), F.pmod("query_id", F.lit(queries)).alias("expansion"), "id", "rank")
     texts = index.select("id", "source", "section", F.col("text").alias("content"))
     more = X.healed(found.join(texts, "id"), queries, most).select("query_id", "id", "position")
     kept = hits.join(verdicts, "query_id").where(~(F.col("heal") & (F.col("reason") == "mismatch")))

@@ -7,21 +7,30 @@ from pyspark.sql import functions as F
 
 from lexilake.functions import text as T
 from lexilake.operators.retrieval import dense_batch, ranked
+from lexilake.session import written
 
 
 def anchors(hits: DataFrame, index: DataFrame, top: int = 8, k: int = 25) -> DataFrame:
     """query_id, id, rank: up to k anchor chunks of index(id, section, is_anchor) in the sections of each query's first hits."""
     wanted = hits.where(F.col("rank") <= top).select("query_id", "section").distinct()
-    return ranked(wanted.join(index.where("is_anchor").select("id", "section"), "section").select("query_id", "id"), k, F.col("id"))
+    few = first_n(index.where("is_anchor").select("id", "section"), k, ["section"])  # no more of a section can be among a query's first k
+    return ranked(wanted.join(few, "section").select("query_id", "id"), k, F.col("id"))
 
 
 def expand_references(references: DataFrame, index: DataFrame, hits: DataFrame, each: int = 5, total: int = 20) -> DataFrame:
     """query_id, id, rank: chunks that references(query_id, source, clause) name, by section or in the text; not those among
-    the query's hits. At most `each` a reference and `total` a query."""
-    clause = F.lower("clause")
-    named = (F.col("section") == F.col("clause")) | F.contains(F.lower("text"), clause)
-    found = index.select("id", "source", "section", "text").join(references, "source").where(named).select("query_id", "source", "clause", "id")
-    fresh = found.join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    the query's hits. At most `each` a reference and `total` a query.
+
+    Each chunk is read for the distinct clauses of its source. Of these finds the first `each` and as many more as a query
+    has hits go on to the queries: no more can be among a reference's first ones.
+    """
+    references, hits = written(references), written(hits.select("query_id", "id").distinct())
+    most = hits.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    named = (F.col("section") == F.col("clause")) | F.contains(F.lower("text"), F.lower("clause"))
+    place = F.dense_rank().over(Window.partitionBy("source", "clause").orderBy("id"))
+    found = index.select("id", "source", "section", "text").join(references.select("source", "clause").distinct(), "source").where(named).select("source", "clause", "id")
+    first = found.withColumn("_n", place).where(F.col("_n") <= each + most).drop("_n")
+    fresh = first.join(references, ["source", "clause"]).join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
     few = first_n(fresh, each, ["query_id", "source", "clause"])
     return ranked(few.select("query_id", "id").distinct(), total, F.col("id"))
 

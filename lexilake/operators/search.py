@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexilake.functions import text as T
 from lexilake.operators import retrieval as R
+from lexilake.session import written
 
 TOKEN_LIMIT = 2400
 # A clause reference in a question.
@@ -62,8 +63,9 @@ def prioritised(primary: DataFrame, anchors: DataFrame, references: DataFrame) -
 def context(primary: DataFrame, anchors: DataFrame, references: DataFrame, index: DataFrame, budget: int = TOKEN_LIMIT, of_references: int = 4) -> DataFrame:
     """query_id, id, kind, tokens, position: what a query's context holds of index(id, text): the hits, then anchors, then
     the first references."""
-    rows = prioritised(primary, anchors, references.where(F.col("rank") <= of_references))
-    sized = rows.join(index.select("id", T.estimated_tokens(F.col("text")).alias("tokens")), "id")
+    rows = written(prioritised(primary, anchors, references.where(F.col("rank") <= of_references)))
+    # only texts that a context may hold are counted
+    sized = rows.join(index.select("id", "text"), "id").withColumn("tokens", T.estimated_tokens(F.col("text")))
     return within_budget(sized, budget)
 
 

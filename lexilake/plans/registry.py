@@ -19,7 +19,7 @@ from lexilake.operators import search as X
 from lexilake.operators import sections as S
 from lexilake.operators import sessions as A
 from lexilake.operators import upkeep as U
-from lexilake.session import table
+from lexilake.session import table, written
 from lexilake.streaming import events as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -650,7 +650,7 @@ def search_regulations(spark, d):
     """The flagship: hits of both legs, anchors of their sections and referred chunks, as one context a query."""
     docs = _texts(spark, d)
     index = docs.select("id", "source", "text", F.col("source").alias("section"), (F.col("id") % 10 == 0).alias("is_anchor"))
-    hits = hybrid_boosted(spark, d)
+    hits = written(hybrid_boosted(spark, d))
     placed = hits.join(index.select("id", "section"), "id")
     words = F.explode(F.array(F.lit("tion"), F.lit("en"))).alias("clause")
     refs = _questions(spark, d).join(docs.select(F.col("id").alias("query_id"), "source"), "query_id").select("query_id", "source", words)

@@ -102,7 +102,7 @@ def clause_places(index: DataFrame, references: DataFrame) -> DataFrame:
     A clause stands wherever it is part of a longer number, so distinct numbers and distinct clauses meet by source and
     the clause's first separator with its neighbours; texts are read once and only their numbers are shuffled.
     """
-    found = numbers(index)
+    found = written(numbers(index))  # read twice
     key = F.regexp_extract("clause", r"([0-9][.\-][0-9\-])", 1)
     asked = references.select("source", "clause").distinct().withColumn("key", key)
     known = found.select("source", "number").distinct().withColumn("key", F.explode(_clause_keys(F.col("number"))))

@@ -14,6 +14,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from lexilake.functions import text as T
 from lexilake.operators import lexical as L
+from lexilake.session import bounded_batches
 
 
 def chunks(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def dense_search(index: DataFrame, vector: list[float], k: int = 15, source: str
     return near.select("id", F.round(T.cosine(F.col("embedding"), v), 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
 
 
-BROADCAST_QUERIES, SALTS = 4096, 64
+BROADCAST_QUERIES, SALTS, PRODUCTS = 4096, 64, 1 << 20
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -55,20 +56,28 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 
 def _best(k: int):
-    """The k nearest of each block of vectors to each query of a block, ties to the smaller id."""
+    """The k nearest of each block of vectors to each query of a block, ties to the smaller id; PRODUCTS at once."""
 
-    def run(batches):
+    def pieces(batches):
         for b in batches:
-            for dim, ids, units, asked, vectors in zip(*(b.column(c).to_pylist() for c in ("dim", "ids", "units", "q_ids", "q_units")), strict=True):
-                ids, asked = np.frombuffer(ids, np.int64), np.frombuffer(asked, np.int64)
-                near = np.round(np.frombuffer(vectors).reshape(-1, dim) @ np.frombuffer(units).reshape(-1, dim).T, 6)
-                out = []
-                for s in near:
-                    rows = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                    out.append(rows[np.lexsort((ids[rows], -s[rows]))[:k]])
-                n = [len(x) for x in out]
-                at = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(ids[at]), pa.array(near[np.repeat(np.arange(len(asked)), n), at])], ["query_id", "id", "similarity"])
+            for i in range(b.num_rows):
+                dim, *blocks = (b.column(c)[i] for c in ("dim", "ids", "units", "q_ids", "q_units"))
+                ids, units, asked, vectors = (np.frombuffer(x.as_buffer(), t) for x, t in zip(blocks, (np.int64, np.float64) * 2, strict=True))
+                units, vectors = units.reshape(-1, dim.as_py()), vectors.reshape(-1, dim.as_py())
+                step = max(1, PRODUCTS // len(ids))
+                for at in range(0, len(asked), step):
+                    yield ids, units, asked[at : at + step], vectors[at : at + step]
+
+    def run(batches):
+        for ids, units, asked, vectors in pieces(batches):
+            near = np.round(vectors @ units.T, 6)
+            out = []
+            for s in near:
+                rows = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+                out.append(rows[np.lexsort((ids[rows], -s[rows]))[:k]])
+            n = [len(x) for x in out]
+            at = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(ids[at]), pa.array(near[np.repeat(np.arange(len(asked)), n), at])], ["query_id", "id", "similarity"])
 
     return run
 
@@ -80,6 +89,7 @@ def dense_batch(index: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
     query are kept. The side of at most BROADCAST_QUERIES rows, if there is one, is broadcast; else blocks of both
     meet by dimension and salt. Null and empty vectors take no part.
     """
+    bounded_batches(index.sparkSession)
     rows = index.select("id", F.col("embedding").alias("v"))
     asked = queries.select(F.col("query_id").alias("id"), F.col("vector").alias("v"))
     few = lambda df: df.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES

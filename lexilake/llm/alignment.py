@@ -35,6 +35,7 @@ BLANK = "▁"
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 BATCH = "batch long, payload binary, pair array<long>, n array<long>"
 PAIR = 32
+MARKS = ",|;"
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,6 +65,10 @@ class Tokenizers:
         self.bytes_a = [bytes(letters[c] for c in t) if t and all(c in letters for c in t) else t.encode() for t in ((self.a.id_to_token(i) or "") for i in range(size))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.joined_a, self.joined_b = (pa.array(side, pa.large_binary()) for side in (self.bytes_a, self.bytes_b))
+        # ids as text with what may follow one: a token of its group and side, the other side, the next group
+        self.stride = max(size, len(pieces))
+        self.named = pa.array([f"{i}{mark}".encode() for mark in MARKS for i in range(self.stride)], pa.large_binary())
         self.length_a, self.length_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self.blank = self.b.piece_to_id(BLANK)
         level = spec["pre_tokenizer"] or {}
@@ -117,11 +122,18 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(at[-1])), at
 
 
-def _covers(ids: np.ndarray, at: np.ndarray, known: list[bytes], lengths: np.ndarray, segments: list[bytes]) -> np.ndarray:
+def _joined(values: pa.LargeBinaryArray, at: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """(values at some places, end to end; where each begins, and the end)."""
+    found = values.take(pa.array(at))
+    ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset)
+    return (found.buffers()[2] or pa.py_buffer(b"")).slice(int(ends[0]), int(ends[-1] - ends[0])), ends - ends[0]
+
+
+def _covers(ids: np.ndarray, at: np.ndarray, known: list[bytes], joined: pa.LargeBinaryArray, lengths: np.ndarray, segments: list[bytes]) -> np.ndarray:
     """Which segments are the joined bytes of their tokens."""
     ends = np.concatenate([[0], np.cumsum(lengths[ids])])
     ok = np.diff(ends[at]) == np.fromiter(map(len, segments), np.int64, len(segments))
-    if ok.all() and b"".join([known[i] for i in ids.tolist()]) == b"".join(segments):
+    if ok.all() and _joined(joined, ids)[0].equals(pa.py_buffer(b"".join(segments))):
         return ok
     own = ids.tolist()
     for i in np.flatnonzero(ok).tolist():
@@ -130,14 +142,14 @@ def _covers(ids: np.ndarray, at: np.ndarray, known: list[bytes], lengths: np.nda
 
 
 class Segments:
-    """The distinct segments of a batch with their tokens, groups and links. Segments whose tokens of either side do
+    """The distinct segments of a batch with their tokens, groups (as text, each with a mark after it) and links. Segments whose tokens of either side do
     not give back their bytes are not ok and have none."""
 
     def __init__(self, distinct: pa.Array, tok: Tokenizers):
         parts = distinct.to_pylist()
         texts = [x.decode() for x in parts]
         lists_a, lists_b = tok.ids_a(texts), tok.ids_b(texts)
-        self.ok = _covers(*_flat(lists_a), tok.bytes_a, tok.length_a, parts) & _covers(*_flat(lists_b), tok.bytes_b, tok.length_b, parts)
+        self.ok = _covers(*_flat(lists_a), tok.bytes_a, tok.joined_a, tok.length_a, parts) & _covers(*_flat(lists_b), tok.bytes_b, tok.joined_b, tok.length_b, parts)
         for i in np.flatnonzero(~self.ok).tolist():
             lists_a[i] = lists_b[i] = []
         (a, at_a), (b, at_b) = _flat(lists_a), _flat(lists_b)
@@ -145,13 +157,18 @@ class Segments:
         k = np.arange(len(cuts) + 1)
         first_a, first_b = np.searchsorted(group_a, k), np.searchsorted(group_b, k)
         del parts, texts, lists_a, lists_b
-        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        rows = zip(*(x.tolist() for x in (first_a[:-1], first_a[1:], first_b[:-1], first_b[1:])), strict=True)
-        groups = [f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in rows]
+        # a group's tokens of A stand before those of B: so each token's place among all, and the mark after it
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[first_a[1:] - 1], mark_b[first_b[1:] - 1] = 1, 2
+        named = np.empty(len(a) + len(b), np.int64)
+        named[np.arange(len(a)) + first_b[group_a]] = mark_a * tok.stride + a
+        named[np.arange(len(b)) + first_a[group_b + 1]] = mark_b * tok.stride + b
+        data, begins = _joined(tok.named, named)
+        self.names = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.ok), [None, pa.py_buffer(begins[at_a + at_b]), data])
+        del named, begins, mark_a, mark_b
         # a segment ends where both sides do: its groups are those up to its last token's
         at_g = np.searchsorted(first_a, at_a)
         at_l = np.searchsorted(link_a, at_a)
-        self.names = [";".join(groups[p:q]) for p, q in itertools.pairwise(at_g.tolist())]
         self.n_a, self.n_b, self.n_groups, self.n_links = (np.diff(x) for x in (at_a, at_b, at_g, at_l))
         self.at_l = at_l
         self.keys = (a[link_a] << PAIR) | b[link_b]
@@ -201,7 +218,8 @@ def aligned_batch(doc_ids: pa.Array, texts: pa.Array, tok: Tokenizers) -> tuple[
     for p, q in itertools.pairwise(at.tolist()):
         h = hashlib.sha256()
         for x in range(p, q, 1 << 16):  # a long text's groups are never one string
-            h.update((";" if x > p else "").encode() + ";".join([seg.names[c] for c in codes[x : min(q, x + (1 << 16))].tolist()]).encode())
+            data, _ = _joined(seg.names, codes[x : min(q, x + (1 << 16))])
+            h.update(data if x + (1 << 16) < q else data.slice(0, data.size - 1))  # the last mark is not of the text
         digests.append(h.hexdigest() if q > p else "")
     times = np.bincount(codes, minlength=len(seg.ok))
     pair, of_link = np.unique(seg.keys, return_inverse=True)
